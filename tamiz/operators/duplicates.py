@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tamiz.session import BROADCAST_ROWS, join_null_safe, join_side
+from tamiz.session import join_null_safe, materialize
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -12,13 +12,13 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def duplicate_rows(df: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every row of every repeated key (nulls are equal).
 
     A semi join instead of a count window: a hot key is then split by the adaptive
     skew join, or not shuffled at all when the repeated keys are few.
     """
-    repeated = join_side(duplicate_keys(df, keys).drop("n"), max_rows)
+    repeated = materialize(duplicate_keys(df, keys).drop("n"))
     return join_null_safe(df, repeated, keys, "left_semi")
 
 

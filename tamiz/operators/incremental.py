@@ -8,46 +8,40 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from tamiz.operators.duplicates import one_per_key
 from tamiz.operators.schema import union_by_name
-from tamiz.session import BROADCAST_ROWS, join_side
+from tamiz.session import materialize
 
 ID = "id_registro"
 
 
-def existing_ids(
-    batch: DataFrame, target: DataFrame, key: str = ID, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def existing_ids(batch: DataFrame, target: DataFrame, key: str = ID) -> DataFrame:
     """The distinct batch ids that the target holds.
 
-    A batch of checked size is broadcast, so the target's id column is only
-    scanned; a larger batch is joined by shuffling both id columns. The ids are
-    hashes, so the shuffle is even.
+    The batch ids are stored first: while they are few they are broadcast, so the
+    target's id column is only scanned. More of them are joined by shuffling both id
+    columns; the ids are hashes, so that shuffle is even.
     """
-    ids = join_side(batch.select(key).distinct(), max_rows)
+    ids = materialize(batch.select(key).distinct())
     return target.select(key).join(ids, key, "left_semi").distinct()
 
 
-def new_rows(
-    batch: DataFrame, target: DataFrame, key: str = ID, max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def new_rows(batch: DataFrame, target: DataFrame, key: str = ID) -> DataFrame:
     """Batch rows whose id the target does not hold."""
-    known = join_side(existing_ids(batch, target, key, max_rows), max_rows)
-    return batch.join(known, key, "left_anti")
+    return batch.join(materialize(existing_ids(batch, target, key)), key, "left_anti")
 
 
 @dataclass
 class Increment:
-    unique: DataFrame
     existing: DataFrame
     new: DataFrame
 
 
-def increment(
-    batch: DataFrame, target: DataFrame, key: str = ID, max_rows: int = BROADCAST_ROWS
-) -> Increment:
-    """One row per id, the ids already loaded, and the rows to append."""
-    unique = one_per_key(batch, key)
-    known = join_side(existing_ids(unique, target, key, max_rows), max_rows)
-    return Increment(unique=unique, existing=known, new=unique.join(known, key, "left_anti"))
+def increment(batch: DataFrame, target: DataFrame, key: str = ID) -> Increment:
+    """The ids already loaded, and one row per id to append.
+
+    Known rows leave before whole rows are shuffled to find repeated ids.
+    """
+    known = materialize(existing_ids(batch, target, key))
+    return Increment(known, one_per_key(batch.join(known, key, "left_anti"), key))
 
 
 def load_metrics(

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamiz.operators.duplicates import duplicate_keys
-from tamiz.session import BROADCAST_ROWS, join_side
+from tamiz.session import materialize
 
 REASONS = "reasons"
 
@@ -79,19 +79,15 @@ class FileSplit:
     failed: DataFrame
 
 
-def reject_files(
-    df: DataFrame,
-    failed: DataFrame,
-    file: str = "archivo_origen",
-    max_rows: int = BROADCAST_ROWS,
-) -> FileSplit:
-    """Take whole files out of ``df``.
+def reject_files(df: DataFrame, failed: DataFrame, file: str = "archivo_origen") -> FileSplit:
+    """Take the files named in ``failed`` out of ``df``; one row per failed file remains.
 
-    ``failed`` is evaluated once; its file names are broadcast while they are few,
-    otherwise both sides shuffle and adaptive execution splits a hot file.
+    ``failed`` is evaluated once and stored; its stored size decides whether the
+    names are broadcast or both sides shuffle.
     """
-    failed = join_side(failed, max_rows)
-    names = join_side(failed.select(file).distinct(), max_rows)
+    reasons = F.concat_ws("; ", F.array_sort(F.collect_set("reason"))).alias("reason")
+    failed = materialize(failed.groupBy(file).agg(reasons))
+    names = failed.select(file)
     return FileSplit(
         kept=df.join(names, file, "left_anti"),
         rejected=df.join(names, file, "left_semi"),

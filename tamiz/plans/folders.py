@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz import feeds
-from tamiz.operators.quality import REASONS, reject_files
+from tamiz.operators.quality import REASONS
 from tamiz.operators.schema import union_by_name
 from tamiz.plans.contacts import clean_contacts
 from tamiz.plans.messages import clean_messages
@@ -30,8 +30,9 @@ def payments_folder(
 ) -> Result:
     """Clean every payment file of a folder.
 
-    Each family is one scan of its own files. A file that is malformed, unknown or
-    has repeated ids is reported in ``failed_files``; the others go on.
+    Each family is one scan of its own files, and the checked rows are stored once. A
+    file that is malformed, unknown or has repeated ids is reported in
+    ``failed_files``; the others go on.
     """
     scans = {
         prefix: scan_text(spark, paths, columns, glob_for(prefix), multiline=multiline)
@@ -40,17 +41,16 @@ def payments_folder(
             (feeds.TICKET_PREFIX, feeds.TICKET_COLUMNS),
         )
     }
-    usable, failed, warnings = {}, [unknown_files(spark, paths)], []
-    for prefix, scan in scans.items():
-        split = reject_files(scan.rows, scan.failed_files)
-        usable[prefix] = split.kept
-        failed.append(split.failed)
-        warnings.append(scan.warnings)
+    agreements, tickets = scans.values()
     result = clean_payments(
-        usable[feeds.AGREEMENT_PREFIX], usable[feeds.TICKET_PREFIX],
-        warnings=union_by_name(*warnings), **options,
+        agreements.rows,
+        tickets.rows,
+        warnings=agreements.warnings.unionByName(tickets.warnings),
+        stage=True,
+        **options,
     )
-    failed_files = materialize(union_by_name(result.failed_files, *failed))
+    unusable = [unknown_files(spark, paths), agreements.failed_files, tickets.failed_files]
+    failed_files = materialize(union_by_name(result.failed_files, *unusable))
     return replace(result, failed_files=failed_files)
 
 
@@ -68,7 +68,9 @@ def files_without_valid_rows(result: Result) -> DataFrame:
 
 
 def _workbooks(spark: SparkSession, paths: Paths, columns: list[str], clean, **options) -> Result:
-    table, warnings, failed = split_sheets(read_workbooks(spark, paths), columns)
+    # Workbooks are parsed once; every later pass reads the stored columns.
+    sheets = materialize(read_workbooks(spark, paths))
+    table, warnings, failed = split_sheets(sheets, columns)
     result = clean(table, position="posicion", warnings=warnings, **options)
     return replace(result, failed_files=result.failed_files.unionByName(failed))
 

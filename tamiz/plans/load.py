@@ -11,7 +11,6 @@ from tamiz.operators.incremental import increment, load_metrics
 from tamiz.operators.quality import add_reasons, error_rows, missing_rules, too_long, valid_rows
 from tamiz.operators.schema import check_target, target_differences
 from tamiz.plans.result import Result
-from tamiz.session import materialize
 from tamiz.sinks.reports import write_error_report
 from tamiz.sinks.tables import append_batch, read_target
 
@@ -62,9 +61,8 @@ def load_batch(
     between = (first, last) if first else None
     target = read_target(spark, path, storage_schema(columns), between, before_batch=batch)
     found = increment(fitting, target)
-    new = materialize(found.new)
     if first:
-        append_batch(new.select(*columns), path, date, batch)
+        append_batch(found.new.select(*columns), path, date, batch)
     if report:
         write_error_report(errors, report)
-    return Load(load_metrics(fitting, errors, found.existing, date), new, errors)
+    return Load(load_metrics(fitting, errors, found.existing, date), found.new, errors)

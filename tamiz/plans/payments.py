@@ -12,21 +12,19 @@ from tamiz.functions.identity import record_id
 from tamiz.functions.numbers import to_decimal, truncated_sum
 from tamiz.functions.text import READER_NULLS, clean_nulls, first_filled, full_name
 from tamiz.operators.duplicates import duplicate_keys
-from tamiz.operators.quality import add_reasons, files_with_duplicates, reject_files
+from tamiz.operators.quality import add_reasons, failing_files, reject_files
 from tamiz.operators.schema import add_missing, keep_available, union_by_name
-from tamiz.plans.result import FAILED_SCHEMA, Result, no_warnings
-from tamiz.session import join_side
+from tamiz.plans.result import Result, no_warnings
+from tamiz.session import materialize
+from tamiz.sources.text import MALFORMED
 
+FILE = "archivo_origen"
 DUPLICATE_IDS = "ids duplicados"
 
 OUTPUT = [
     "id_registro", "nro_acuerdo", "nro_comparendo", "documento", "nombre_usuario",
     "valor", "fecha_pago", "archivo_origen", "identificador_infraccion", "fecha_carga",
 ]
-COMMON = [
-    "nro_acuerdo", "nro_comparendo", "documento", "nombre_usuario", "valor",
-    "consecutivo_cuota", "fecha_pago", "identificador_infraccion", "archivo_origen",
-]
 CONSOLIDATED = [
     "nro_acuerdo", "nro_comparendo", "id_usuario", "nombre_usuario", "valor",
     "fecha_pago", "archivo_origen",
@@ -35,7 +33,9 @@ CONSOLIDATED = [
 
 def _texts(raw: DataFrame, wanted: list[str]) -> DataFrame:
     """The wanted columns as clean text; a column the file lacks is null."""
-    found = add_missing(keep_available(raw, [*wanted, "archivo_origen"]), wanted)
+    found = add_missing(keep_available(raw, [*wanted, "archivo_origen", "malformed"]), wanted)
+    if "malformed" not in found.columns:
+        found = found.withColumn("malformed", F.lit(False))
     return clean_nulls(found, READER_NULLS, skip=("archivo_origen",))
 
 
@@ -51,6 +51,7 @@ def agreements(raw: DataFrame) -> DataFrame:
         F.col("fecha_liquida").alias("fecha_pago"),
         F.col("nro_acuerdo").alias("identificador_infraccion"),
         "archivo_origen",
+        "malformed",
     )
 
 
@@ -71,6 +72,7 @@ def tickets(raw: DataFrame, null_as_zero: bool = True) -> DataFrame:
         F.col("fecha_liquida_contrav").alias("fecha_pago"),
         number.alias("identificador_infraccion"),
         "archivo_origen",
+        "malformed",
     )
 
 
@@ -104,7 +106,7 @@ def annotate(df: DataFrame) -> DataFrame:
         "fecha_pago faltante": F.col("fecha_pago").isNull(),
         "identificador_infraccion faltante": F.col("identificador_infraccion").isNull(),
     }
-    return add_reasons(typed, rules).select(*OUTPUT, "reasons")
+    return add_reasons(typed, rules).select(*OUTPUT, "reasons", "malformed")
 
 
 def clean_payments(
@@ -112,11 +114,13 @@ def clean_payments(
     ticket_rows: DataFrame | None = None,
     on_duplicate: Literal["reject_file", "quarantine", "count"] = "reject_file",
     warnings: DataFrame | None = None,
+    stage: bool = False,
 ) -> Result:
     """Clean both payment families; rows carry ``archivo_origen``.
 
-    Two valid rows of one file with the same id make the file fail, unless
-    ``on_duplicate`` quarantines just those rows or only warns about them.
+    A malformed row makes its file fail. So do two valid rows of one file with the
+    same id, unless ``on_duplicate`` quarantines just those rows or only warns about
+    them. ``stage`` stores the checked rows before the file rules read them.
     """
     parts = []
     if agreement_rows is not None:
@@ -124,35 +128,36 @@ def clean_payments(
     if ticket_rows is not None:
         parts.append(tickets(ticket_rows))
     rows = annotate(union_by_name(*parts))
+    if stage:
+        rows = materialize(rows)
     spark = rows.sparkSession
     warnings = no_warnings(spark) if warnings is None else warnings
-    nothing = rows.where(F.lit(False))
-    no_files = spark.createDataFrame([], FAILED_SCHEMA)
     valid = rows.where(F.size("reasons") == 0)
+    repeated = duplicate_keys(valid.select(FILE, "id_registro"), [FILE, "id_registro"])
 
+    failed = failing_files(rows, {MALFORMED: F.col("malformed")})
     if on_duplicate == "reject_file":
-        failed = files_with_duplicates(valid, "id_registro", DUPLICATE_IDS)
-        split = reject_files(rows, failed)
-        return Result(split.kept, split.rejected, split.failed, warnings)
+        failed = failed.union(repeated.select(FILE, F.lit(DUPLICATE_IDS).alias("reason")).distinct())
+    split = reject_files(rows.drop("malformed"), failed)
+    kept = split.kept
 
-    repeated = duplicate_keys(
-        valid.select("archivo_origen", "id_registro"), ["archivo_origen", "id_registro"]
-    )
     if on_duplicate == "count":
-        noted = repeated.groupBy(F.col("archivo_origen").alias("source_file")).agg(
+        noted = repeated.groupBy(F.col(FILE).alias("source_file")).agg(
             F.lit(None).cast("string").alias("sheet_name"),
             F.lit("ids_duplicados").alias("code"),
             F.sum("n").cast("string").alias("detail"),
         )
-        return Result(rows, nothing, no_files, warnings.unionByName(noted))
-
-    side = join_side(repeated.select("archivo_origen", "id_registro", F.lit(True).alias("repeated")))
-    marked = rows.join(side, ["archivo_origen", "id_registro"], "left")
-    again = F.col("repeated") & (F.size("reasons") == 0)
-    reasons = F.when(again, F.array(F.lit(DUPLICATE_IDS))).otherwise(F.col("reasons"))
-    return Result(
-        marked.withColumn("reasons", reasons).select(*OUTPUT, "reasons"), nothing, no_files, warnings
-    )
+        warnings = warnings.unionByName(noted)
+    if on_duplicate == "quarantine":
+        side = materialize(repeated.select(FILE, "id_registro", F.lit(True).alias("again")))
+        again = F.coalesce("again", F.lit(False)) & (F.size("reasons") == 0)
+        reasons = F.when(again, F.array(F.lit(DUPLICATE_IDS))).otherwise(F.col("reasons"))
+        kept = (
+            kept.join(side, [FILE, "id_registro"], "left")
+            .withColumn("reasons", reasons)
+            .select(*OUTPUT, "reasons")
+        )
+    return Result(kept, split.rejected, split.failed, warnings, stored=stage)
 
 
 def consolidate_payments(agreement_rows: DataFrame, ticket_rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from tamiz.operators.quality import error_rows, valid_rows
-from tamiz.session import scratch
+from tamiz.session import materialize
 
 WARNING_SCHEMA = "source_file string, sheet_name string, code string, detail string"
 FAILED_SCHEMA = "archivo_origen string, reason string"
@@ -25,6 +25,7 @@ class Result:
     rejected: DataFrame
     failed_files: DataFrame
     warnings: DataFrame
+    stored: bool = False
 
     @property
     def valid(self) -> DataFrame:
@@ -35,13 +36,9 @@ class Result:
         return error_rows(self.rows)
 
     def staged(self) -> "Result":
-        """Write the rows to the shared folder once.
+        """Store the rows once, for a caller that reads ``valid`` and ``errors`` often.
 
-        For a caller that reads ``valid`` and ``errors`` several times, such as a
-        load: scan, parse and hash then run once, and a lost executor costs a
-        re-read instead of a re-run.
+        Scan, parse and hash then run once, and a lost executor costs a re-read
+        instead of a re-run.
         """
-        spark = self.rows.sparkSession
-        path = scratch(spark, "staged")
-        self.rows.write.parquet(path)
-        return replace(self, rows=spark.read.parquet(path))
+        return self if self.stored else replace(self, rows=materialize(self.rows), stored=True)

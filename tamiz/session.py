@@ -1,4 +1,4 @@
-"""Shared scratch space and size-checked joins."""
+"""Shared scratch space, stored intermediate tables, null-safe joins."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast only when its counted rows stay within this number.
-BROADCAST_ROWS = 500_000
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -35,21 +31,16 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and cut its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
-def join_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a join's lookup side and broadcast it if its count allows.
+    """Write ``df`` to the shared folder once and read it back.
 
-    Beyond ``max_rows`` the side carries no hint, so Spark shuffles both sides and
-    adaptive execution splits skewed partitions.
+    Lineage ends at the written table, so a lost executor costs a re-read. Spark
+    knows the size of the table: as a side of a join it is broadcast when it is
+    within ``spark.sql.autoBroadcastJoinThreshold``, otherwise both sides shuffle
+    and adaptive execution splits skewed partitions.
     """
-    side = materialize(df)
-    return F.broadcast(side) if side.count() <= max_rows else side
+    path = scratch(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_null_safe(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamiz.feeds import TEXT_ENCODING, TEXT_SEPARATOR
 from tamiz.functions.text import file_name
-from tamiz.session import join_side, materialize
+from tamiz.session import materialize
 
 TEXT_FILES = "*.[tT][xX][tT]"
 MALFORMED = "fila con más campos que el encabezado"
@@ -104,7 +104,10 @@ def read_headers(
 
 @dataclass
 class TextScan:
-    """Rows of the wanted columns, file headers, unusable files, missing columns."""
+    """Rows of the wanted columns, file headers, unusable files, missing columns.
+
+    A row with more cells than its file's header is marked ``malformed``.
+    """
 
     rows: DataFrame
     headers: DataFrame
@@ -142,24 +145,19 @@ def scan_text(
         .schema(schema)
         .load(paths)
         .select(F.array(*places).alias("__cells"), source_file().alias("archivo_origen"))
-        .join(join_side(positions), "archivo_origen")
+        .join(positions, "archivo_origen")
     )
     value = lambda i: F.get("__cells", F.col(f"__at_{i}").cast("int") - 1)
     rows = lines.select(
         *[value(i).alias(c) for i, c in enumerate(wanted)],
         "archivo_origen",
-        F.get("__cells", F.col("__size")).isNotNull().alias("__too_long"),
+        F.get("__cells", F.col("__size")).isNotNull().alias("malformed"),
     )
     empty = (
         file_names(spark, paths, glob)
         .join(headers.select("archivo_origen"), "archivo_origen", "left_anti")
         .withColumn("reason", F.lit(EMPTY_FILE))
     )
-    malformed = (
-        rows.where("__too_long")
-        .select("archivo_origen", F.lit(MALFORMED).alias("reason"))
-        .distinct()
-    )
     absent = F.array_except(F.array(*[F.lit(c) for c in wanted]), F.col("header"))
     warnings = headers.where(F.size(absent) > 0).select(
         F.col("archivo_origen").alias("source_file"),
@@ -167,4 +165,4 @@ def scan_text(
         F.lit("columnas_faltantes").alias("code"),
         F.concat_ws(", ", absent).alias("detail"),
     )
-    return TextScan(rows.drop("__too_long"), headers, empty.union(malformed), warnings)
+    return TextScan(rows, headers, empty, warnings)

@@ -78,13 +78,22 @@ def test_created_tables(spark, tmp_path):
     assert spark.table("t_sms").columns[:-2] == list(feeds.MESSAGE_TARGET)
 
 
-@pytest.mark.parametrize("max_rows", [0, 1000])
-def test_increment(spark, max_rows):
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_increment(spark, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        check_increment(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_increment(spark):
     batch = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1), ("c", 1)], "id_registro string, v int")
     target = spark.createDataFrame([("b",), ("b",), ("z",)], "id_registro string")
-    assert [r[0] for r in existing_ids(batch, target, max_rows=max_rows).collect()] == ["b"]
-    assert sorted(r.id_registro for r in new_rows(batch, target, max_rows=max_rows).collect()) == ["a", "a", "c"]
-    found = increment(batch, target, max_rows=max_rows)
+    assert [r[0] for r in existing_ids(batch, target).collect()] == ["b"]
+    assert sorted(r.id_registro for r in new_rows(batch, target).collect()) == ["a", "a", "c"]
+    found = increment(batch, target)
     assert sorted(map(tuple, found.new.collect())) == [("a", 1), ("c", 1)]
 
 
