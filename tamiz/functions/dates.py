@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -15,10 +16,32 @@ MIDNIGHT = r" 00:00:00(\.0+)?\z"
 YEAR_MONTH_DAY = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
 
 
+def shape(fmt: str) -> str | None:
+    """Pattern of the texts a digits-only format can fit; None for other formats."""
+    if re.search("[^yMdHmsS]|MMM", re.sub(r"[^A-Za-z]", "", fmt)):
+        return None
+
+    def digits(run: re.Match) -> str:
+        letter, n = run[0][0], len(run[0])
+        if letter == "S":
+            return f"[0-9]{{1,{n}}}"
+        return f"[0-9]{{{n}}}" if n > 1 else "[0-9]+"
+
+    pattern = fmt.replace(".", r"\.").replace("[", "(?:").replace("]", ")?")
+    return rf"\A{re.sub(r'([yMdHmsS])\1*', digits, pattern)}\z"
+
+
 def parse_timestamp(col: Column, formats: Sequence[str] = FORMATS) -> Column:
-    """The first format that fits, as a timestamp without time zone."""
+    """The first format that fits, as a timestamp without time zone.
+
+    A failed parse costs an exception, so only texts of a format's shape are tried.
+    """
     text = strip(col)
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    tries = []
+    for fmt in formats:
+        parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+        pattern = shape(fmt)
+        tries.append(F.when(text.rlike(pattern), parsed) if pattern else parsed)
     return F.coalesce(*tries)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tamiz.session import join_null_safe
+from tamiz.session import join_null_safe, materialize
 
 HOT_ROWS = 1_000_000  # a group of this size still fits one task comfortably
 HOT_GROUPS = 1_000  # at most this many groups are split
@@ -20,8 +20,8 @@ COPY_CHUNK = 10_000
 SKETCH_ITEMS = 2_048
 SKETCH_FAN_IN = 512
 
-_HASH, _ORDER, _BUCKET, _COPIES, _START, _CHUNK = (
-    "__key_hash", "__order", "__bucket", "__copies", "__start", "__chunk",
+_HASH, _HOT, _ORDER, _BUCKET, _COPIES, _START, _CHUNK = (
+    "__key_hash", "__hot", "__order", "__bucket", "__copies", "__start", "__chunk",
 )
 
 
@@ -69,10 +69,11 @@ def group_counter(
     if not hot:
         return rows.withColumn(name, F.row_number().over(plain).cast("bigint")).drop(_ORDER)
 
-    is_hot = F.xxhash64(*keys).isin(hot)
-    usual = rows.where(~is_hot).withColumn(name, F.row_number().over(plain).cast("bigint"))
+    # Several passes follow, so the rows are computed once and stored.
+    marked = materialize(rows.withColumn(_HOT, F.xxhash64(*keys).isin(hot)))
+    usual = marked.where(~F.col(_HOT)).withColumn(name, F.row_number().over(plain).cast("bigint"))
     number = _by_position if position else _by_content
-    spread = number(rows.where(is_hot), keys, order, name)
+    spread = number(marked.where(_HOT).drop(_HOT), keys, order, name)
     columns = [*df.columns, name]
     return usual.select(columns).union(spread.select(columns))
 

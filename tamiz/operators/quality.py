@@ -28,8 +28,13 @@ def any_missing(fields: list[str]) -> Column:
 
 def add_reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Add ``reasons``: the name of every rule whose condition is true."""
-    found = [F.when(condition, F.lit(name)) for name, condition in rules.items()]
-    return df.withColumn(REASONS, F.array_compact(F.array(*found)))
+    return df.withColumn(REASONS, _broken(rules))
+
+
+def _broken(rules: Mapping[str, Column]) -> Column:
+    """Names of the broken rules; unlike ``array_compact`` this is compiled code."""
+    found = F.array(*[F.when(condition, F.lit(name)) for name, condition in rules.items()])
+    return F.array_except(found, F.array(F.lit(None).cast("string")))
 
 
 def reason_text(reasons: Column | str = REASONS) -> Column:
@@ -59,8 +64,7 @@ def failing_files(
     Grouping by file combines map-side to one row per task and file, so a file
     holding most of the rows costs no more than any other.
     """
-    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
-    return df.select(F.col(file), F.explode(broken).alias("reason")).distinct()
+    return df.select(F.col(file), F.explode(_broken(rules)).alias("reason")).distinct()
 
 
 def files_with_duplicates(

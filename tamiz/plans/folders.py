@@ -46,7 +46,6 @@ def payments_folder(
         agreements.rows,
         tickets.rows,
         warnings=agreements.warnings.unionByName(tickets.warnings),
-        stage=True,
         **options,
     )
     unusable = [unknown_files(spark, paths), agreements.failed_files, tickets.failed_files]

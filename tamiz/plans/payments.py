@@ -114,13 +114,14 @@ def clean_payments(
     ticket_rows: DataFrame | None = None,
     on_duplicate: Literal["reject_file", "quarantine", "count"] = "reject_file",
     warnings: DataFrame | None = None,
-    stage: bool = False,
+    stage: bool = True,
 ) -> Result:
     """Clean both payment families; rows carry ``archivo_origen``.
 
     A malformed row makes its file fail. So do two valid rows of one file with the
     same id, unless ``on_duplicate`` quarantines just those rows or only warns about
-    them. ``stage`` stores the checked rows before the file rules read them.
+    them. The checked rows are stored once, then the file rules and every use of the
+    result read the columns they need; ``stage=False`` computes them each time.
     """
     parts = []
     if agreement_rows is not None:

@@ -15,6 +15,10 @@ MALFORMED = "fila con más campos que el encabezado"
 EMPTY_FILE = "archivo sin encabezado"
 UNKNOWN_FEED = "tipo de archivo no reconocido"
 
+# Up to this many files their column positions, some 200 bytes each, are broadcast;
+# with more of them rows and positions are shuffled by file.
+BROADCAST_FILES = 1_000_000
+
 Paths = str | list[str]
 
 
@@ -131,13 +135,15 @@ def scan_text(
     the file lacks is null and noted in ``warnings``.
     """
     headers = materialize(read_headers(spark, paths, glob, sep, encoding))
-    width = headers.agg(F.max(F.size("header"))).first()[0] or 1
-    places = [f"p{i}" for i in range(width + 1)]  # one more shows rows that are too long
+    width, files = headers.agg(F.max(F.size("header")), F.count(F.lit(1))).first()
+    places = [f"p{i}" for i in range((width or 1) + 1)]  # one more shows rows that are too long
     positions = headers.select(
         "archivo_origen",
         F.size("header").alias("__size"),
         *[F.array_position("header", c).alias(f"__at_{i}") for i, c in enumerate(wanted)],
     )
+    if files <= BROADCAST_FILES:
+        positions = F.broadcast(positions)
     schema = ", ".join(f"{p} string" for p in places)
     lines = (
         _csv(spark, glob, sep, encoding, multiline)
