@@ -2,9 +2,9 @@
 
 An ordinary group is numbered by a plain ``row_number`` window: one shuffle on the
 keys. A group that holds a large share of all rows would land in a single task, so
-groups found to be hot are cut into ordered buckets, numbered bucket by bucket, and
-moved up by the rows of the earlier buckets. Which groups count as hot changes only
-the plan, never the numbers.
+groups found to be hot are cut into ordered buckets of about ``hot_rows`` rows,
+numbered bucket by bucket, and moved up by the rows of the earlier buckets. Which
+groups count as hot changes only the plan, never the numbers.
 """
 
 from __future__ import annotations
@@ -14,23 +14,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tamiz.session import join_null_safe, materialize
 
 HOT_ROWS = 1_000_000  # a group of this size still fits one task comfortably
-HOT_GROUPS = 1_000  # at most this many groups are split
-BUCKETS = 256
-COPY_CHUNK = 10_000
-SKETCH_ITEMS = 2_048
+HOT_GROUPS = 10_000  # at most this many groups are split
+SKETCH_ITEMS = 65_536
 SKETCH_FAN_IN = 512
+CUTS = 256
+COPY_CHUNK = 500_000
 
-_HASH, _HOT, _ORDER, _BUCKET, _COPIES, _START, _CHUNK = (
-    "__key_hash", "__hot", "__order", "__bucket", "__copies", "__start", "__chunk",
+_HASH, _BITS, _ORDER, _BUCKET, _COPIES, _START, _CHUNK = (
+    "__key_hash", "__bits", "__order", "__bucket", "__copies", "__start", "__chunk",
 )
 
 
-def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the key groups that hold at least about ``hot_rows`` rows.
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[tuple[int, int]]:
+    """(hash of the keys, bits of its bucket number) of each group above ``hot_rows``.
 
     Heavy-hitter sketches are built per task, merged in two levels and queried once,
-    so no rows are shuffled; at most ``HOT_GROUPS`` numbers reach the driver. A
-    group the sketch misses is smaller than a 1/1000 part of the rows.
+    so no rows are shuffled; at most ``HOT_GROUPS`` pairs reach the driver. The
+    sketch may miss a group of less than a 1/10000 part of all rows.
     """
     sketch = f"{{}}({{}}, {SKETCH_ITEMS})"
     merged = (
@@ -40,7 +40,8 @@ def hot_hashes(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list
         .agg(F.expr(sketch.format("approx_top_k_combine", "s")).alias("s"))
     )
     heavy = merged.select(F.expr(f"inline(approx_top_k_estimate(s, {HOT_GROUPS}))"))
-    return [r["item"] for r in heavy.where(F.col("count") >= hot_rows).collect()]
+    found = heavy.where(F.col("count") >= hot_rows).collect()
+    return [(r["item"], max(1, (r["count"] // hot_rows).bit_length())) for r in found]
 
 
 def group_counter(
@@ -62,47 +63,51 @@ def group_counter(
     ]
     first = F.col(position) if position else F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
     order = [F.col(_ORDER), *[F.col(c) for c in rest if c != position]]
-    rows = df.withColumns({_ORDER: first})
+    rows = df.withColumn(_ORDER, first)
 
-    hot = hot_hashes(df, keys, hot_rows)
-    plain = Window.partitionBy(*keys).orderBy(*order)
+    hot = hot_groups(df, keys, hot_rows)
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     if not hot:
-        return rows.withColumn(name, F.row_number().over(plain).cast("bigint")).drop(_ORDER)
+        return rows.withColumn(name, plain).drop(_ORDER)
 
+    # At most HOT_GROUPS pairs of numbers.
+    pairs = F.broadcast(df.sparkSession.createDataFrame(hot, f"{_HASH} bigint, {_BITS} int"))
     # Several passes follow, so the rows are computed once and stored.
-    marked = materialize(rows.withColumn(_HOT, F.xxhash64(*keys).isin(hot)))
-    usual = marked.where(~F.col(_HOT)).withColumn(name, F.row_number().over(plain).cast("bigint"))
+    marked = materialize(
+        rows.withColumn(_HASH, F.xxhash64(*keys)).join(pairs, _HASH, "left").drop(_HASH)
+    )
+    usual = marked.where(F.col(_BITS).isNull()).withColumn(name, plain)
     number = _by_position if position else _by_content
-    spread = number(marked.where(_HOT).drop(_HOT), keys, order, name)
+    spread = number(marked.where(F.col(_BITS).isNotNull()), keys, order, name)
     columns = [*df.columns, name]
     return usual.select(columns).union(spread.select(columns))
 
 
-def _bucket_starts(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """Rows before each bucket of a group; at most HOT_GROUPS x BUCKETS rows."""
+def _with_earlier(rows: DataFrame, bucketed: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``__before``: the rows of ``bucketed`` in earlier buckets of the group.
+
+    There is one size per bucket, stored so that Spark knows whether to broadcast.
+    """
     earlier = (
         Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
-    sizes = rows.groupBy(*keys, _BUCKET).agg(F.sum(weight).alias("__size"))
-    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
-    return sizes.select(*keys, _BUCKET, before.cast("bigint").alias("__before"))
-
-
-def _with_starts(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    starts = F.broadcast(_bucket_starts(rows, keys, weight))
+    sizes = bucketed.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0)).cast("bigint").alias("__before")
+    starts = materialize(sizes.select(*keys, _BUCKET, before))
     return join_null_safe(rows, starts, [*keys, _BUCKET], extra=("__before",))
 
 
 def _by_content(hot: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    # The leading bits of a hash keep its order.
+    bucketed = hot.withColumn(_BUCKET, F.expr(f"shiftright({_ORDER}, 64 - {_BITS})"))
     # Copies collapse to one counted row before they are shuffled.
-    distinct = hot.groupBy(*hot.columns).agg(F.count(F.lit(1)).alias(_COPIES))
-    bucketed = distinct.withColumn(_BUCKET, F.shiftright(_ORDER, 56))
+    distinct = bucketed.groupBy(*bucketed.columns).agg(F.count(F.lit(1)).alias(_COPIES))
     before = (
         Window.partitionBy(*keys, _BUCKET)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    started = _with_starts(bucketed, keys, F.col(_COPIES)).withColumn(
+    started = _with_earlier(distinct, bucketed, keys).withColumn(
         _START, F.col("__before") + F.coalesce(F.sum(_COPIES).over(before), F.lit(0))
     )
     # Write the copies out again, in chunks spread over all tasks.
@@ -119,14 +124,25 @@ def _by_content(hot: DataFrame, keys: list[str], order: list[Column], name: str)
 
 
 def _by_position(hot: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    # The cut points only balance the buckets; any cut points give the same numbers.
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    """Buckets are intervals between percentiles, each cut into equal parts.
+
+    The percentiles only balance the buckets; any cut points give the same numbers.
+    """
+    shares = [i / CUTS for i in range(CUTS + 1)]
     cuts = hot.groupBy(*keys).agg(F.percentile_approx(_ORDER, shares).alias("__cuts"))
-    below = F.size(F.filter("__cuts", lambda cut: cut < F.col(_ORDER)))
-    # At most HOT_GROUPS rows of cut points.
-    cut = join_null_safe(hot, F.broadcast(cuts), keys, extra=("__cuts",))
-    bucketed = cut.withColumn(_BUCKET, below).drop("__cuts")
+    cut = join_null_safe(hot, materialize(cuts), keys, extra=("__cuts",))
+    inner = F.slice("__cuts", 2, CUTS - 1)
+    interval = F.size(F.filter(inner, lambda c: c < F.col(_ORDER)))
+    parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.col(_BITS) - 8)).cast("bigint")
+    low, high = F.get("__cuts", F.col("__interval")), F.get("__cuts", F.col("__interval") + 1)
+    share = (F.col(_ORDER).cast("double") - low) / F.greatest(high.cast("double") - low, F.lit(1.0))
+    part = F.least(parts - 1, F.greatest(F.lit(0), F.floor(share * parts)))
+    bucketed = (
+        cut.withColumn("__interval", interval)
+        .withColumn(_BUCKET, (F.col("__interval") * parts + part).cast("bigint"))
+        .drop("__cuts", "__interval")
+    )
     within = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    return _with_starts(bucketed, keys, F.lit(1)).withColumn(
+    return _with_earlier(bucketed, bucketed, keys).withColumn(
         name, F.col("__before") + F.row_number().over(within)
     )

@@ -65,7 +65,7 @@ def identify(df: DataFrame, position: str | None, hot_rows: int) -> DataFrame:
         F.col("identificador_infraccion"), F.col("resultado"),
     )
     counted = group_counter(
-        df.withColumn("base_id", base), ["archivo_origen", "base_id"], "contador", position, hot_rows
+        df.withColumn("base_id", base), ["base_id", "archivo_origen"], "contador", position, hot_rows
     )
     return counted.withColumn(
         "id_registro", F.sha2(F.concat_ws("_", "base_id", F.col("contador").cast("string")), 256)

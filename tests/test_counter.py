@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamiz.operators import counter as module
-from tamiz.operators.counter import group_counter, hot_hashes
+from tamiz.operators.counter import group_counter, hot_groups
 
 
 @pytest.fixture
@@ -19,15 +19,37 @@ def skewed(spark):
 
 
 def test_hot_groups_are_found(spark, skewed):
-    assert len(hot_hashes(skewed, ["k"], 1000)) == 1
-    assert hot_hashes(skewed, ["k"], 10_000) == []
+    assert [bits for _, bits in hot_groups(skewed, ["k"], 1000)] == [1]
+    assert [bits for _, bits in hot_groups(skewed, ["k"], 100)] == [4]  # 1500 rows in 16 buckets
+    assert hot_groups(skewed, ["k"], 10_000) == []
+
+
+def test_buckets_hold_about_hot_rows(spark, monkeypatch):
+    sizes = []
+    inner = module._with_earlier
+
+    def spy(rows, bucketed, keys):
+        sizes.append([r["count"] for r in bucketed.groupBy(*keys, "__bucket").count().collect()])
+        return inner(rows, bucketed, keys)
+
+    monkeypatch.setattr(module, "_with_earlier", spy)
+    # A dense run of positions and one far away.
+    df = spark.range(200_000).select(F.lit("a").alias("k"), F.when(F.col("id") == 0, 10**17).otherwise(F.col("id")).alias("p"))
+    for position in (None, "p"):
+        got = group_counter(df, ["k"], "n", position, hot_rows=100)
+        assert got.select("n").distinct().count() == 200_000 and got.agg(F.max("n")).first()[0] == 200_000
+        # A far position leaves at most its own interval, a 1/256 part, uneven.
+        assert max(sizes[-1]) < 200_000 / 256 + 100 and len(sizes[-1]) > 1000
+    ordered = got.orderBy("p").select("n").limit(5).collect()
+    assert [r.n for r in ordered] == [1, 2, 3, 4, 5]
 
 
 @pytest.mark.parametrize("position", [None, "p"])
-def test_split_groups_count_like_plain_ones(spark, skewed, position):
+@pytest.mark.parametrize("hot_rows", [1, 100])
+def test_split_groups_count_like_plain_ones(spark, skewed, position, hot_rows):
     df = skewed if position is None else skewed.where("p >= 0")
     plain = group_counter(df, ["k"], "n", position)
-    split = group_counter(df, ["k"], "n", position, hot_rows=100)
+    split = group_counter(df, ["k"], "n", position, hot_rows)
     assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
     sizes = Counter(r.k for r in df.collect())
     for r in split.groupBy("k").agg(F.collect_set("n").alias("s")).collect():
