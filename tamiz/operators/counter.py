@@ -17,7 +17,7 @@ HOT_ROWS = 1_000_000  # a group of this size still fits one task comfortably
 HOT_GROUPS = 10_000  # at most this many groups are split
 SKETCH_ITEMS = 65_536
 SKETCH_FAN_IN = 512
-CUTS = 256
+CUTS = 16  # percentiles: the square of this many
 COPY_CHUNK = 500_000
 
 _HASH, _BITS, _ORDER, _BUCKET, _COPIES, _START, _CHUNK = (
@@ -128,11 +128,14 @@ def _by_position(hot: DataFrame, keys: list[str], order: list[Column], name: str
 
     The percentiles only balance the buckets; any cut points give the same numbers.
     """
-    shares = [i / CUTS for i in range(CUTS + 1)]
+    shares = [i / CUTS**2 for i in range(CUTS**2 + 1)]
     cuts = hot.groupBy(*keys).agg(F.percentile_approx(_ORDER, shares).alias("__cuts"))
     cut = join_null_safe(hot, materialize(cuts), keys, extra=("__cuts",))
-    inner = F.slice("__cuts", 2, CUTS - 1)
-    interval = F.size(F.filter(inner, lambda c: c < F.col(_ORDER)))
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(_ORDER)))
+    # Look among every CUTS-th cut first, then among the cuts that follow it.
+    coarse = F.array(*[F.get("__cuts", F.lit(i * CUTS)) for i in range(1, CUTS)])
+    first = below(coarse) * CUTS
+    interval = first + below(F.slice("__cuts", first + 2, CUTS - 1))
     parts = F.pow(F.lit(2), F.greatest(F.lit(0), F.col(_BITS) - 8)).cast("bigint")
     low, high = F.get("__cuts", F.col("__interval")), F.get("__cuts", F.col("__interval") + 1)
     share = (F.col(_ORDER).cast("double") - low) / F.greatest(high.cast("double") - low, F.lit(1.0))
