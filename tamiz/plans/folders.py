@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz import feeds
 from tamiz.operators.quality import REASONS
-from tamiz.operators.schema import union_by_name
 from tamiz.plans.contacts import clean_contacts
 from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import clean_payments
 from tamiz.plans.result import Result
 from tamiz.session import materialize
-from tamiz.sources.text import UNKNOWN_FEED, Paths, file_names, glob_for, scan_text
+from tamiz.sources.text import EMPTY_FILE, UNKNOWN_FEED, Paths, file_names, glob_for, scan_text
 from tamiz.sources.workbook import read_workbooks, split_sheets
 
 
-def unknown_files(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Text files whose name belongs to no payment family."""
+def unusable_files(names: DataFrame, headers: DataFrame) -> DataFrame:
+    """Files of ``names`` no header was read from: of unknown kind, or empty."""
     name = F.col("archivo_origen")
     known = name.startswith(feeds.AGREEMENT_PREFIX) | name.startswith(feeds.TICKET_PREFIX)
-    return file_names(spark, paths).where(~known).withColumn("reason", F.lit(UNKNOWN_FEED))
+    reason = F.when(known, EMPTY_FILE).otherwise(UNKNOWN_FEED).alias("reason")
+    unread = names.join(headers.select("archivo_origen"), "archivo_origen", "left_anti")
+    return unread.select("archivo_origen", reason)
 
 
 def payments_folder(
@@ -48,8 +49,9 @@ def payments_folder(
         warnings=agreements.warnings.unionByName(tickets.warnings),
         **options,
     )
-    unusable = [unknown_files(spark, paths), agreements.failed_files, tickets.failed_files]
-    failed_files = materialize(union_by_name(result.failed_files, *unusable))
+    headers = agreements.headers.unionByName(tickets.headers)
+    unusable = unusable_files(file_names(spark, paths), headers)
+    failed_files = materialize(result.failed_files.unionByName(unusable))
     return replace(result, failed_files=failed_files)
 
 

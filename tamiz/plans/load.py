@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tamiz import feeds
 from tamiz.operators.incremental import increment, load_metrics
 from tamiz.operators.quality import add_reasons, error_rows, missing_rules, too_long, valid_rows
-from tamiz.operators.schema import check_target, target_differences
+from tamiz.operators.schema import check_target
 from tamiz.plans.result import Result
 from tamiz.sinks.reports import write_error_report
 from tamiz.sinks.tables import append_batch, read_target
@@ -17,6 +17,9 @@ from tamiz.sinks.tables import append_batch, read_target
 # The date that places a row in the target.
 DATES = {"gestiones": "fecha_gestion", "sms": "fecha_sms", "pagos": "fecha_pago"}
 
+# Derived for reports; no target has it.
+REPORT_ONLY = ["fecha_gestion_sencilla"]
+
 
 def storage_schema(columns: dict[str, str]) -> str:
     """A target's columns as a reader schema: text without length, no defaults."""
@@ -51,11 +54,9 @@ def load_batch(
     spark = result.rows.sparkSession
     columns, date = feeds.TARGETS[table], DATES[table]
     staged = result.staged()
-    # Columns derived for reports only are not part of the target.
-    extra = target_differences(staged.valid.columns, list(columns))["desconocida"]
-    valid = check_target(staged.valid.drop(*extra), list(columns), exact=True)
+    valid = check_target(staged.valid.drop(*REPORT_ONLY), list(columns), exact=True)
     fitting, unfit = fit_target(valid, columns)
-    errors = staged.errors.drop(*extra).unionByName(unfit)
+    errors = staged.errors.drop(*REPORT_ONLY).unionByName(unfit)
 
     first, last = fitting.agg(F.min(date), F.max(date)).first()
     between = (first, last) if first else None

@@ -33,6 +33,11 @@ def create_table(
     )
 
 
+def table_columns(spark: SparkSession, name: str) -> list[str]:
+    """Columns of a target table, without those that only place its files."""
+    return [c for c in spark.table(name).columns if c not in (MONTH, BATCH)]
+
+
 def unfit_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Rows with a null the target does not take."""
     absent = [F.col(c).isNull() for c in mandatory(columns) if c in df.columns]

@@ -19,6 +19,11 @@ UNKNOWN_FEED = "tipo de archivo no reconocido"
 # with more of them rows and positions are shuffled by file.
 BROADCAST_FILES = 1_000_000
 
+BLANK_CHUNK = 100_000
+
+# Lines the line-by-line CSV reader takes for empty.
+NOTHING = r"\A[\x00-\x20]*\z"
+
 Paths = str | list[str]
 
 
@@ -83,39 +88,45 @@ def read_headers(
     sep: str = TEXT_SEPARATOR,
     encoding: str = TEXT_ENCODING,
 ) -> DataFrame:
-    """(archivo_origen, header) of every file that has one, one row per file.
+    """(path, archivo_origen, header, blank) of every file that has a header.
 
-    Only lines of a file's first block take part, and each task keeps one line per
-    file before anything is shuffled.
+    ``blank`` counts the lines that hold nothing but separators. Each task keeps one
+    row per file before anything is shuffled.
     """
     lines = (
         spark.read.format("text")
         .option("pathGlobFilter", glob)
         .load(paths)
-        .where("_metadata.file_block_start = 0")
         .select(
+            F.col("_metadata.file_path").alias("path"),
             source_file().alias("archivo_origen"),
+            F.col("value").rlike(NOTHING).alias("nothing"),
+            (F.col("_metadata.file_block_start") == 0).alias("first_block"),
             "value",
             F.monotonically_increasing_id().alias("line"),
         )
-        .where(F.trim("value") != "")
     )
-    first = lines.groupBy("archivo_origen").agg(F.min_by("value", "line").alias("value"))
+    candidate = F.col("first_block") & ~F.col("nothing")
+    found = lines.groupBy("path", "archivo_origen").agg(
+        F.min_by("value", F.when(candidate, F.col("line"))).alias("value"),
+        F.count_if(F.col("nothing") & F.contains("value", F.lit(sep))).alias("blank"),
+    )
     text = F.rtrim(F.decode(F.col("value").cast("binary"), encoding), F.lit("\r"))
     cells = F.transform(F.split(text, sep), lambda c: F.regexp_replace(c, r'\A"(.*)"\z', "$1"))
-    return first.select("archivo_origen", cells.alias("header"))
+    return found.select("path", "archivo_origen", cells.alias("header"), "blank").where(
+        F.col("header").isNotNull()
+    )
 
 
 @dataclass
 class TextScan:
-    """Rows of the wanted columns, file headers, unusable files, missing columns.
+    """Rows of the wanted columns, file headers, and notes on missing columns.
 
     A row with more cells than its file's header is marked ``malformed``.
     """
 
     rows: DataFrame
     headers: DataFrame
-    failed_files: DataFrame
     warnings: DataFrame
 
 
@@ -138,6 +149,7 @@ def scan_text(
     width, files = headers.agg(F.max(F.size("header")), F.count(F.lit(1))).first()
     places = [f"p{i}" for i in range((width or 1) + 1)]  # one more shows rows that are too long
     positions = headers.select(
+        "path",
         "archivo_origen",
         F.size("header").alias("__size"),
         *[F.array_position("header", c).alias(f"__at_{i}") for i, c in enumerate(wanted)],
@@ -150,8 +162,8 @@ def scan_text(
         .option("header", True)
         .schema(schema)
         .load(paths)
-        .select(F.array(*places).alias("__cells"), source_file().alias("archivo_origen"))
-        .join(positions, "archivo_origen")
+        .select(F.array(*places).alias("__cells"), F.col("_metadata.file_path").alias("path"))
+        .join(positions, "path")
     )
     value = lambda i: F.get("__cells", F.col(f"__at_{i}").cast("int") - 1)
     rows = lines.select(
@@ -159,11 +171,8 @@ def scan_text(
         "archivo_origen",
         F.get("__cells", F.col("__size")).isNotNull().alias("malformed"),
     )
-    empty = (
-        file_names(spark, paths, glob)
-        .join(headers.select("archivo_origen"), "archivo_origen", "left_anti")
-        .withColumn("reason", F.lit(EMPTY_FILE))
-    )
+    if not multiline:
+        rows = rows.union(_blank_rows(headers, wanted))
     absent = F.array_except(F.array(*[F.lit(c) for c in wanted]), F.col("header"))
     warnings = headers.where(F.size(absent) > 0).select(
         F.col("archivo_origen").alias("source_file"),
@@ -171,4 +180,16 @@ def scan_text(
         F.lit("columnas_faltantes").alias("code"),
         F.concat_ws(", ", absent).alias("detail"),
     )
-    return TextScan(rows, headers, empty, warnings)
+    return TextScan(rows, headers, warnings)
+
+
+def _blank_rows(headers: DataFrame, wanted: list[str]) -> DataFrame:
+    """The rows of empty cells, which the line-by-line reader leaves out."""
+    last = F.floor((F.col("blank") - 1) / BLANK_CHUNK).cast("bigint")
+    chunks = headers.where("blank > 0").select(
+        "archivo_origen", "blank", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk")
+    )
+    size = F.least(F.lit(BLANK_CHUNK).cast("bigint"), F.col("blank") - F.col("chunk") * BLANK_CHUNK)
+    each = chunks.select("archivo_origen", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    nulls = [F.lit(None).cast("string").alias(c) for c in wanted]
+    return each.select(*nulls, "archivo_origen", F.lit(False).alias("malformed"))

@@ -116,16 +116,22 @@ def _rows(content: bytes, only: int | None) -> Iterator[tuple]:
         for number, (title, member) in enumerate(_sheets(book)):
             if only is not None and number != only:
                 continue
-            header: list[str] | None = None
             with book.open(member) as xml:
-                for position, cells in enumerate(_sheet_rows(xml, strings, date_styles, epoch)):
-                    if header is None:
-                        header = _header(cells)
-                        yield number, title, HEADER_ROW, dict.fromkeys(header)
-                    elif any(v is not None for v in cells.values()):
-                        yield number, title, position, {
-                            c: cells.get(i) for i, c in enumerate(header)
-                        }
+                rows = _sheet_rows(xml, strings, date_styles, epoch)
+                top, cells = next(rows, (None, None))
+                if top is None:
+                    continue
+                header = _header(cells)
+                yield number, title, HEADER_ROW, dict.fromkeys(header)
+                last = top
+                for at, cells in rows:
+                    if all(v is None for v in cells.values()):
+                        continue
+                    # Empty rows count between others, not after the last one.
+                    for blank in range(last + 1, at):
+                        yield number, title, blank - top, dict.fromkeys(header)
+                    yield number, title, at - top, {c: cells.get(i) for i, c in enumerate(header)}
+                    last = at
 
 
 def _header(cells: dict[int, str | None]) -> list[str]:
@@ -181,17 +187,20 @@ def _styles(book: zipfile.ZipFile) -> tuple[set[int], dt.datetime]:
     return {i for i, f in enumerate(formats) if f in dated}, epoch
 
 
-def _sheet_rows(xml, strings, date_styles, epoch) -> Iterator[dict[int, str | None]]:
-    """Cells by column index; parsed as a stream, one row in memory."""
-    for _, row in ElementTree.iterparse(xml):
-        if row.tag != f"{_MAIN}row":
-            continue
-        cells, column = {}, -1
-        for c in row.findall(f"{_MAIN}c"):
-            column = _column(c.get("r"), column + 1)
-            cells[column] = _value(c, strings, date_styles, epoch)
-        yield cells
-        row.clear()
+def _sheet_rows(xml, strings, date_styles, epoch) -> Iterator[tuple[int, dict[int, str | None]]]:
+    """Row number and cells by column index; parsed as a stream, one row in memory."""
+    data, at = None, 0
+    for event, element in ElementTree.iterparse(xml, events=("start", "end")):
+        if event == "start":
+            data = element if element.tag == f"{_MAIN}sheetData" else data
+        elif element.tag == f"{_MAIN}row":
+            at = int(element.get("r", at + 1))
+            cells, column = {}, -1
+            for c in element.findall(f"{_MAIN}c"):
+                column = _column(c.get("r"), column + 1)
+                cells[column] = _value(c, strings, date_styles, epoch)
+            yield at, cells
+            data.clear()
 
 
 def _column(reference: str | None, default: int) -> int:

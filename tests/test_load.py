@@ -10,11 +10,12 @@ from tamiz.operators.incremental import existing_ids, increment, new_rows, obser
 from tamiz.operators.schema import MissingColumns
 from tamiz.plans.folders import payments_folder
 from tamiz.plans.load import fit_target, load_batch, storage_schema
+from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import clean_payments
 from tamiz.sinks.reports import report_name, sample_errors
-from tamiz.sinks.tables import append_batch, create_table, read_target, unfit_rows
+from tamiz.sinks.tables import append_batch, create_table, read_target, table_columns, unfit_rows
 from tamiz.streaming.file_drop import load_dropped_payments
-from tests.test_pipelines import AP, payments
+from tests.test_pipelines import AP, CONTACT, MESSAGE, contacts, payments, rows
 from tests.test_sources import AP_HEADER, agreement, write
 
 SCHEMA = storage_schema(feeds.PAYMENT_TARGET)
@@ -45,6 +46,22 @@ def test_lookup_reads_only_the_months_of_the_batch(spark, tmp_path):
     assert rows.count() == 1
 
 
+@pytest.mark.parametrize("table", ["gestiones", "sms"])
+def test_counted_feeds_load_once(spark, tmp_path, table):
+    def clean():
+        if table == "gestiones":
+            return contacts(spark, [CONTACT, CONTACT, CONTACT | {"Funcionario": None}])
+        return clean_messages(rows(spark, feeds.MESSAGE_COLUMNS, [MESSAGE, MESSAGE, MESSAGE | {"FECHA": "x"}]))
+
+    target = str(tmp_path / table)
+    first = load_batch(clean(), table, target, "b1").metrics.first()
+    assert (first.validos, first.con_error, first.nuevos) == (2, 1, 2)
+    again = load_batch(clean(), table, target, "b2").metrics.first()
+    assert (again.existentes, again.nuevos) == (2, 0)
+    held = read_target(spark, target, storage_schema(feeds.TARGETS[table]))
+    assert held.count() == 2 and held.columns[:-2] == list(feeds.TARGETS[table])
+
+
 def test_rows_the_target_does_not_take(spark, tmp_path):
     long_name = payments(spark, [AP | dict(nombres="N" * 60), AP])
     fitting, unfit = fit_target(long_name.valid, feeds.PAYMENT_TARGET)
@@ -75,7 +92,7 @@ def test_created_tables(spark, tmp_path):
     append_batch(rows.select(*feeds.PAYMENT_TARGET), str(tmp_path / "pagos"), "fecha_pago", "b1")
     spark.catalog.recoverPartitions("t_pagos")
     assert spark.table("t_pagos").first().documento == "1010"
-    assert spark.table("t_sms").columns[:-2] == list(feeds.MESSAGE_TARGET)
+    assert table_columns(spark, "t_sms") == list(feeds.MESSAGE_TARGET)
 
 
 @pytest.mark.parametrize("threshold", ["-1", "10MB"])

@@ -29,7 +29,7 @@ def agreement(number, valor="10", name="ANA"):
 
 @pytest.fixture
 def folder(tmp_path):
-    write(tmp_path / "Ap pagados 02 ñ+.txt", AP_HEADER, agreement("1"), "", agreement("2", valor='"5"'))
+    write(tmp_path / "Ap pagados 02 ñ+.txt", AP_HEADER, agreement("1"), "", agreement("2", valor='"5"'), "\t\t\t\t\t\t", " \t")
     # Other column order, an extra column, one column missing.
     write(tmp_path / "Ap pagados b.TXT", "extra\tvalor\tnombres\tapellidos\tfecha_liquida\tid_usuario\tnro_acuerdo",
           "x\t7\tLUIS\tGIL\t2025-01-03\t99\t3", "y\tNA\tLUIS\tGIL\t2025-01-03\t99\t4")
@@ -58,7 +58,9 @@ def test_folder_of_payments(spark, folder):
         "Ap pagados long.txt": "fila con más campos que el encabezado",
         "Ap pagados vacio.txt": "archivo sin encabezado",
     }
-    assert [(r.identificador_infraccion, r.reasons) for r in result.errors.where("archivo_origen like 'Ap%'").collect()] == [("4", ["valor faltante"])]
+    assert [(r.identificador_infraccion, r.reasons) for r in result.errors.where("archivo_origen like 'Ap%' and documento is not null").collect()] == [("4", ["valor faltante"])]
+    blank = result.errors.where("documento is null").collect()
+    assert [(r.archivo_origen, len(r.reasons)) for r in blank] == [("Ap pagados 02 ñ+.txt", 5)] * 2
     assert {(r.source_file, r.detail) for r in result.warnings.collect()} == {("Ap pagados b.TXT", "consecutivo_cuota")}
     assert [r.source_file for r in files_without_valid_rows(result).collect()] == ["Comparendos pagados malos.txt"]
 
@@ -81,6 +83,14 @@ def test_headers_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_same_name_in_two_folders(spark, tmp_path):
+    for name, header in (("a", "x\ty"), ("b", "y\tx")):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "f.txt", header, "1\t2")
+    scan = scan_text(spark, [str(tmp_path / "a"), str(tmp_path / "b")], ["x", "y"])
+    assert sorted(tuple(r)[:2] for r in scan.rows.collect()) == [("1", "2"), ("2", "1")]
+
+
 def test_quoted_cells(spark, tmp_path):
     write(tmp_path / "a.txt", "x\ty", 'p\t"q ""r"" s"', '"t\tu"\tv')
     got = read_text(spark, str(tmp_path), ["x", "y"]).select("x", "y").collect()
@@ -88,6 +98,7 @@ def test_quoted_cells(spark, tmp_path):
     write(tmp_path / "a.txt", "x\ty", '"two\nlines"\tv')
     scan = scan_text(spark, str(tmp_path), ["y", "x", "z"], multiline=True)
     assert [tuple(r)[:3] for r in scan.rows.collect()] == [("v", "two\nlines", None)]
+    assert scan.warnings.first().detail == "z"
 
 
 def test_encodings(spark, tmp_path):
@@ -131,14 +142,14 @@ def test_contact_workbooks(spark, tmp_path):
 
 def test_message_workbook_and_first_sheet(spark, tmp_path):
     row = dict(zip(feeds.MESSAGE_COLUMNS, ["CC", 777, "ANA", (45293, 2), "OK", "hola", "BASE1", 3009876543, "C-9"]))
-    sheets = {"uno": [feeds.MESSAGE_COLUMNS, list(row.values())], "dos": [["x"], ["1"], [None], [2.5]]}
+    sheets = {"uno": [feeds.MESSAGE_COLUMNS, list(row.values())], "dos": [["x"], ["1"], [None], [2.5], [None]]}
     (tmp_path / "m.xlsx").write_bytes(workbook(sheets, STYLES))
     got = messages_folder(spark, str(tmp_path)).valid.first()
     assert got.id_registro == "5138fac0ec61daff7fe99f01a3acc68ca15fd674fe395f20d3d10747f92c0aa8"
     first = read_workbooks(spark, str(tmp_path), sheet=0)
     assert {r.sheet_name for r in first.collect()} == {"uno"}
     second = read_workbooks(spark, str(tmp_path), sheet=1).where("row_no > 0").orderBy("row_no")
-    assert [r.cells["x"] for r in second.collect()] == ["1", "2.5"]
+    assert [(r.row_no, r.cells["x"]) for r in second.collect()] == [(1, "1"), (2, None), (3, "2.5")]
 
 
 def test_database_options(spark, monkeypatch):
