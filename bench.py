@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 from tamiz.queries import QUERIES
 
 HEADLINE = [
-    "pipeline_payments", "pipeline_payments_errors", "pipeline_contacts", "pipeline_messages",
-    "record_id", "record_id_counter", "group_counter_by_content", "group_counter_hot_position",
+    "payments_valid", "payments_errors", "contacts_valid", "messages_valid",
+    "record_id", "record_id_counter", "group_counter", "group_counter_hot_position",
     "group_counter_hot_copies", "duplicate_rows", "reject_groups", "incremental_new",
     "incremental_existing", "incremental_load", "load_metrics", "truncated_sum", "numeric_coerce",
     "parse_dates_multi", "text_ops", "encoding_detect", "max_length_profile", "null_profile",

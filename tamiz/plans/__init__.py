@@ -1 +1 @@
-"""Ready pipelines composed from the operators."""
+"""Ready plans composed from the operators."""

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tamiz import feeds
-from tamiz.operators.incremental import increment, load_metrics
+from tamiz.operators.incremental import increment
 from tamiz.operators.quality import add_reasons, error_rows, missing_rules, too_long, valid_rows
 from tamiz.operators.schema import check_target
 from tamiz.plans.result import Result
 from tamiz.sinks.reports import write_error_report
-from tamiz.sinks.tables import append_batch, read_target
+from tamiz.sinks.tables import BATCH, MONTH, append_batch, read_target
 
 # The date that places a row in the target.
 DATES = {"gestiones": "fecha_gestion", "sms": "fecha_sms", "pagos": "fecha_pago"}
@@ -37,7 +37,9 @@ def fit_target(rows: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, Dat
 
 @dataclass
 class Load:
-    metrics: DataFrame
+    """Counts of a load, the rows appended, and every row that was not."""
+
+    metrics: dict[str, object]
     new: DataFrame
     errors: DataFrame
 
@@ -53,17 +55,29 @@ def load_batch(
     """
     spark = result.rows.sparkSession
     columns, date = feeds.TARGETS[table], DATES[table]
+    schema = storage_schema(columns)
     staged = result.staged()
     valid = check_target(staged.valid.drop(*REPORT_ONLY), list(columns), exact=True)
     fitting, unfit = fit_target(valid, columns)
     errors = staged.errors.drop(*REPORT_ONLY).unionByName(unfit)
 
-    first, last = fitting.agg(F.min(date), F.max(date)).first()
-    between = (first, last) if first else None
-    target = read_target(spark, path, storage_schema(columns), between, before_batch=batch)
+    count, first, last = fitting.agg(F.count(F.lit(1)), F.min(date), F.max(date)).first()
+    between = (first, last) if count else None
+    target = read_target(spark, path, schema, between, before_batch=batch)
     found = increment(fitting, target)
-    if first:
+    if count:
         append_batch(found.new.select(*columns), path, date, batch)
     if report:
         write_error_report(errors, report)
-    return Load(load_metrics(fitting, errors, found.existing, date), found.new, errors)
+    # The counts come from what is stored now: file footers for the new rows.
+    new = read_target(spark, path, schema, batch=batch).drop(MONTH, BATCH)
+    known, added = found.existing.count(), new.count()
+    metrics = {
+        "validos": count,
+        "con_error": errors.count(),
+        "unicos": known + added,
+        "existentes": known,
+        "nuevos": added,
+        "ultima_fecha": last,
+    }
+    return Load(metrics, new, errors)

@@ -1,4 +1,4 @@
-"""What a pipeline returns."""
+"""What a plan returns."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamiz.functions import dates, identity, numbers, text
-from tamiz.operators.counter import group_counter
+from tamiz.operators import counter
 from tamiz.operators.schema import fill_defaults as fill
 from tamiz.queries.registry import query, table
 
@@ -228,7 +228,7 @@ def record_id_counter(spark, folder):
         F.col("user_id"), F.col("event_type"), dates.epoch_text(F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     )
     df = table(spark, folder, "events").select("event_id", base.alias("base"))
-    counted = group_counter(df, ["base"], "n", position="event_id")
+    counted = counter.group_counter(df, ["base"], "n", position="event_id")
     return counted.select(
         "event_id", identity.record_id(F.col("base"), F.col("n")).alias("id_registro")
     )
@@ -236,9 +236,9 @@ def record_id_counter(spark, folder):
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS contador
  FROM lineitem""")
-def group_counter_by_content(spark, folder):
+def group_counter(spark, folder):
     lines = table(spark, folder, "lineitem")
-    return group_counter(lines, ["l_orderkey", "l_linenumber"]).select(
+    return counter.group_counter(lines, ["l_orderkey", "l_linenumber"]).select(
         "l_orderkey", "l_linenumber", "contador"
     )
 
@@ -248,7 +248,7 @@ def group_counter_by_content(spark, folder):
 def group_counter_hot_position(spark, folder):
     """A handful of groups hold everything, so every group is cut into buckets."""
     events = table(spark, folder, "events").select("event_id", "event_type")
-    return group_counter(events, ["event_type"], position="event_id", hot_rows=100)
+    return counter.group_counter(events, ["event_type"], position="event_id", hot_rows=100)
 
 
 @query("""SELECT l_returnflag, l_linestatus, dia_par, row_number() OVER
@@ -260,4 +260,4 @@ def group_counter_hot_copies(spark, folder):
         "l_returnflag", "l_linestatus",
         (F.dayofmonth("l_shipdate").cast("bigint") % 2).alias("dia_par"),
     )
-    return group_counter(copies, copies.columns, hot_rows=100)
+    return counter.group_counter(copies, copies.columns, hot_rows=100)

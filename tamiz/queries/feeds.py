@@ -1,4 +1,4 @@
-"""The three pipelines over the supplied tables, end to end."""
+"""The three feeds over the supplied tables, end to end."""
 
 from __future__ import annotations
 
@@ -64,22 +64,22 @@ def payments(spark, folder, **options):
 
 
 @query(SQL_PAYMENTS)
-def pipeline_payments(spark, folder):
+def payments_valid(spark, folder):
     return comparable(payments(spark, folder).valid, "fecha_pago")
 
 
 @query(SQL_BOTH + "SELECT * FROM checked WHERE reasons <> '' AND archivo_origen NOT IN (FROM failed)")
-def pipeline_payments_errors(spark, folder):
+def payments_errors(spark, folder):
     return comparable(payments(spark, folder).errors, "fecha_pago")
 
 
 @query(SQL_BOTH + "SELECT * FROM checked WHERE archivo_origen IN (FROM failed)")
-def pipeline_payments_rejected(spark, folder):
+def payments_rejected(spark, folder):
     return comparable(payments(spark, folder).rejected, "fecha_pago")
 
 
 @query(SQL_BOTH + "SELECT archivo_origen, 'ids duplicados' AS reason FROM failed")
-def pipeline_payments_failed_files(spark, folder):
+def payments_failed_files(spark, folder):
     return payments(spark, folder).failed_files
 
 
@@ -148,18 +148,18 @@ def contacts(spark, folder, **options):
 
 
 @query(SQL_CONTACTS + "SELECT * EXCLUDE (reasons) FROM checked WHERE reasons = ''")
-def pipeline_contacts(spark, folder):
+def contacts_valid(spark, folder):
     return comparable(contacts(spark, folder).valid, "fecha_gestion")
 
 
 @query(SQL_CONTACTS + "SELECT * FROM checked WHERE reasons <> ''")
-def pipeline_contacts_errors(spark, folder):
+def contacts_errors(spark, folder):
     return comparable(contacts(spark, folder).errors, "fecha_gestion")
 
 
 @query(SQL_CONTACTS + """SELECT c.archivo_origen, 'fecha_gestion no válida' AS reason, count(*) AS filas
  FROM coded c JOIN failed USING (archivo_origen) GROUP BY ALL""")
-def pipeline_contacts_rejected(spark, folder):
+def contacts_rejected(spark, folder):
     result = contacts(spark, folder)
     counted = result.rejected.groupBy("archivo_origen").agg(F.count(F.lit(1)).alias("filas"))
     return counted.join(result.failed_files, "archivo_origen").select("archivo_origen", "reason", "filas")
@@ -204,12 +204,12 @@ def messages(spark, folder):
 
 
 @query(SQL_MESSAGES + "SELECT * EXCLUDE (reasons) FROM checked WHERE reasons = ''")
-def pipeline_messages(spark, folder):
+def messages_valid(spark, folder):
     return comparable(messages(spark, folder).valid)
 
 
 @query(SQL_MESSAGES + "SELECT * FROM checked WHERE reasons <> ''")
-def pipeline_messages_errors(spark, folder):
+def messages_errors(spark, folder):
     return comparable(messages(spark, folder).errors)
 
 

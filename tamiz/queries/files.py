@@ -14,7 +14,7 @@ from tamiz.plans.folders import payments_folder
 from tamiz.plans.load import storage_schema
 from tamiz.queries import raw
 from tamiz.queries.loads import SQL_AGREEMENT_ROWS
-from tamiz.queries.pipelines import SQL_BOTH, comparable
+from tamiz.queries.feeds import SQL_BOTH, comparable
 from tamiz.queries.registry import query, table
 from tamiz.session import scratch
 from tamiz.sinks.tables import read_target

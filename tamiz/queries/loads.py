@@ -9,7 +9,7 @@ from tamiz.operators import incremental
 from tamiz.plans.load import load_batch, storage_schema
 from tamiz.plans.payments import clean_payments
 from tamiz.queries import raw
-from tamiz.queries.pipelines import SQL_BOTH, SQL_PAYMENTS, comparable, payments
+from tamiz.queries.feeds import SQL_BOTH, SQL_PAYMENTS, comparable, payments
 from tamiz.queries.registry import query, table
 from tamiz.session import scratch
 from tamiz.sinks.reports import write_error_report
@@ -70,7 +70,9 @@ def incremental_load(spark, folder):
     load_batch(whole, "pagos", target, "early")
     whole.rows = rows
     metrics = load_batch(whole, "pagos", target, "whole").metrics
-    return metrics.withColumn("ultima_fecha", F.date_format("ultima_fecha", "yyyy-MM-dd HH:mm:ss"))
+    last = metrics.pop("ultima_fecha").strftime("%Y-%m-%d %H:%M:%S")
+    counts = [F.lit(v).cast("bigint").alias(k) for k, v in metrics.items()]
+    return spark.range(1).select(*counts, F.lit(last).alias("ultima_fecha"))
 
 
 @query(SQL_AGREEMENT_ROWS + "SELECT * EXCLUDE (reasons) FROM checked WHERE reasons = ''")

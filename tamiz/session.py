@@ -26,8 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; nothing is created yet.
+
+    All paths of an application lie in one folder, to be removed when it has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/tamiz-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -73,11 +73,13 @@ def read_target(
     schema: str,
     between: tuple[dt.datetime, dt.datetime] | None = None,
     before_batch: str | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
     """Rows of a target, limited to the months of a batch by partition pruning.
 
     Equal ids hold equal dates, so other months cannot hold an id of the batch.
-    ``before_batch`` leaves that batch's own folders out, for a repeated load.
+    ``before_batch`` leaves that batch's own folders out, for a repeated load;
+    ``batch`` reads only them.
     """
     stored = f"{schema}, {MONTH} string, {BATCH} string"
     # An empty append creates the folder of a target that has no batch yet.
@@ -87,4 +89,6 @@ def read_target(
         rows = rows.where(F.col(MONTH).between(f"{between[0]:%Y-%m}", f"{between[1]:%Y-%m}"))
     if before_batch:
         rows = rows.where(F.col(BATCH) != before_batch)
+    if batch:
+        rows = rows.where(F.col(BATCH) == batch)
     return rows

@@ -1,4 +1,4 @@
-"""Golden ids and row-level decisions of the three pipelines."""
+"""Golden ids and row-level decisions of the three feeds."""
 
 import hashlib
 

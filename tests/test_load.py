@@ -15,7 +15,7 @@ from tamiz.plans.payments import clean_payments
 from tamiz.sinks.reports import report_name, sample_errors
 from tamiz.sinks.tables import append_batch, create_table, read_target, table_columns, unfit_rows
 from tamiz.streaming.file_drop import load_dropped_payments
-from tests.test_pipelines import AP, CONTACT, MESSAGE, contacts, payments, rows
+from tests.test_feeds import AP, CONTACT, MESSAGE, contacts, payments, rows
 from tests.test_sources import AP_HEADER, agreement, write
 
 SCHEMA = storage_schema(feeds.PAYMENT_TARGET)
@@ -25,12 +25,12 @@ def test_second_load_adds_nothing(spark, tmp_path):
     target, report = str(tmp_path / "pagos"), str(tmp_path / "errores")
     result = payments(spark, [AP, AP | dict(valor="7", fecha_liquida="2025-03-01"), AP | dict(valor="x")])
     first = load_batch(result, "pagos", target, "b1", report)
-    assert first.metrics.first().asDict() == dict(
+    assert first.metrics == dict(
         validos=2, con_error=1, unicos=2, existentes=0, nuevos=2, ultima_fecha=dt.datetime(2025, 3, 1))
     again = load_batch(result, "pagos", target, "b1")
-    assert again.metrics.first().nuevos == 2  # the same batch replaces itself
+    assert again.metrics["nuevos"] == 2  # the same batch replaces itself
     other = load_batch(result, "pagos", target, "b2")
-    assert (other.metrics.first().existentes, other.metrics.first().nuevos) == (2, 0)
+    assert (other.metrics["existentes"], other.metrics["nuevos"]) == (2, 0)
     assert read_target(spark, target, SCHEMA).count() == 2
     text = spark.read.option("header", True).csv(report).first()
     assert text.reasons == "valor faltante" and text.documento == "1010"
@@ -54,10 +54,10 @@ def test_counted_feeds_load_once(spark, tmp_path, table):
         return clean_messages(rows(spark, feeds.MESSAGE_COLUMNS, [MESSAGE, MESSAGE, MESSAGE | {"FECHA": "x"}]))
 
     target = str(tmp_path / table)
-    first = load_batch(clean(), table, target, "b1").metrics.first()
-    assert (first.validos, first.con_error, first.nuevos) == (2, 1, 2)
-    again = load_batch(clean(), table, target, "b2").metrics.first()
-    assert (again.existentes, again.nuevos) == (2, 0)
+    first = load_batch(clean(), table, target, "b1").metrics
+    assert (first["validos"], first["con_error"], first["nuevos"]) == (2, 1, 2)
+    again = load_batch(clean(), table, target, "b2").metrics
+    assert (again["existentes"], again["nuevos"]) == (2, 0)
     held = read_target(spark, target, storage_schema(feeds.TARGETS[table]))
     assert held.count() == 2 and held.columns[:-2] == list(feeds.TARGETS[table])
 
@@ -67,7 +67,7 @@ def test_rows_the_target_does_not_take(spark, tmp_path):
     fitting, unfit = fit_target(long_name.valid, feeds.PAYMENT_TARGET)
     assert fitting.count() == 1 and unfit.first().reasons == ["nombre_usuario excede 50"]
     loaded = load_batch(long_name, "pagos", str(tmp_path / "p"), "b1")
-    assert loaded.metrics.first().nuevos == 1 and loaded.errors.count() == 1
+    assert loaded.metrics["nuevos"] == 1 and loaded.new.count() == 1 and loaded.errors.count() == 1
     assert unfit_rows(long_name.valid, feeds.PAYMENT_TARGET).count() == 0
 
 
