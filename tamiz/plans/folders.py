@@ -7,10 +7,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz import feeds
+from tamiz.functions.numbers import to_bigint
 from tamiz.operators.quality import REASONS
 from tamiz.plans.contacts import clean_contacts
 from tamiz.plans.messages import clean_messages
-from tamiz.plans.payments import clean_payments
+from tamiz.plans.payments import CONSOLIDATED, clean_payments, consolidate_payments
 from tamiz.plans.result import Result
 from tamiz.session import materialize
 from tamiz.sources.text import EMPTY_FILE, UNKNOWN_FEED, Paths, file_names, glob_for, scan_text
@@ -55,6 +56,28 @@ def payments_folder(
     return replace(result, failed_files=failed_files)
 
 
+def concatenated_folder(
+    spark: SparkSession, paths: Paths, whole_numbers: tuple[str, ...] = ("nro_acuerdo", "id_usuario")
+) -> DataFrame:
+    """All rows and all columns of a folder's text files, whatever their headers.
+
+    ``whole_numbers`` become integers, null where a cell is none.
+    """
+    rows = scan_text(spark, paths).rows.drop("malformed")
+    typed = {c: to_bigint(F.col(c)) for c in whole_numbers if c in rows.columns}
+    return rows.withColumns(typed).withColumnRenamed("archivo_origen", "Fuente_Archivo")
+
+
+def consolidated_folder(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Both payment families in one table of texts; other files give what they have."""
+    families = (feeds.AGREEMENT_PREFIX, feeds.TICKET_PREFIX)
+    agreements = scan_text(spark, paths, feeds.AGREEMENT_COLUMNS, glob_for(families[0])).rows
+    tickets = scan_text(spark, paths, feeds.TICKET_COLUMNS, glob_for(families[1])).rows
+    others = scan_text(spark, paths, CONSOLIDATED[:-1], outside=families).rows
+    both = consolidate_payments(agreements, tickets)
+    return both.unionByName(others.select(*CONSOLIDATED))
+
+
 def files_without_valid_rows(result: Result) -> DataFrame:
     """Warnings for files whose rows are all errors; one count row per file and task."""
     counted = result.rows.groupBy("archivo_origen").agg(

@@ -97,13 +97,16 @@ def payments_duplicates_counted(spark, folder):
     return payments(spark, folder, on_duplicate="count").warnings.drop("sheet_name")
 
 
-@query(f"""WITH a AS ({raw.SQL_AGREEMENTS}), b AS ({raw.SQL_TICKETS})
+SQL_CONSOLIDATED = f"""WITH a AS ({raw.SQL_AGREEMENTS}), b AS ({raw.SQL_TICKETS})
  SELECT nro_acuerdo, CAST(NULL AS VARCHAR) AS nro_comparendo, id_usuario,
   trim(concat(coalesce(nombres, ''), ' ', coalesce(apellidos, ''))) AS nombre_usuario, valor,
   fecha_liquida AS fecha_pago, archivo_origen FROM a
  UNION ALL SELECT NULL, coalesce(nullif(nro_comparendo, ''), nro_resolucion), id_usuario, concat(nombres, ' ', apellidos),
   CAST(CAST(trunc(CAST(compute_0004 AS DECIMAL(28,6)) + CAST(intereses AS DECIMAL(28,6))) AS BIGINT) AS VARCHAR),
-  fecha_liquida_contrav, archivo_origen FROM b""")
+  fecha_liquida_contrav, archivo_origen FROM b"""
+
+
+@query(SQL_CONSOLIDATED)
 def consolidate_payments(spark, folder):
     return consolidate(raw.raw_agreements(spark, folder), raw.raw_tickets(spark, folder))
 

@@ -10,16 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tamiz import feeds
-from tamiz.plans.folders import payments_folder
+from tamiz.plans.folders import concatenated_folder, consolidated_folder, payments_folder
 from tamiz.plans.load import storage_schema
 from tamiz.queries import raw
 from tamiz.queries.loads import SQL_AGREEMENT_ROWS
-from tamiz.queries.feeds import SQL_BOTH, comparable
+from tamiz.queries.feeds import SQL_BOTH, SQL_CONSOLIDATED, comparable
 from tamiz.queries.registry import query, table
 from tamiz.session import scratch
 from tamiz.sinks.tables import read_target
 from tamiz.sources.files import decode_content
-from tamiz.sources.text import read_text
+from tamiz.sources.text import read_text, scan_text
 from tamiz.sources.workbook import parse_workbooks, split_sheets
 from tamiz.streaming.file_drop import load_dropped_payments
 
@@ -92,6 +92,36 @@ def scan_folder_failed(spark, folder):
     return failed.select(family.alias("familia"), "reason").distinct()
 
 
+@query(f"""SELECT 'Ap pagados' AS familia, count(*) AS filas, 7 AS columnas FROM ({raw.SQL_AGREEMENTS})
+ UNION ALL SELECT 'Comparendos pagados', count(*) FILTER (archivo_origen <> 'B_1996'), 10 FROM ({raw.SQL_TICKETS})
+ UNION ALL SELECT 'Comparendos pagados 1996', count(*) FILTER (archivo_origen = 'B_1996'), 10 FROM ({raw.SQL_TICKETS})
+ UNION ALL SELECT 'Otros', count(*), 4 FROM supplier""")
+def scan_file_shapes(spark, folder):
+    shapes = scan_text(spark, write_payment_folder(spark, folder)).shapes()
+    family = F.regexp_replace("archivo_origen", r" \d+\.(txt|TXT)\z", "")
+    return shapes.groupBy(family.alias("familia")).agg(
+        F.sum("filas").alias("filas"), F.max("columnas").cast("int").alias("columnas")
+    )
+
+
+@query(f"""SELECT * EXCLUDE (archivo_origen) REPLACE (TRY_CAST(nro_acuerdo AS BIGINT) AS nro_acuerdo,
+   TRY_CAST(id_usuario AS BIGINT) AS id_usuario) FROM ({raw.SQL_AGREEMENTS})
+ UNION ALL BY NAME SELECT * EXCLUDE (archivo_origen) REPLACE (TRY_CAST(id_usuario AS BIGINT) AS id_usuario,
+   nullif(nro_comparendo, '') AS nro_comparendo), 'x' AS extra FROM ({raw.SQL_TICKETS})
+ UNION ALL BY NAME SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey,
+  CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS s_acctbal FROM supplier""")
+def scan_folder_concatenated(spark, folder):
+    """Every column of every file, whatever the headers."""
+    rows = concatenated_folder(spark, write_payment_folder(spark, folder)).drop("Fuente_Archivo")
+    return rows.withColumn("s_acctbal", F.col("s_acctbal").try_cast("decimal(12,2)").cast("string"))
+
+
+@query(SQL_CONSOLIDATED.replace(", archivo_origen FROM", " FROM") + """
+ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL FROM supplier""")
+def scan_folder_consolidated(spark, folder):
+    return consolidated_folder(spark, write_payment_folder(spark, folder)).drop("archivo_origen")
+
+
 @query(SQL_AGREEMENT_ROWS + """SELECT * EXCLUDE (reasons, archivo_origen) FROM checked WHERE reasons = ''""")
 def stream_file_drop(spark, folder):
     """Half of the files are dropped and loaded, then the rest, then nothing new."""

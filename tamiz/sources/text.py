@@ -20,6 +20,7 @@ UNKNOWN_FEED = "tipo de archivo no reconocido"
 BROADCAST_FILES = 1_000_000
 
 BLANK_CHUNK = 100_000
+SPARE_CELLS = 8  # read beyond the widest header, to notice rows that are too long
 
 # Lines the line-by-line CSV reader takes for empty.
 NOTHING = r"\A[\x00-\x20]*\z"
@@ -81,12 +82,21 @@ def _csv(spark: SparkSession, glob: str, sep: str, encoding: str, multiline: boo
     )
 
 
+def named_otherwise(prefixes: tuple[str, ...]) -> Column:
+    """Files whose name starts with none of ``prefixes``; the others are not read."""
+    condition = F.lit(True)
+    for p in prefixes:
+        condition = condition & ~source_file().startswith(p)
+    return condition
+
+
 def read_headers(
     spark: SparkSession,
     paths: Paths,
     glob: str = TEXT_FILES,
     sep: str = TEXT_SEPARATOR,
     encoding: str = TEXT_ENCODING,
+    outside: tuple[str, ...] = (),
 ) -> DataFrame:
     """(path, archivo_origen, header, blank) of every file that has a header.
 
@@ -97,6 +107,7 @@ def read_headers(
         spark.read.format("text")
         .option("pathGlobFilter", glob)
         .load(paths)
+        .where(named_otherwise(outside))
         .select(
             F.col("_metadata.file_path").alias("path"),
             source_file().alias("archivo_origen"),
@@ -122,32 +133,43 @@ def read_headers(
 class TextScan:
     """Rows of the wanted columns, file headers, and notes on missing columns.
 
-    A row with more cells than its file's header is marked ``malformed``.
+    A row with a filled cell beyond its file's header is marked ``malformed``.
     """
 
     rows: DataFrame
     headers: DataFrame
     warnings: DataFrame
 
+    def shapes(self) -> DataFrame:
+        """Rows and columns of every file."""
+        counted = self.rows.groupBy("archivo_origen").agg(F.count(F.lit(1)).alias("filas"))
+        widths = self.headers.select("archivo_origen", F.size("header").cast("bigint").alias("columnas"))
+        filled = widths.join(counted, "archivo_origen", "left")
+        return filled.fillna({"filas": 0}).select("archivo_origen", "filas", "columnas")
+
 
 def scan_text(
     spark: SparkSession,
     paths: Paths,
-    wanted: list[str],
+    wanted: list[str] | None = None,
     glob: str = TEXT_FILES,
     sep: str = TEXT_SEPARATOR,
     encoding: str = TEXT_ENCODING,
     multiline: bool = False,
+    outside: tuple[str, ...] = (),
 ) -> TextScan:
     """Scan files with different headers in one pass over their rows.
 
     Rows are read by position and each file's own header says which position holds
     which column, so column order and extra columns do not matter. A wanted column
-    the file lacks is null and noted in ``warnings``.
+    the file lacks is null and noted in ``warnings``. Without ``wanted`` every column
+    that any file has is read. Files named with a prefix in ``outside`` are left out.
     """
-    headers = materialize(read_headers(spark, paths, glob, sep, encoding))
+    headers = materialize(read_headers(spark, paths, glob, sep, encoding, outside))
     width, files = headers.agg(F.max(F.size("header")), F.count(F.lit(1))).first()
-    places = [f"p{i}" for i in range((width or 1) + 1)]  # one more shows rows that are too long
+    if wanted is None:
+        wanted = header_columns(headers)
+    places = [f"p{i}" for i in range((width or 1) + SPARE_CELLS)]
     positions = headers.select(
         "path",
         "archivo_origen",
@@ -162,6 +184,7 @@ def scan_text(
         .option("header", True)
         .schema(schema)
         .load(paths)
+        .where(named_otherwise(outside))
         .select(F.array(*places).alias("__cells"), F.col("_metadata.file_path").alias("path"))
         .join(positions, "path")
     )
@@ -169,7 +192,7 @@ def scan_text(
     rows = lines.select(
         *[value(i).alias(c) for i, c in enumerate(wanted)],
         "archivo_origen",
-        F.get("__cells", F.col("__size")).isNotNull().alias("malformed"),
+        (F.concat_ws("", F.slice("__cells", F.col("__size") + 1, len(places))) != "").alias("malformed"),
     )
     if not multiline:
         rows = rows.union(_blank_rows(headers, wanted))
@@ -183,6 +206,13 @@ def scan_text(
     return TextScan(rows, headers, warnings)
 
 
+def header_columns(headers: DataFrame) -> list[str]:
+    """Every column name once, those of the first file first."""
+    named = headers.select("archivo_origen", F.posexplode("header"))
+    first = named.groupBy("col").agg(F.min(F.struct("archivo_origen", "pos")).alias("place"))
+    return [r["col"] for r in first.orderBy("place").collect()]
+
+
 def _blank_rows(headers: DataFrame, wanted: list[str]) -> DataFrame:
     """The rows of empty cells, which the line-by-line reader leaves out."""
     last = F.floor((F.col("blank") - 1) / BLANK_CHUNK).cast("bigint")

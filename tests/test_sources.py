@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tamiz import feeds
 from tamiz.plans.folders import (
-    contacts_folder, files_without_valid_rows, messages_folder, payments_folder,
+    concatenated_folder, consolidated_folder, contacts_folder, files_without_valid_rows, messages_folder,
+    payments_folder,
 )
+from tamiz.plans.payments import CONSOLIDATED
 from tamiz.sinks.database import write_options
 from tamiz.sources.database import connection_options, key_query, month_predicates
 from tamiz.sources.files import read_files
@@ -83,6 +85,26 @@ def test_headers_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_whole_folder_as_one_table(spark, folder):
+    table = concatenated_folder(spark, str(folder))
+    assert table.columns[-1] == "Fuente_Archivo" and {"extra", "a", "b", "nro_recibo"} <= set(table.columns)
+    assert table.where("a = '1'").first().Fuente_Archivo == "otro.txt"
+    assert table.where("extra = 'x'").first().id_usuario == 99
+    texts = consolidated_folder(spark, str(folder))
+    assert texts.columns == CONSOLIDATED
+    found = {(r.nro_comparendo, r.valor, r.archivo_origen) for r in texts.where("nro_acuerdo is null").collect()}
+    assert ("C-1", "12099", "Comparendos pagados 1.txt") in found and (None, None, "otro.txt") in found
+    shapes = {r.archivo_origen: (r.filas, r.columnas) for r in scan_text(spark, str(folder)).shapes().collect()}
+    assert shapes["Ap pagados b.TXT"] == (2, 7) and shapes["otro.txt"] == (1, 2)
+
+
+def test_other_families_are_not_read(spark, folder):
+    headers = read_headers(spark, str(folder), outside=("Ap pagados", "Comparendos pagados"))
+    assert [r.archivo_origen for r in headers.collect()] == ["otro.txt"]
+    plan = headers._jdf.queryExecution().executedPlan().toString()
+    assert "file_name" in plan
+
+
 def test_same_name_in_two_folders(spark, tmp_path):
     for name, header in (("a", "x\ty"), ("b", "y\tx")):
         (tmp_path / name).mkdir()
