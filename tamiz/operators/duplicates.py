@@ -23,7 +23,14 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """The smallest row of each key: repeatable, and combined before the shuffle."""
+    """One row of each key: the smallest, so that a repeated run gives the same.
+
+    Only the keys are shuffled to find the repeated ones. Rows of other keys stay
+    where they are; copies are combined map-side before they move.
+    """
+    repeated = materialize(duplicate_keys(df, [key]).drop("n"))
+    once = join_null_safe(df, repeated, [key], "left_anti")
+    several = join_null_safe(df, repeated, [key], "left_semi")
     rest = [c for c in df.columns if c != key]
-    smallest = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("row"))
-    return smallest.select(key, "row.*").select(*df.columns)
+    smallest = several.groupBy(key).agg(F.min(F.struct(*rest)).alias("row"))
+    return once.unionByName(smallest.select(key, "row.*"))

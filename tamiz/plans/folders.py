@@ -78,16 +78,21 @@ def consolidated_folder(spark: SparkSession, paths: Paths) -> DataFrame:
     return both.unionByName(others.select(*CONSOLIDATED))
 
 
-def files_without_valid_rows(result: Result) -> DataFrame:
-    """Warnings for files whose rows are all errors; one count row per file and task."""
-    counted = result.rows.groupBy("archivo_origen").agg(
-        F.count_if(F.size(REASONS) == 0).alias("valid"), F.count(F.lit(1)).alias("n")
+def file_counts(result: Result) -> DataFrame:
+    """Valid and error rows of every file; one row per file leaves each task."""
+    fine = F.size(REASONS) == 0
+    return result.rows.groupBy("archivo_origen").agg(
+        F.count_if(fine).alias("validos"), F.count_if(~fine).alias("con_error")
     )
-    return counted.where("valid = 0").select(
+
+
+def files_without_valid_rows(result: Result) -> DataFrame:
+    """Warnings for files whose rows are all errors."""
+    return file_counts(result).where("validos = 0").select(
         F.col("archivo_origen").alias("source_file"),
         F.lit(None).cast("string").alias("sheet_name"),
         F.lit("sin_registros_validos").alias("code"),
-        F.col("n").cast("string").alias("detail"),
+        F.col("con_error").cast("string").alias("detail"),
     )
 
 

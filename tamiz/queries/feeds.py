@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tamiz.operators.quality import reason_text
 from tamiz.plans.contacts import clean_contacts
-from tamiz.plans.folders import files_without_valid_rows
+from tamiz.plans.folders import file_counts, files_without_valid_rows
 from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import clean_payments, consolidate_payments as consolidate
 from tamiz.queries import raw
@@ -78,6 +78,12 @@ def payments_rejected(spark, folder):
     return comparable(payments(spark, folder).rejected, "fecha_pago")
 
 
+@query(SQL_BOTH + """SELECT archivo_origen, count(*) FILTER (reasons = '') AS validos,
+ count(*) FILTER (reasons <> '') AS con_error FROM checked WHERE archivo_origen NOT IN (FROM failed) GROUP BY ALL""")
+def payments_file_counts(spark, folder):
+    return file_counts(payments(spark, folder))
+
+
 @query(SQL_BOTH + "SELECT archivo_origen, 'ids duplicados' AS reason FROM failed")
 def payments_failed_files(spark, folder):
     return payments(spark, folder).failed_files

@@ -1,6 +1,9 @@
 """Golden ids and row-level decisions of the three feeds."""
 
 import hashlib
+import random
+from collections import Counter
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +179,68 @@ def test_message_errors_and_lengths(spark):
     assert empty not in {r.id_registro for r in bad.collect()}  # a readable moment is hashed
 
 
+def untidy(rng, n):
+    pick = rng.choice
+    return [
+        {
+            "Número documento": pick(["1", "2", "NULL", None]), "Teléfono": pick(["7", " ", "8"]),
+            "Funcionario": pick(["a", "b", "nan"]), "Fecha gestión": pick(["2024-01-02", "2024-01-02 03:04:05", "02/01/2024"]),
+            "Código gestión": pick(["", "c"]), "Resultado": pick(["r", "s"]), "Obligación": pick([None, "o"]),
+            "Nombre": str(rng.randrange(3)), "Valor": pick(["1", "x"]), "file": pick(["f1", "f2"]),
+        }
+        for _ in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nothing_is_lost_and_ids_are_repeatable(spark, seed):
+    rng = random.Random(seed)
+    data = untidy(rng, 400)
+    runs = []
+    for partitions, hot_rows in ((1, 10**6), (7, 10**6), (3, 5)):
+        rng.shuffle(data)
+        raw = rows(spark, feeds.CONTACT_COLUMNS, data).repartition(partitions)
+        result = clean_contacts(raw, hot_rows=hot_rows)
+        valid, errors = result.valid, result.errors
+        assert valid.count() + errors.count() + result.rejected.count() == 400
+        assert result.rows.select("archivo_origen", "id_registro").distinct().count() == 400
+        runs.append(sorted(map(tuple, result.rows.drop("fecha_carga").collect()), key=repr))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def plain_message_ids(data):
+    """The ids of clean messages, computed row by row."""
+    seen, ids = Counter(), []
+    for r in data:
+        moment = datetime.fromisoformat(r["FECHA"]).replace(tzinfo=timezone.utc).timestamp()
+        key = "_".join([r["DOCUMENTO"], r["TELEFONO"], str(moment), r["NRO_COMPARENDO"] or r["DOCUMENTO"], r["BASE"]])
+        seen[key] += 1
+        ids.append(hashlib.sha256(f"{key}_{seen[key]}".encode()).hexdigest())
+    return ids
+
+
+def test_message_ids_match_a_plain_computation(spark):
+    rng = random.Random(5)
+    data = [
+        {"DOCUMENTO": str(rng.randrange(5)), "TELEFONO": f"300000000{rng.randrange(3)}", "FECHA": f"2024-01-0{rng.randrange(1, 4)}",
+         "NRO_COMPARENDO": rng.choice([None, "C-1"]), "BASE": rng.choice("ab"), "SMS": str(i)}
+        for i in range(500)
+    ]
+    raw = rows(spark, feeds.MESSAGE_COLUMNS, data).withColumn("p", F.col("SMS").cast("bigint"))
+    got = clean_messages(raw.repartition(5), position="p").valid.collect()
+    assert {r.texto_sms: r.id_registro for r in got} == {d["SMS"]: i for d, i in zip(data, plain_message_ids(data))}
+
+
+@pytest.mark.parametrize("policy", ["reject_file", "quarantine", "count"])
+def test_stored_and_computed_rows_agree(spark, policy):
+    a = [AP, AP, AP | dict(valor="7"), AP | dict(file="Ap pagados 2.txt"), AP | dict(valor="x")]
+    shown = [
+        (sorted(map(tuple, r.valid.drop("fecha_carga").collect())), r.errors.count(), r.rejected.count())
+        for r in (payments(spark, a, [CO], on_duplicate=policy, stage=s) for s in (True, False))
+    ]
+    assert shown[0] == shown[1]
+
+
 def test_messages_are_renamed_at_once(spark):
     sheet = spark.createDataFrame([("cc", "Ana", "B1")], "`DESC_DOCUMENTO` string, `NOMBRES` string, `NOMBRE` string")
     other = spark.createDataFrame([("ti", "x")], "`DESC_DOCUMENTO` string, `SMS` string")
