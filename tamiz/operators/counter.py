@@ -37,6 +37,8 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list
         df.select(F.xxhash64(*keys).alias(_HASH))
         .groupBy((F.spark_partition_id() % SKETCH_FAN_IN).alias("part"))
         .agg(F.expr(sketch.format("approx_top_k_accumulate", _HASH)).alias("s"))
+        # Grouped, since a combination of no sketches at all fails on an empty partition.
+        .groupBy(F.lit(0).alias("all"))
         .agg(F.expr(sketch.format("approx_top_k_combine", "s")).alias("s"))
     )
     heavy = merged.select(F.expr(f"inline(approx_top_k_estimate(s, {HOT_GROUPS}))"))

@@ -12,6 +12,18 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def repeated_ids(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as :func:`duplicate_keys` for long keys such as text ids.
+
+    Counting 64-bit hashes of the keys moves a fraction of their bytes. Only keys
+    whose hash occurs twice, almost all of them truly repeated, are then counted
+    themselves, so the answer is exact.
+    """
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("__hash"))
+    suspects = materialize(duplicate_keys(hashed, ["__hash"]).select("__hash"))
+    return duplicate_keys(hashed.join(suspects, "__hash", "left_semi"), keys)
+
+
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every row of every repeated key (nulls are equal).
 
@@ -28,7 +40,7 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     Only the keys are shuffled to find the repeated ones. Rows of other keys stay
     where they are; copies are combined map-side before they move.
     """
-    repeated = materialize(duplicate_keys(df, [key]).drop("n"))
+    repeated = materialize(repeated_ids(df, [key]).drop("n"))
     once = join_null_safe(df, repeated, [key], "left_anti")
     several = join_null_safe(df, repeated, [key], "left_semi")
     rest = [c for c in df.columns if c != key]

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamiz.operators.duplicates import duplicate_keys
+from tamiz.operators.duplicates import repeated_ids
 from tamiz.session import materialize
 
 REASONS = "reasons"
@@ -70,7 +70,7 @@ def failing_files(
 def files_with_duplicates(
     df: DataFrame, key: str, reason: str, file: str = "archivo_origen"
 ) -> DataFrame:
-    repeated = duplicate_keys(df.select(file, key), [file, key])
+    repeated = repeated_ids(df, [file, key])
     return repeated.select(file, F.lit(reason).alias("reason")).distinct()
 
 

@@ -11,7 +11,7 @@ from tamiz.functions.dates import parse_timestamp
 from tamiz.functions.identity import record_id
 from tamiz.functions.numbers import to_decimal, truncated_sum
 from tamiz.functions.text import READER_NULLS, clean_nulls, first_filled, full_name
-from tamiz.operators.duplicates import duplicate_keys
+from tamiz.operators.duplicates import repeated_ids
 from tamiz.operators.quality import add_reasons, failing_files, reject_files
 from tamiz.operators.schema import add_missing, keep_available, union_by_name
 from tamiz.plans.result import Result, no_warnings
@@ -134,7 +134,7 @@ def clean_payments(
     spark = rows.sparkSession
     warnings = no_warnings(spark) if warnings is None else warnings
     valid = rows.where(F.size("reasons") == 0)
-    repeated = duplicate_keys(valid.select(FILE, "id_registro"), [FILE, "id_registro"])
+    repeated = repeated_ids(valid, [FILE, "id_registro"])
 
     failed = failing_files(rows, {MALFORMED: F.col("malformed")})
     if on_duplicate == "reject_file":

@@ -24,6 +24,17 @@ def test_hot_groups_are_found(spark, skewed):
     assert hot_groups(skewed, ["k"], 10_000) == []
 
 
+def test_empty_partitions_and_empty_tables(spark, skewed):
+    assert hot_groups(skewed.where("false"), ["k"], 1) == []
+    assert group_counter(skewed.where("false"), ["k"], "n", hot_rows=1).count() == 0
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len(hot_groups(skewed.where("k is null or k = 'hot'").repartition(40), ["k"], 1000)) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_buckets_hold_about_hot_rows(spark, monkeypatch):
     sizes = []
     inner = module._with_earlier

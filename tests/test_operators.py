@@ -71,6 +71,10 @@ def test_rejected_files(spark, people, threshold):
 
 def test_duplicates(people):
     assert {r.n for r in duplicates.duplicate_keys(people, ["k"]).collect()} == {2}
+    repeated = duplicates.repeated_ids(people, ["archivo_origen", "k"]).collect()
+    assert list(map(tuple, repeated)) == [("f1", "a", 2)]
+    assert sorted(duplicates.repeated_ids(people, ["k"]).collect(), key=repr) == sorted(
+        duplicates.duplicate_keys(people, ["k"]).collect(), key=repr)
     one = duplicates.one_per_key(people.where("k is not null"), "k").collect()
     assert sorted((r.k, r.v) for r in one) == [("a", 1), ("b", 4)]
 
