@@ -21,7 +21,7 @@ from tamiz.sinks.tables import read_target
 from tamiz.sources.files import decode_content
 from tamiz.sources.text import read_text, scan_text
 from tamiz.sources.workbook import parse_workbooks, split_sheets
-from tamiz.streaming.file_drop import load_dropped_payments
+from tamiz.streaming.file_drop import load_dropped
 
 
 def write_text(df: DataFrame, folder: str, prefix: str, suffix: str = ".txt") -> None:
@@ -130,8 +130,8 @@ def stream_file_drop(spark, folder):
     early = agreements["archivo_origen"] <= "A_1997"
     for prefix, part in (("a", early), ("b", ~early)):
         write_text(agreements.where(part).drop("archivo_origen"), place, f"{feeds.AGREEMENT_PREFIX} {prefix}")
-        load_dropped_payments(spark, place, target, state).awaitTermination()
-    load_dropped_payments(spark, place, target, state).awaitTermination()
+        load_dropped(spark, "pagos", place, target, state).awaitTermination()
+    load_dropped(spark, "pagos", place, target, state).awaitTermination()
     held = read_target(spark, target, storage_schema(feeds.PAYMENT_TARGET))
     return comparable(held.drop("periodo", "lote", "archivo_origen"), "fecha_pago")
 

@@ -1,4 +1,4 @@
-"""Load payment files as they are dropped into a folder.
+"""Load files as they are dropped into a folder.
 
 The stream only discovers files: it lists names and reads no content. Each
 micro-batch then runs the batch plan over its whole files, so file-level rules hold.
@@ -13,20 +13,30 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tamiz.plans.folders import payments_folder
+from tamiz.plans.folders import contacts_folder, messages_folder, payments_folder
 from tamiz.plans.load import load_batch
 from tamiz.sources.text import TEXT_FILES
+from tamiz.sources.workbook import WORKBOOKS
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 FILES_PER_BATCH = 10_000
 
+# Target table -> names of its files, plan that cleans them.
+FEEDS = {
+    "gestiones": (WORKBOOKS, contacts_folder),
+    "sms": (WORKBOOKS, messages_folder),
+    "pagos": (TEXT_FILES, payments_folder),
+}
 
-def dropped_files(spark: SparkSession, folder: str, per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """A stream of the paths of new text files."""
+
+def dropped_files(
+    spark: SparkSession, folder: str, glob: str = TEXT_FILES, per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
+    """A stream of the paths of new files."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
-        .option("pathGlobFilter", TEXT_FILES)
+        .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", per_batch)
     )
     return files.load(folder).select("path", "modificationTime", "length")
@@ -37,26 +47,32 @@ def batch_name(files: list[tuple]) -> str:
     return hashlib.sha256(repr(files).encode()).hexdigest()[:32]
 
 
-def load_dropped_payments(
+def load_dropped(
     spark: SparkSession,
+    table: str,
     folder: str,
     target: str,
     checkpoint: str,
+    reports: str | None = None,
     per_batch: int = FILES_PER_BATCH,
     **options,
 ) -> StreamingQuery:
-    """Load the files dropped since the last run, then stop."""
+    """Load the files dropped since the last run, then stop.
+
+    ``reports`` receives one error report per micro-batch; ``options`` go to the plan.
+    """
+    glob, clean = FEEDS[table]
 
     def load(files: DataFrame, _: int) -> None:
         # At most ``per_batch`` file entries.
         found = sorted(tuple(r) for r in files.collect())
         if found:
-            paths = [path for path, *_ in found]
-            result = payments_folder(files.sparkSession, paths, **options)
-            load_batch(result, "pagos", target, batch_name(found))
+            name = batch_name(found)
+            result = clean(files.sparkSession, [path for path, *_ in found], **options)
+            load_batch(result, table, target, name, f"{reports}/{name}" if reports else None)
 
     return (
-        dropped_files(spark, folder, per_batch)
+        dropped_files(spark, folder, glob, per_batch)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

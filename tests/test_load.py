@@ -14,9 +14,10 @@ from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import clean_payments
 from tamiz.sinks.reports import report_name, sample_errors
 from tamiz.sinks.tables import append_batch, create_table, read_target, table_columns, unfit_rows
-from tamiz.streaming.file_drop import load_dropped_payments
+from tamiz.streaming.file_drop import load_dropped
 from tests.test_feeds import AP, CONTACT, MESSAGE, contacts, payments, rows
 from tests.test_sources import AP_HEADER, agreement, write
+from tests.workbooks import workbook
 
 SCHEMA = storage_schema(feeds.PAYMENT_TARGET)
 
@@ -132,7 +133,7 @@ def test_file_drop(spark, tmp_path):
     drop.mkdir()
 
     def run(checkpoint=state, **options):
-        load_dropped_payments(spark, str(drop), str(target), str(checkpoint), **options).awaitTermination()
+        load_dropped(spark, "pagos", str(drop), str(target), str(checkpoint), **options).awaitTermination()
         return read_target(spark, str(target), SCHEMA).count()
 
     write(drop / "Ap pagados 1.txt", AP_HEADER, agreement("1"), agreement("2"))
@@ -145,6 +146,26 @@ def test_file_drop(spark, tmp_path):
     assert run(tmp_path / "state2", per_batch=1) == 3
 
 
+def test_workbook_drop(spark, tmp_path):
+    drop, target = tmp_path / "drop", str(tmp_path / "sms")
+    drop.mkdir()
+
+    def run():
+        load_dropped(
+            spark, "sms", str(drop), target, str(tmp_path / "state"), reports=str(tmp_path / "reports")
+        ).awaitTermination()
+        return read_target(spark, target, storage_schema(feeds.MESSAGE_TARGET)).count()
+
+    row = ["CC", 777, "ANA", "2024-01-02", "OK", "hola", "BASE1", 3009876543, "C-9"]
+    bad = ["CC", 778, "EVA", "ayer", "OK", "hola", "BASE1", 3009876543, "C-9"]
+    (drop / "1 ñ.xlsx").write_bytes(workbook({"h": [feeds.MESSAGE_COLUMNS, row, bad]}))
+    assert run() == 1
+    (drop / "2.xlsx").write_bytes(workbook({"h": [feeds.MESSAGE_COLUMNS, row, row]}))
+    assert run() == 2  # the first row again, and its copy
+    reports = spark.read.option("header", True).csv([str(p) for p in (tmp_path / "reports").iterdir()])
+    assert [r.documento for r in reports.collect()] == ["778"]
+
+
 def test_folder_and_direct_rows_agree(spark, tmp_path):
     write(tmp_path / "Ap pagados 1.txt", AP_HEADER, agreement("1"))
     from_file = payments_folder(spark, str(tmp_path)).valid.first()
