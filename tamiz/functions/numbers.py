@@ -11,7 +11,7 @@ WIDE = "decimal(38,10)"
 
 def to_decimal(col: Column, precision: int = 18, scale: int = 2) -> Column:
     """Text to decimal, null when it is not a finite number or does not fit."""
-    return strip(col).try_cast(WIDE).try_cast(f"decimal({precision},{scale})")
+    return strip(col).try_cast(f"decimal({precision},{scale})")
 
 
 def to_bigint(col: Column) -> Column:
