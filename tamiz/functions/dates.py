@@ -65,9 +65,14 @@ def epoch_text(ts: Column) -> Column:
     Built from the fields of the timestamp, so it does not depend on the session
     time zone.
     """
-    seconds = (
-        F.unix_date(ts.cast("date")).cast("decimal(14,0)") * 86400
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
-    ).cast("decimal(20,6)") + F.extract(F.lit("SECOND"), ts)
-    return F.regexp_replace(seconds.cast("decimal(20,6)").cast("string"), r"0{1,5}\z", "")
+    minutes = F.unix_date(ts.cast("date")).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    second = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    micros = minutes * 60_000_000 + second
+    size = F.abs(micros)
+    part = size % 1_000_000
+    digits = F.rtrim(F.lpad(part.cast("string"), 6, "0"), F.lit("0"))
+    return F.concat(
+        F.when(micros < 0, "-").otherwise(""),
+        F.floor((size - part) / 1_000_000).cast("string"),
+        F.when(part == 0, ".0").otherwise(F.concat(F.lit("."), digits)),
+    )

@@ -79,7 +79,7 @@ def test_other_formats_are_tried_without_a_shape(spark):
 def test_epoch_text_is_that_of_python(spark, zone):
     start = datetime(1970, 1, 1)
     moments = [start + timedelta(seconds=s, microseconds=u) for s, u in (
-        (1704164645, 0), (1704164645, 120000), (1704164645, 123456), (0, 0), (1711846800, 1), (1711850400, 0))]
+        (1704164645, 0), (1704164645, 120000), (1704164645, 123456), (-2, 500000), (-86401, 0), (0, 0), (1711846800, 1), (1711850400, 0))]
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
