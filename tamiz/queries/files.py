@@ -144,14 +144,9 @@ LATIN = r"\A[\x00-\xFF]*\z"
 def encoding_detect(spark, folder):
     """Every document as bytes: Latin-1 where that can hold it, else UTF-8."""
     latin = F.col("text").rlike(LATIN)
-    content = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    docs = table(spark, folder, "documents").select(
-        "doc_id",
-        F.when(latin, F.encode(F.when(latin, F.col("text")), "ISO-8859-1"))
-        .otherwise(F.encode("text", "UTF-8"))
-        .alias("content"),
-    )
-    return decode_content(docs)
+    narrow = F.encode(F.when(latin, F.col("text")), "ISO-8859-1")
+    content = F.coalesce(narrow, F.encode("text", "UTF-8")).alias("content")
+    return decode_content(table(spark, folder, "documents").select("doc_id", content))
 
 
 # --- workbooks ----------------------------------------------------------------------
