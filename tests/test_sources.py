@@ -1,11 +1,17 @@
 """Text folders, workbooks, encodings and database options."""
 
+import csv
 import datetime as dt
+import uuid
+from collections import Counter
 
+import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tamiz import feeds
+from tamiz.functions.text import READER_NULLS, clean_nulls
 from tamiz.plans.folders import (
     concatenated_folder, consolidated_folder, contacts_folder, files_without_valid_rows, messages_folder,
     payments_folder,
@@ -196,3 +202,27 @@ def test_file_names_keep_plus_and_percent(spark, tmp_path):
     write(tmp_path / "a+b%20c ñ.txt", "x", "1")
     assert read_text(spark, str(tmp_path), ["x"]).first().archivo_origen == "a+b%20c ñ.txt"
     assert list_files(spark, str(tmp_path)).select(F.col("source_file")).first()[0] == "a+b%20c ñ.txt"
+
+
+CELLS = st.sampled_from(["", "a", " b ", "NA", "null", 'q"r', "t\tu", '"', "ñ", "1.0", "  ", "x\\", '""', "'", "#c"])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(CELLS, CELLS, CELLS), min_size=1, max_size=40))
+@pytest.mark.parametrize("multiline", [False, True])
+def test_text_is_read_like_a_dataframe_reader_does(spark, tmp_path, multiline, data):
+    path = tmp_path / f"{uuid.uuid4().hex}.txt"
+    if multiline:
+        data = [(*row[:2], f"{row[2]}\nz") for row in data]
+    with path.open("w", encoding="ISO-8859-1", newline="") as out:
+        writer = csv.writer(out, delimiter="\t", lineterminator="\n")
+        writer.writerows([("x", "y", "z"), *data])
+    frame = pd.read_csv(path, sep="\t", dtype=str, encoding="ISO-8859-1")
+    read = [tuple(None if pd.isna(v) else v for v in row) for row in frame.itertuples(index=False)]
+    # A row of nothing but blanks is a row of nulls here.
+    want = Counter(row if any(v and v.strip() for v in row) else (None,) * 3 for row in read)
+    scan = scan_text(spark, str(path), ["x", "y", "z"], glob="*.txt", multiline=multiline)
+    cleaned = clean_nulls(scan.rows.drop("malformed"), READER_NULLS, skip=("archivo_origen",))
+    got = [tuple(r)[:3] for r in cleaned.collect()]
+    assert Counter(row if any(v and v.strip() for v in row) else (None,) * 3 for row in got) == want
+    assert scan.rows.where("malformed").isEmpty()
