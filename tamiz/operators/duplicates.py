@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tamiz.session import join_null_safe, materialize
 
@@ -21,7 +21,10 @@ def repeated_ids(df: DataFrame, keys: list[str]) -> DataFrame:
     """
     hashed = df.select(*keys, F.xxhash64(*keys).alias("__hash"))
     suspects = materialize(duplicate_keys(hashed, ["__hash"]).select("__hash"))
-    return duplicate_keys(hashed.join(suspects, "__hash", "left_semi"), keys)
+    if suspects.isEmpty():
+        fields = [*df.select(*keys).schema, T.StructField("n", T.LongType())]
+        return df.sparkSession.createDataFrame([], T.StructType(fields))
+    return materialize(duplicate_keys(hashed.join(suspects, "__hash", "left_semi"), keys))
 
 
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,7 +43,9 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     Only the keys are shuffled to find the repeated ones. Rows of other keys stay
     where they are; copies are combined map-side before they move.
     """
-    repeated = materialize(repeated_ids(df, [key]).drop("n"))
+    repeated = repeated_ids(df, [key]).drop("n")
+    if repeated.isEmpty():
+        return df
     once = join_null_safe(df, repeated, [key], "left_anti")
     several = join_null_safe(df, repeated, [key], "left_semi")
     rest = [c for c in df.columns if c != key]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz.feeds import mandatory
@@ -82,9 +83,12 @@ def read_target(
     ``batch`` reads only them.
     """
     stored = f"{schema}, {MONTH} string, {BATCH} string"
-    # An empty append creates the folder of a target that has no batch yet.
-    spark.createDataFrame([], stored).write.mode("append").partitionBy(MONTH, BATCH).parquet(path)
-    rows = spark.read.schema(stored).parquet(path)
+    try:
+        rows = spark.read.schema(stored).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], stored)  # no batch yet
     if between:
         rows = rows.where(F.col(MONTH).between(f"{between[0]:%Y-%m}", f"{between[1]:%Y-%m}"))
     if before_batch:
