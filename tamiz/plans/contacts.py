@@ -13,7 +13,7 @@ from tamiz.functions.numbers import WIDE
 from tamiz.functions.text import READER_NULLS, WORKBOOK_NULLS, clean_nulls, first_filled, joined_code, strip
 from tamiz.operators.counter import HOT_ROWS, group_counter
 from tamiz.operators.quality import add_reasons, failing_files, missing_rules, reject_files
-from tamiz.operators.schema import fill_defaults, rename, require_columns
+from tamiz.operators.schema import fill_defaults, keep_available, rename, require_columns
 from tamiz.plans.result import FAILED_SCHEMA, Result, no_warnings
 
 # Required by the cleaner or by the target table.
@@ -96,9 +96,10 @@ def clean_contacts(
         identify(derived, position, hot_rows).withColumn("fecha_carga", F.current_timestamp()),
         rules,
     ).select(*OUTPUT, "reasons")
+    rejected = split.rejected if split else derived.where(F.lit(False))
     return Result(
         rows=rows,
-        rejected=split.rejected if split else derived.where(F.lit(False)),
+        rejected=keep_available(rejected, OUTPUT),
         failed_files=split.failed if split else spark.createDataFrame([], FAILED_SCHEMA),
         warnings=no_warnings(spark) if warnings is None else warnings,
     )

@@ -12,7 +12,7 @@ from tamiz.functions.text import (
 )
 from tamiz.operators.counter import HOT_ROWS, group_counter
 from tamiz.operators.quality import add_reasons, missing_rules
-from tamiz.operators.schema import rename, require_columns, union_by_name
+from tamiz.operators.schema import keep_available, rename, require_columns, union_by_name
 from tamiz.plans.result import FAILED_SCHEMA, Result, no_warnings
 
 MANDATORY = ["documento", "telefono", "fecha_sms"]
@@ -80,7 +80,7 @@ def clean_messages(
     rows = add_reasons(fitted.withColumn("fecha_carga", F.current_timestamp()), rules)
     return Result(
         rows=rows.select(*OUTPUT, "reasons"),
-        rejected=derived.where(F.lit(False)),
+        rejected=keep_available(derived.where(F.lit(False)), OUTPUT),
         failed_files=spark.createDataFrame([], FAILED_SCHEMA),
         warnings=no_warnings(spark) if warnings is None else warnings,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Literal
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz import feeds
 from tamiz.functions.dates import parse_timestamp
@@ -14,7 +14,7 @@ from tamiz.functions.text import READER_NULLS, clean_nulls, first_filled, full_n
 from tamiz.operators.duplicates import repeated_ids
 from tamiz.operators.quality import add_reasons, failing_files, reject_files
 from tamiz.operators.schema import add_missing, keep_available, union_by_name
-from tamiz.plans.result import Result, no_warnings
+from tamiz.plans.result import WARNING_SCHEMA, Result
 from tamiz.session import materialize
 from tamiz.sources.text import MALFORMED
 
@@ -39,6 +39,16 @@ def _texts(raw: DataFrame, wanted: list[str]) -> DataFrame:
     return clean_nulls(found, READER_NULLS, skip=("archivo_origen",))
 
 
+def _column_warnings(spark: SparkSession, inputs: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """A warning per input that lacks columns its feed usually has."""
+    noted = []
+    for raw, wanted in inputs:
+        absent = [c for c in wanted if c not in raw.columns]
+        if absent:
+            noted.append((None, None, "columnas_faltantes", ", ".join(absent)))
+    return spark.createDataFrame(noted, WARNING_SCHEMA)
+
+
 def agreements(raw: DataFrame) -> DataFrame:
     df = _texts(raw, feeds.AGREEMENT_COLUMNS)
     return df.select(
@@ -123,16 +133,18 @@ def clean_payments(
     them. The checked rows are stored once, then the file rules and every use of the
     result read the columns they need; ``stage=False`` computes them each time.
     """
-    parts = []
+    parts, inputs = [], []
     if agreement_rows is not None:
         parts.append(agreements(agreement_rows))
+        inputs.append((agreement_rows, feeds.AGREEMENT_COLUMNS))
     if ticket_rows is not None:
         parts.append(tickets(ticket_rows))
+        inputs.append((ticket_rows, feeds.TICKET_COLUMNS))
     rows = annotate(union_by_name(*parts))
     if stage:
         rows = materialize(rows)
-    spark = rows.sparkSession
-    warnings = no_warnings(spark) if warnings is None else warnings
+    missing_columns = _column_warnings(rows.sparkSession, inputs)
+    warnings = missing_columns if warnings is None else missing_columns.unionByName(warnings)
     valid = rows.where(F.size("reasons") == 0)
     repeated = repeated_ids(valid, [FILE, "id_registro"])
 

@@ -87,6 +87,8 @@ def test_payments_without_optional_columns(spark):
     raw = rows(spark, feeds.TICKET_COLUMNS, [CO]).drop("intereses")
     result = clean_payments(None, raw)
     assert result.errors.first().reasons == ["valor faltante"]
+    assert result.warnings.first().detail == "intereses"
+    assert payments(spark, [AP], [CO]).warnings.isEmpty()
 
 
 def test_consolidated_payments_keep_missing_amounts(spark):
