@@ -1,10 +1,11 @@
 """Running counter within groups of equal keys, safe against hot groups.
 
-An ordinary group is numbered by a plain ``row_number`` window: one shuffle on the
-keys. A group that holds a large share of all rows would land in a single task, so
-groups found to be hot are cut into ordered buckets of about ``hot_rows`` rows,
-numbered bucket by bucket, and moved up by the rows of the earlier buckets. Which
-groups count as hot changes only the plan, never the numbers.
+Most groups hold one row, whose number is 1. Counting 64-bit hashes of the keys, a few
+bytes per row, tells which groups may hold more; while these are few, only their rows
+are shuffled. An ordinary group is then numbered by a plain ``row_number`` window. A
+group that holds a large share of all rows would land in a single task, so it is cut
+into ordered buckets of about ``hot_rows`` rows, numbered bucket by bucket, and moved
+up by the rows of the earlier buckets. The numbers are the same on every path.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tamiz.session import join_null_safe, materialize
 
 HOT_ROWS = 1_000_000  # a group of this size still fits one task comfortably
-HOT_GROUPS = 10_000  # at most this many groups are split
-SKETCH_ITEMS = 65_536
-SKETCH_FAN_IN = 512
+HOT_GROUPS = 10_000  # the largest groups are split, at most this many
+FEW_GROUPS = 500_000  # hashes of this many repeated groups are broadcast: a few MB
 CUTS = 16  # percentiles: the square of this many
 COPY_CHUNK = 500_000
 
@@ -25,25 +25,19 @@ _HASH, _BITS, _ORDER, _BUCKET, _COPIES, _START, _CHUNK = (
 )
 
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> list[tuple[int, int]]:
-    """(hash of the keys, bits of its bucket number) of each group above ``hot_rows``.
+def repeated_groups(hashed: DataFrame) -> DataFrame:
+    """(hash of the keys, rows) of every hash that occurs twice; combined map-side."""
+    return hashed.groupBy(_HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
-    Heavy-hitter sketches are built per task, merged in two levels and queried once,
-    so no rows are shuffled; at most ``HOT_GROUPS`` pairs reach the driver. The
-    sketch may miss a group of less than a 1/10000 part of all rows.
+
+def hot_groups(repeated: DataFrame, hot_rows: int = HOT_ROWS) -> list[tuple[int, int]]:
+    """(hash, bits of its bucket number) of the groups to split.
+
+    At most ``HOT_GROUPS`` pairs reach the driver. A smaller group holds less than a
+    1/10000 part of the rows.
     """
-    sketch = f"{{}}({{}}, {SKETCH_ITEMS})"
-    merged = (
-        df.select(F.xxhash64(*keys).alias(_HASH))
-        .groupBy((F.spark_partition_id() % SKETCH_FAN_IN).alias("part"))
-        .agg(F.expr(sketch.format("approx_top_k_accumulate", _HASH)).alias("s"))
-        # Grouped, since a combination of no sketches at all fails on an empty partition.
-        .groupBy(F.lit(0).alias("all"))
-        .agg(F.expr(sketch.format("approx_top_k_combine", "s")).alias("s"))
-    )
-    heavy = merged.select(F.expr(f"inline(approx_top_k_estimate(s, {HOT_GROUPS}))"))
-    found = heavy.where(F.col("count") >= hot_rows).collect()
-    return [(r["item"], max(1, (r["count"] // hot_rows).bit_length())) for r in found]
+    largest = repeated.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(HOT_GROUPS)
+    return [(r[_HASH], max(1, (r["n"] // hot_rows).bit_length())) for r in largest.collect()]
 
 
 def group_counter(
@@ -52,6 +46,7 @@ def group_counter(
     name: str = "contador",
     position: str | None = None,
     hot_rows: int = HOT_ROWS,
+    few_groups: int = FEW_GROUPS,
 ) -> DataFrame:
     """Add ``name``: 1, 2, 3 … within each group of equal ``keys`` (nulls are equal).
 
@@ -60,29 +55,46 @@ def group_counter(
     rows are interchangeable; the numbers then depend neither on the order of the
     input nor on its partitioning.
     """
+    # Several passes follow, so the rows are computed once and stored.
+    stored = materialize(df.withColumn(_HASH, F.xxhash64(*keys)))
+    repeated = materialize(repeated_groups(stored))
+    groups = repeated.count()
+    one = F.lit(1).cast("bigint").alias(name)
+    if groups == 0:
+        return stored.select(*df.columns, one)
+    hot = hot_groups(repeated, hot_rows)
+    if groups > few_groups:
+        return _number(stored, keys, name, position, hot)
+    several = F.broadcast(repeated.select(_HASH))
+    alone = stored.join(several, _HASH, "left_anti").select(*df.columns, one)
+    together = stored.join(several, _HASH, "left_semi").select(*df.columns, _HASH)
+    return alone.union(_number(together, keys, name, position, hot))
+
+
+def _number(
+    df: DataFrame, keys: list[str], name: str, position: str | None, hot: list[tuple[int, int]]
+) -> DataFrame:
+    columns = [c for c in df.columns if c != _HASH]
     rest = [
-        f.name for f in df.schema if f.name not in keys and not isinstance(f.dataType, T.MapType)
+        f.name
+        for f in df.schema
+        if f.name not in [*keys, _HASH] and not isinstance(f.dataType, T.MapType)
     ]
     first = F.col(position) if position else F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
     order = [F.col(_ORDER), *[F.col(c) for c in rest if c != position]]
     rows = df.withColumn(_ORDER, first)
 
-    hot = hot_groups(df, keys, hot_rows)
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     if not hot:
-        return rows.withColumn(name, plain).drop(_ORDER)
+        return rows.withColumn(name, plain).select(*columns, name)
 
     # At most HOT_GROUPS pairs of numbers.
     pairs = F.broadcast(df.sparkSession.createDataFrame(hot, f"{_HASH} bigint, {_BITS} int"))
-    # Several passes follow, so the rows are computed once and stored.
-    marked = materialize(
-        rows.withColumn(_HASH, F.xxhash64(*keys)).join(pairs, _HASH, "left").drop(_HASH)
-    )
+    marked = rows.join(pairs, _HASH, "left").drop(_HASH)
     usual = marked.where(F.col(_BITS).isNull()).withColumn(name, plain)
-    number = _by_position if position else _by_content
-    spread = number(marked.where(F.col(_BITS).isNotNull()), keys, order, name)
-    columns = [*df.columns, name]
-    return usual.select(columns).union(spread.select(columns))
+    by = _by_position if position else _by_content
+    spread = by(marked.where(F.col(_BITS).isNotNull()), keys, order, name)
+    return usual.select(*columns, name).union(spread.select(*columns, name))
 
 
 def _with_earlier(rows: DataFrame, bucketed: DataFrame, keys: list[str]) -> DataFrame:

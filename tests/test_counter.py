@@ -7,7 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamiz.operators import counter as module
-from tamiz.operators.counter import group_counter, hot_groups
+from tamiz.operators.counter import group_counter, repeated_groups
+from tamiz.operators.counter import hot_groups as split_groups
+
+
+def hot_groups(df, keys, hot_rows):
+    hashed = df.select(F.xxhash64(*keys).alias(module._HASH))
+    return split_groups(repeated_groups(hashed), hot_rows)
 
 
 @pytest.fixture
@@ -24,6 +30,17 @@ def test_hot_groups_are_found(spark, skewed):
     assert hot_groups(skewed, ["k"], 10_000) == []
 
 
+def test_rows_of_single_groups_are_not_shuffled(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    alone = group_counter(df, ["k"], "n")
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert alone.where("n = 1").count() == 1000
+    twice = group_counter(df.union(df.where("k < 5")), ["k"], "n")
+    assert twice.where("n = 2").count() == 5 and twice.count() == 1005
+    plan = twice._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "LeftSemi" in plan and "LeftAnti" in plan
+
+
 def test_empty_partitions_and_empty_tables(spark, skewed):
     assert hot_groups(skewed.where("false"), ["k"], 1) == []
     assert group_counter(skewed.where("false"), ["k"], "n", hot_rows=1).count() == 0
@@ -57,10 +74,11 @@ def test_buckets_hold_about_hot_rows(spark, monkeypatch):
 
 @pytest.mark.parametrize("position", [None, "p"])
 @pytest.mark.parametrize("hot_rows", [1, 100])
-def test_split_groups_count_like_plain_ones(spark, skewed, position, hot_rows):
+@pytest.mark.parametrize("few_groups", [0, 1000])
+def test_split_groups_count_like_plain_ones(spark, skewed, position, hot_rows, few_groups):
     df = skewed if position is None else skewed.where("p >= 0")
     plain = group_counter(df, ["k"], "n", position)
-    split = group_counter(df, ["k"], "n", position, hot_rows)
+    split = group_counter(df, ["k"], "n", position, hot_rows, few_groups)
     assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
     sizes = Counter(r.k for r in df.collect())
     for r in split.groupBy("k").agg(F.collect_set("n").alias("s")).collect():
