@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import sharding, url_rules
+from tamiz.llm import language, sharding, url_rules, warc
 from tamiz.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 SHARDS = 8
@@ -57,3 +57,31 @@ def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     judged = url_rules.judge(table(spark, folder, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op1_compression_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    dictionaries = language.fit(docs.where(~held_out))
+    found = language.identify(docs.withColumn("held_out", held_out), dictionaries)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+@query(
+    """
+    WITH sized AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+        FROM pages),
+    latest AS (
+        SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS latest
+        FROM sized)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> latest THEN latest END AS refers_to
+    FROM latest
+    """
+)
+def op3_seekable_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
