@@ -86,7 +86,7 @@ class Classifier:
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
-        if not self.names or text is None or not WORD.search(text):
+        if not self.names or text is None or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0, True
         ranked = sorted(zip(self.sizes(text), self.names))
         if len(ranked) == 1:

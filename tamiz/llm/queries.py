@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import language, sharding, url_rules, warc
+from tamiz.llm import language, sharding, simhash, token_files, url_rules, warc
 from tamiz.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 SHARDS = 8
@@ -85,3 +85,22 @@ def op1_compression_language(spark: SparkSession, folder: str) -> DataFrame:
 def op3_seekable_warc(spark: SparkSession, folder: str) -> DataFrame:
     read = warc.archive(table(spark, folder, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def byte_tokenizer() -> str:
+    """The tokenizer file that every machine of the cluster has at the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    read = token_files.round_trip(docs, byte_tokenizer())
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op10_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), distance=2, words=3)
