@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import language, sharding, simhash, token_files, url_rules, warc
+from tamiz.llm import decontamination, language, mixing, sharding, simhash, token_files, topk, url_rules, warc
 from tamiz.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 SHARDS = 8
+#: Domains of the labels and their weights in the mixture.
+DOMAINS = {"clean": 0.9, "poor": 0.1, "toxic": 0.0}
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -104,3 +106,42 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), distance=2, words=3)
+
+
+def domain_model(docs: DataFrame, labels: DataFrame) -> mixing.DomainModel:
+    """A classifier of the labels' domains: toxic, else by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    named = labels.select("doc_id", domain.alias("domain")).where("domain is not null")
+    return mixing.fit_domains(docs.select("doc_id", "text"), named, list(DOMAINS))
+
+
+@query()
+def op5_soft_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = domain_model(docs, table(spark, folder, "labels"))
+    mixed = mixing.mix(docs, model, list(DOMAINS.values()), keep=["doc_id"])
+    posterior = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return mixed.select("doc_id", "tokens", *posterior, "rate", "copies")
+
+
+@query()
+def op6_edit_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.ints::DOUBLE[], c.ints::DOUBLE[])::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """
+)
+def op4_impact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"), 1024)
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
