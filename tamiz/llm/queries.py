@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import decontamination, language, mixing, sharding, simhash, token_files, topk, url_rules, warc
+from tamiz.llm import context_mixing, decontamination, language, mixing, sharding, simhash, token_files, topk, url_rules, warc
 from tamiz.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 SHARDS = 8
@@ -145,3 +145,13 @@ def op6_edit_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op4_impact_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"), 1024)
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query()
+def op7_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = context_mixing.score_texts(docs, ~held_out)
+    return scored.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -221,6 +221,25 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def members(docs: DataFrame, distance: int = 2, words: int = 3, key: str = "doc_id") -> DataFrame:
+    """``key``, ``text_hash``, ``code``, ``root`` and ``component_id`` for every row of ``docs``.
+
+    ``root`` names the component: the smallest code in it.
+    """
+    light = docs.select(F.col(key), F.col("text"), F.xxhash64("text").alias("text_hash"))
+    coded = materialize(fingerprints(light, words))
+    codes = materialize(coded.groupBy("code").agg(F.min(key).alias("first")))
+    if distance:
+        edges = star_edges(cells(codes.select("code"), distance), distance)
+        found = components(edges).withColumnRenamed("node", "code")
+        codes = materialize(codes.join(found, "code", "left").withColumn("root", F.coalesce("root", "code")))
+    else:
+        codes = codes.withColumn("root", F.col("code"))
+    named = codes.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = materialize(codes.join(named, "root").select("code", "root", "component_id"))
+    return coded.join(named, "code").select(key, "text_hash", "code", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, key: str = "doc_id") -> DataFrame:
     """``key``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` for every row of ``docs``.
 
@@ -232,17 +251,32 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, key: str
     rows keep a row each. Null keys are never the smallest; a component with no other
     has a null id. An empty table gives no rows; other columns play no part.
     """
-    coded = materialize(fingerprints(docs.select(F.col(key), "text"), words))
-    codes = materialize(coded.groupBy("code").agg(F.min(key).alias("first")))
-    edges = star_edges(cells(codes.select("code"), distance), distance) if distance else None
-    if edges is None:
-        roots = codes.withColumn("root", F.col("code"))
-    else:
-        found = components(edges).withColumnRenamed("node", "code")
-        roots = codes.join(found, "code", "left").withColumn("root", F.coalesce("root", "code"))
-    roots = materialize(roots)
-    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(roots.join(named, "root").select("code", "component_id"))
-    return coded.join(named, "code").select(
+    return members(docs, distance, words, key).select(
         key, F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, distance: int = 2, words: int = 3, key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest key.
+
+    Rows without a key come after all others; of rows with the same key the one whose
+    text has the smallest hash stays, of equal rows one.
+    """
+    found = materialize(members(docs, distance, words, key).select("root", key, "text_hash"))
+    row = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("name"), F.col("text_hash").alias("text_hash"))
+    kept = found.groupBy("root").agg(F.min(row).alias("row")).select("row.*")
+    often = (
+        found.select(row.alias("row")).groupBy("row").agg(F.count("*").alias("n")).select("row.*", "n")
+        .withColumn("name", F.coalesce("name", F.lit(0)))
+    )
+    parts = ["unnamed", "name", "text_hash"]
+    kept = materialize(kept.withColumn("name", F.coalesce("name", F.lit(0))).join(often, parts))
+    marked = docs.select(
+        F.struct("*").alias("_row"), F.col(key).isNull().alias("unnamed"),
+        F.coalesce(F.col(key), F.lit(0)).alias("name"), F.xxhash64("text").alias("text_hash"),
+    )
+    single = marked.join(kept.where("n = 1"), parts, "left_semi")
+    repeated = kept.where("n > 1")
+    if not repeated.isEmpty():
+        single = single.unionByName(marked.join(repeated, parts, "left_semi").dropDuplicates(parts))
+    return single.select("_row.*")
