@@ -17,7 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -104,29 +104,48 @@ class Encoder:
 
     A text is cut at single spaces between two other characters. The tokenizer's
     own first cut is there too, a space going with what follows it, so the parts
-    can be encoded one by one and the ids are those of the whole text. At most
-    ``most`` parts are remembered; then the memory begins anew.
+    can be encoded one by one and the ids are those of the whole text. Between a
+    letter and a comma or full stop it cuts as well, which makes fewer words.
+    The first ``most`` parts are remembered, others for one call.
     """
 
     cut = re.compile(r"(?<=\S) (?=\S)").split
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
 
+    def _learn(self, parts: list[str], into: dict[str, bytes], at_once: int = 1 << 12) -> None:
+        for first in range(0, len(parts), at_once):
+            some = parts[first : first + at_once]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                into[part] = np.array(found.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = []
         for text in texts:
             first, *rest = self.cut(text)
             split.append([first, *[" " + part for part in rest]])
-        if len(self.known) > self.most:
-            self.known = {}
         known = self.known
-        new = list({part for parts in split for part in parts if part not in known})
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[part] = found.ids
-        return [np.fromiter(chain.from_iterable([known[p] for p in parts]), np.uint32) for parts in split]
+        new = {part for parts in split for part in parts if part not in known}
+        ended = {part for part in new if part[-1:] in (",", ".") and part[:-1].removeprefix(" ").isalpha()}
+        into = known if len(known) < self.most else {}
+        plain = (new - ended) | {part[:-1] for part in ended} | {",", "."}
+        self._learn([part for part in plain if part not in known], into)
+        both = known if into is known else into | {p: known[p] for p in plain if p in known}
+        for part in ended:
+            into[part] = both[part[:-1]] + both[part[-1]]
+        if into is known:
+            return [np.frombuffer(b"".join([known[p] for p in parts]), "<u4") for parts in split]
+        known_or_new = lambda p: known.get(p) or into[p]
+        return [np.frombuffer(b"".join(map(known_or_new, parts)), "<u4") for parts in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which keeps what it knows from task to task."""
+    return Encoder(path)
 
 
 def write_files(
@@ -134,8 +153,8 @@ def write_files(
     folder: str,
     tokenizer: str,
     end_id: int = 0,
-    file_tokens: int = 1 << 23,
-    batch_chars: int = 1 << 22,
+    file_tokens: int = 1 << 21,
+    batch_chars: int = 1 << 20,
 ) -> DataFrame:
     """Encode ``text`` of ``docs`` in ascending ``doc_id`` order; returns the stored index.
 
@@ -146,7 +165,7 @@ def write_files(
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encode_texts = encoder(tokenizer).encode
         held, rows, at = [], [], 0
 
         def finish():
@@ -167,8 +186,8 @@ def write_files(
                 while last < len(texts) and (last == first or chars + len(texts[last]) <= batch_chars):
                     chars += len(texts[last])
                     last += 1
-                for key, ids in zip(keys[first:last], encoder.encode(texts[first:last])):
-                    ids = np.append(ids, np.uint32(end_id))
+                for key, ids in zip(keys[first:last], encode_texts(texts[first:last])):
+                    ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                     rows.append((key, at, len(ids)))
                     held.append(ids)
                     at += len(ids)
