@@ -238,7 +238,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
     The unit of work is a frame. Its place in the index must be that of the bundle's
     own seek table, and a response's payload must have the digest in its header.
     """
-    frames = index.groupBy("bundle", "frame", "frame_start", "frame_size").agg(
+    place = ["bundle", "frame", "frame_start", "frame_size"]
+    # A small index stands for much to read: dealt to all tasks, not by its own size.
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frames = index.repartition(parts, *place).groupBy(*place).agg(
         F.sort_array(F.collect_list(F.struct("start", "size"))).alias("records")
     )
 
