@@ -168,7 +168,10 @@ def cells(codes: DataFrame, distance: int, most: int = CELL) -> DataFrame:
         return materialize(rows.join(sizes, ["choice", "key"]))
 
     def gathered(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("choice", "key").agg(F.collect_list("code").alias("codes")).select("codes")
+        # Few rows stand for much to search: dealt to all tasks, not by their size.
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(parts, "choice", "key")
+        return dealt.groupBy("choice", "key").agg(F.collect_list("code").alias("codes")).select("codes")
 
     first = busy(keyed(codes, masks))
     found = gathered(first.where(F.col("n") <= most))
