@@ -136,9 +136,10 @@ def fit_rates(
     follows from a document's posterior and the rounds' residuals, so a round is one
     aggregation and nothing is joined or sent but a number for each domain.
 
-    ``total`` is a share of all tokens; None takes the largest at which no domain needs
-    a mean rate above ``most`` (1 if that is None). A domain with no tokens at hand is
-    left as it is. Without tokens there are no steps and every rate is 1.
+    ``total`` is a share of all tokens; None takes that at which the domain of the largest
+    weight is used in full, at a mean rate of ``most`` (1 if that is None); a domain with
+    fewer tokens than its weight asks for then stays short of its target. A domain with
+    no tokens at hand is left as it is. Without tokens there are no steps and every rate is 1.
     """
     share = [F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[j]) for j in range(len(weights))]
 
@@ -156,7 +157,8 @@ def fit_rates(
     have = [x / tokens for x in have]
     weights = [w / whole for w in weights]
     if total is None:
-        total = (most or 1.0) * min([h / w for h, w in zip(have, weights) if w and h] or [1.0])
+        first = max(range(len(weights)), key=lambda j: (have[j] > 0, weights[j]))
+        total = (most or 1.0) * have[first] / weights[first] if weights[first] else 1.0
     rates.wanted, rates.reached = [w * total for w in weights], have
     for _ in range(rounds):
         apart = [r - w for r, w in zip(rates.reached, rates.wanted)]

@@ -111,7 +111,7 @@ class Encoder:
 
     cut = re.compile(r"(?<=\S) (?=\S)").split
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
@@ -138,8 +138,7 @@ class Encoder:
             into[part] = both[part[:-1]] + both[part[-1]]
         if into is known:
             return [np.frombuffer(b"".join([known[p] for p in parts]), "<u4") for parts in split]
-        known_or_new = lambda p: known.get(p) or into[p]
-        return [np.frombuffer(b"".join(map(known_or_new, parts)), "<u4") for parts in split]
+        return [np.frombuffer(b"".join([known[p] if p in known else into[p] for p in parts]), "<u4") for parts in split]
 
 
 @lru_cache(maxsize=1)

@@ -11,13 +11,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    rest = F.split(url, "://", 2).getItem(1)
+    rest = F.get(F.split(url, "://", 2), F.lit(1))
     return F.coalesce(F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.lit(""))
 
 
 def url_path(url: Column) -> Column:
     """What follows the host up to ``?``, ``#`` or the end; else empty."""
-    rest = F.split(url, "://", 2).getItem(1)
+    rest = F.get(F.split(url, "://", 2), F.lit(1))
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
