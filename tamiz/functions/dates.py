@@ -10,7 +10,10 @@ from pyspark.sql import Column, functions as F
 from tamiz.functions.text import strip
 
 # Tried in this order for every row.
-FORMATS = ("yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd", "dd/MM/yyyy")
+FORMATS = (
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd", "dd/MM/yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy/MM/dd",
+)
 
 MIDNIGHT = r" 00:00:00(\.0+)?\z"
 YEAR_MONTH_DAY = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
@@ -18,7 +21,7 @@ YEAR_MONTH_DAY = r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
 
 def shape(fmt: str) -> str | None:
     """Pattern of the texts a digits-only format can fit; None for other formats."""
-    if re.search("[^yMdHmsS]|MMM", re.sub(r"[^A-Za-z]", "", fmt)):
+    if re.search("[^yMdHmsS]|MMM", re.sub(r"'T'|[^A-Za-z]", "", fmt)):
         return None
 
     def digits(run: re.Match) -> str:
@@ -28,7 +31,8 @@ def shape(fmt: str) -> str | None:
         return f"[0-9]{{{n}}}" if n > 1 else "[0-9]+"
 
     pattern = fmt.replace(".", r"\.").replace("[", "(?:").replace("]", ")?")
-    return rf"\A{re.sub(r'([yMdHmsS])\1*', digits, pattern)}\z"
+    pattern = re.sub(r"([yMdHmsS])\1*", digits, pattern)
+    return rf"\A{pattern.replace("'T'", 'T')}\z"
 
 
 def parse_timestamp(col: Column, formats: Sequence[str] = FORMATS) -> Column:

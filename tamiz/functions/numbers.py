@@ -21,8 +21,18 @@ def to_bigint(col: Column) -> Column:
 
 
 def truncated_sum(a: Column, b: Column, null_as_zero: bool = True) -> Column:
-    """Sum of two text amounts, fraction cut toward zero, as integer text."""
-    x, y = (strip(c).try_cast("decimal(28,6)") for c in (a, b))
-    if null_as_zero:
-        x, y = (F.coalesce(c, F.lit(0).cast("decimal(28,6)")) for c in (x, y))
-    return (x + y).try_cast("bigint").cast("string")
+    """Sum of two text amounts, fraction cut toward zero, as integer text.
+
+    With ``null_as_zero`` a part that is missing or no number counts as 0. A number
+    too large for an amount never does: the sum is null then.
+    """
+
+    def part(c: Column) -> Column:
+        amount = strip(c).try_cast("decimal(28,6)")
+        if not null_as_zero:
+            return amount
+        size = F.abs(strip(c).try_cast("double"))
+        large = F.coalesce((size >= 1e21) & (size < float("inf")), F.lit(False))
+        return F.coalesce(amount, F.when(~large, F.lit(0).cast("decimal(28,6)")))
+
+    return (part(a) + part(b)).try_cast("bigint").cast("string")

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tamiz.session import join_null_safe, materialize
 
 HOT_ROWS = 1_000_000  # a group of this size still fits one task comfortably
-HOT_GROUPS = 10_000  # the largest groups are split, at most this many
-FEW_GROUPS = 500_000  # hashes of this many repeated groups are broadcast: a few MB
+FEW_GROUPS = 500_000  # beyond so many repeated groups all rows are numbered alike
 CUTS = 16  # percentiles: the square of this many
 COPY_CHUNK = 500_000
 
@@ -30,14 +29,11 @@ def repeated_groups(hashed: DataFrame) -> DataFrame:
     return hashed.groupBy(_HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def hot_groups(repeated: DataFrame, hot_rows: int = HOT_ROWS) -> list[tuple[int, int]]:
-    """(hash, bits of its bucket number) of the groups to split.
-
-    At most ``HOT_GROUPS`` pairs reach the driver. A smaller group holds less than a
-    1/10000 part of the rows.
-    """
-    largest = repeated.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(HOT_GROUPS)
-    return [(r[_HASH], max(1, (r["n"] // hot_rows).bit_length())) for r in largest.collect()]
+def hot_groups(repeated: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(hash, bits of its bucket number) of all groups to split; stored, its size decides the join."""
+    buckets = F.floor(F.col("n") / hot_rows).cast("bigint")
+    bits = F.greatest(F.lit(1), F.length(F.bin(buckets))).cast("int")
+    return materialize(repeated.where(F.col("n") >= hot_rows).select(_HASH, bits.alias(_BITS)))
 
 
 def group_counter(
@@ -65,14 +61,14 @@ def group_counter(
     hot = hot_groups(repeated, hot_rows)
     if groups > few_groups:
         return _number(stored, keys, name, position, hot)
-    several = F.broadcast(repeated.select(_HASH))
+    several = repeated.select(_HASH)
     alone = stored.join(several, _HASH, "left_anti").select(*df.columns, one)
     together = stored.join(several, _HASH, "left_semi").select(*df.columns, _HASH)
     return alone.union(_number(together, keys, name, position, hot))
 
 
 def _number(
-    df: DataFrame, keys: list[str], name: str, position: str | None, hot: list[tuple[int, int]]
+    df: DataFrame, keys: list[str], name: str, position: str | None, hot: DataFrame
 ) -> DataFrame:
     columns = [c for c in df.columns if c != _HASH]
     rest = [
@@ -85,12 +81,10 @@ def _number(
     rows = df.withColumn(_ORDER, first)
 
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
-    if not hot:
+    if hot.isEmpty():
         return rows.withColumn(name, plain).select(*columns, name)
 
-    # At most HOT_GROUPS pairs of numbers.
-    pairs = F.broadcast(df.sparkSession.createDataFrame(hot, f"{_HASH} bigint, {_BITS} int"))
-    marked = rows.join(pairs, _HASH, "left").drop(_HASH)
+    marked = rows.join(hot, _HASH, "left").drop(_HASH)
     usual = marked.where(F.col(_BITS).isNull()).withColumn(name, plain)
     by = _by_position if position else _by_content
     spread = by(marked.where(F.col(_BITS).isNotNull()), keys, order, name)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Literal
 
 from pyspark.sql import DataFrame, functions as F
 
 from tamiz import feeds
-from tamiz.functions.dates import day_text, epoch_text, parse_day, parse_timestamp
+from tamiz.functions.dates import FORMATS, day_text, epoch_text, parse_day, parse_timestamp
 from tamiz.functions.identity import preimage
 from tamiz.functions.numbers import WIDE
 from tamiz.functions.text import READER_NULLS, WORKBOOK_NULLS, clean_nulls, first_filled, joined_code, strip
@@ -30,7 +31,7 @@ OUTPUT = [
 BAD_DATE = "fecha_gestion no válida"
 
 
-def derive(raw: DataFrame) -> DataFrame:
+def derive(raw: DataFrame, formats: Sequence[str] = FORMATS) -> DataFrame:
     """Names, defaults, derived fields and types; one projection chain."""
     tokens = list(dict.fromkeys(WORKBOOK_NULLS + READER_NULLS))
     named = rename(clean_nulls(raw, tokens, skip=("archivo_origen",)), feeds.CONTACT_NAMES)
@@ -44,8 +45,8 @@ def derive(raw: DataFrame) -> DataFrame:
                     F.col("id_gestion"), joined_code(F.col("documento"), F.col("telefono"))
                 ),
                 "valor": amount.try_cast("decimal(12,2)"),
-                "fecha_gestion": parse_timestamp(F.col("fecha_gestion")),
-                "fecha_compromiso": parse_day(F.col("fecha_compromiso")),
+                "fecha_gestion": parse_timestamp(F.col("fecha_gestion"), formats),
+                "fecha_compromiso": parse_day(F.col("fecha_compromiso"), formats),
                 "identificador_infraccion": F.coalesce("obligacion", "numero_comparendo"),
             }
         )
@@ -78,13 +79,14 @@ def clean_contacts(
     position: str | None = None,
     hot_rows: int = HOT_ROWS,
     warnings: DataFrame | None = None,
+    formats: Sequence[str] = FORMATS,
 ) -> Result:
     """Clean contact rows that carry ``archivo_origen``.
 
     ``position`` names a numeric row order within a file, if the source has one.
     """
     spark = raw.sparkSession
-    derived = derive(require_columns(raw, [*feeds.CONTACT_COLUMNS, "archivo_origen"]))
+    derived = derive(require_columns(raw, [*feeds.CONTACT_COLUMNS, "archivo_origen"]), formats)
     split = None
     if on_bad_date == "reject_file":
         # Rejecting before the ids are built spares the shuffle of rejected rows.

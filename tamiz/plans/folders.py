@@ -37,7 +37,7 @@ def payments_folder(
     ``failed_files``; the others go on.
     """
     scans = {
-        prefix: scan_text(spark, paths, columns, glob_for(prefix), multiline=multiline)
+        prefix: scan_text(spark, paths, columns, glob_for(prefix), multiline=multiline, absent=True)
         for prefix, columns in (
             (feeds.AGREEMENT_PREFIX, feeds.AGREEMENT_COLUMNS),
             (feeds.TICKET_PREFIX, feeds.TICKET_COLUMNS),

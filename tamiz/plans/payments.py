@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Literal
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamiz import feeds
-from tamiz.functions.dates import parse_timestamp
+from tamiz.functions.dates import FORMATS, parse_timestamp
 from tamiz.functions.identity import record_id
 from tamiz.functions.numbers import to_decimal, truncated_sum
 from tamiz.functions.text import READER_NULLS, clean_nulls, first_filled, full_name
@@ -16,7 +17,7 @@ from tamiz.operators.quality import add_reasons, failing_files, reject_files
 from tamiz.operators.schema import add_missing, keep_available, union_by_name
 from tamiz.plans.result import WARNING_SCHEMA, Result
 from tamiz.session import materialize
-from tamiz.sources.text import MALFORMED
+from tamiz.sources.text import ABSENT, MALFORMED
 
 FILE = "archivo_origen"
 DUPLICATE_IDS = "ids duplicados"
@@ -33,10 +34,25 @@ CONSOLIDATED = [
 
 def _texts(raw: DataFrame, wanted: list[str]) -> DataFrame:
     """The wanted columns as clean text; a column the file lacks is null."""
-    found = add_missing(keep_available(raw, [*wanted, "archivo_origen", "malformed"]), wanted)
+    found = add_missing(keep_available(raw, [*wanted, "archivo_origen", "malformed", ABSENT]), wanted)
     if "malformed" not in found.columns:
         found = found.withColumn("malformed", F.lit(False))
-    return clean_nulls(found, READER_NULLS, skip=("archivo_origen",))
+    return clean_nulls(found, READER_NULLS, skip=("archivo_origen", ABSENT))
+
+
+def _lacks(raw: DataFrame, *columns: str) -> Column:
+    """Whether a row's input lacks one of the columns: the table, or the file it came from."""
+    if not set(columns) <= set(raw.columns):
+        return F.lit(True)
+    if ABSENT not in raw.columns:
+        return F.lit(False)
+    return F.arrays_overlap(ABSENT, F.array(*map(F.lit, columns)))
+
+
+def _name(raw: DataFrame) -> Column:
+    """Without both columns there is no name."""
+    named = full_name(F.col("nombres"), F.col("apellidos"))
+    return F.when(_lacks(raw, "nombres", "apellidos"), "").otherwise(named).alias("nombre_usuario")
 
 
 def _column_warnings(spark: SparkSession, inputs: list[tuple[DataFrame, list[str]]]) -> DataFrame:
@@ -55,7 +71,7 @@ def agreements(raw: DataFrame) -> DataFrame:
         "nro_acuerdo",
         F.lit(None).cast("string").alias("nro_comparendo"),
         F.col("id_usuario").alias("documento"),
-        full_name(F.col("nombres"), F.col("apellidos")).alias("nombre_usuario"),
+        _name(raw),
         "valor",
         "consecutivo_cuota",
         F.col("fecha_liquida").alias("fecha_pago"),
@@ -68,15 +84,13 @@ def agreements(raw: DataFrame) -> DataFrame:
 def tickets(raw: DataFrame, null_as_zero: bool = True) -> DataFrame:
     df = _texts(raw, feeds.TICKET_COLUMNS)
     number = first_filled(F.col("nro_comparendo"), F.col("nro_resolucion"))
-    if not {"compute_0004", "intereses"} <= set(raw.columns):
-        amount = F.lit(None).cast("string")
-    else:
-        amount = truncated_sum(F.col("compute_0004"), F.col("intereses"), null_as_zero)
+    amount = truncated_sum(F.col("compute_0004"), F.col("intereses"), null_as_zero)
+    amount = F.when(~_lacks(raw, "compute_0004", "intereses"), amount)
     return df.select(
         F.lit(None).cast("string").alias("nro_acuerdo"),
         number.alias("nro_comparendo"),
         F.col("id_usuario").alias("documento"),
-        full_name(F.col("nombres"), F.col("apellidos")).alias("nombre_usuario"),
+        _name(raw),
         amount.alias("valor"),
         F.lit(None).cast("string").alias("consecutivo_cuota"),
         F.col("fecha_liquida_contrav").alias("fecha_pago"),
@@ -98,12 +112,15 @@ def identify(df: DataFrame) -> DataFrame:
     )
 
 
-def annotate(df: DataFrame) -> DataFrame:
-    """Types and reasons."""
+def annotate(df: DataFrame, formats: Sequence[str] = FORMATS) -> DataFrame:
+    """Types and reasons; ``formats`` are tried in order for the date."""
+    # Judged before it is rounded: 0.004 is more than nothing.
+    exact = F.coalesce(to_decimal(F.col("valor"), 38, 10) <= 0, F.lit(False))
     typed = identify(df).withColumns(
         {
+            "no_positivo": exact,
             "valor": to_decimal(F.col("valor"), 15, 2),
-            "fecha_pago": parse_timestamp(F.col("fecha_pago")),
+            "fecha_pago": parse_timestamp(F.col("fecha_pago"), formats),
             "fecha_carga": F.current_timestamp(),
         }
     )
@@ -112,7 +129,7 @@ def annotate(df: DataFrame) -> DataFrame:
         "documento faltante": absent("documento"),
         "nombre_usuario faltante": absent("nombre_usuario"),
         "valor faltante": F.col("valor").isNull(),
-        "valor no positivo": F.coalesce(F.col("valor") <= 0, F.lit(False)),
+        "valor no positivo": F.col("no_positivo"),
         "fecha_pago faltante": F.col("fecha_pago").isNull(),
         "identificador_infraccion faltante": F.col("identificador_infraccion").isNull(),
     }
@@ -125,6 +142,7 @@ def clean_payments(
     on_duplicate: Literal["reject_file", "quarantine", "count"] = "reject_file",
     warnings: DataFrame | None = None,
     stage: bool = True,
+    formats: Sequence[str] = FORMATS,
 ) -> Result:
     """Clean both payment families; rows carry ``archivo_origen``.
 
@@ -140,7 +158,7 @@ def clean_payments(
     if ticket_rows is not None:
         parts.append(tickets(ticket_rows))
         inputs.append((ticket_rows, feeds.TICKET_COLUMNS))
-    rows = annotate(union_by_name(*parts))
+    rows = annotate(union_by_name(*parts), formats)
     if stage:
         rows = materialize(rows)
     missing_columns = _column_warnings(rows.sparkSession, inputs)

@@ -14,9 +14,12 @@ def report_name(prefix: str, day: dt.date) -> str:
 
 
 def write_error_report(errors: DataFrame, path: str) -> None:
-    """UTF-8 CSV with a header; reasons as one text. One file per task."""
+    """UTF-8 CSV with a header; reasons as one text. One file per task.
+
+    A report written again, as when a batch is run again, replaces the one before.
+    """
     flat = errors.withColumn(REASONS, reason_text())
-    flat.write.option("header", True).option("escape", '"').csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def sample_errors(

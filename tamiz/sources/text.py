@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,12 +16,11 @@ MALFORMED = "fila con más campos que el encabezado"
 EMPTY_FILE = "archivo sin encabezado"
 UNKNOWN_FEED = "tipo de archivo no reconocido"
 
-# Up to this many files their column positions, some 200 bytes each, are broadcast;
-# with more of them rows and positions are shuffled by file.
-BROADCAST_FILES = 1_000_000
+# Wanted columns that a row's file lacks.
+ABSENT = "columnas_ausentes"
 
 BLANK_CHUNK = 100_000
-SPARE_CELLS = 8  # read beyond the widest header, to notice rows that are too long
+RECORD = "__record"  # the line as it is, to notice cells beyond the widest header
 
 # Lines the line-by-line CSV reader takes for empty.
 NOTHING = r"\A[\x00-\x20]*\z"
@@ -157,6 +157,7 @@ def scan_text(
     encoding: str = TEXT_ENCODING,
     multiline: bool = False,
     outside: tuple[str, ...] = (),
+    absent: bool = False,
 ) -> TextScan:
     """Scan files with different headers in one pass over their rows.
 
@@ -164,48 +165,69 @@ def scan_text(
     which column, so column order and extra columns do not matter. A wanted column
     the file lacks is null and noted in ``warnings``. Without ``wanted`` every column
     that any file has is read. Files named with a prefix in ``outside`` are left out.
+    With ``absent`` every row has the wanted columns that its own file lacks.
     """
     headers = materialize(read_headers(spark, paths, glob, sep, encoding, outside))
-    width, files = headers.agg(F.max(F.size("header")), F.count(F.lit(1))).first()
+    width = headers.agg(F.max(F.size("header"))).first()[0]
     if wanted is None:
         wanted = header_columns(headers)
-    places = [f"p{i}" for i in range((width or 1) + SPARE_CELLS)]
-    positions = headers.select(
+    places = [f"p{i}" for i in range((width or 1) + 1)]
+    lacking = F.array_except(F.array(*[F.lit(c) for c in wanted]), F.col("header"))
+    extra = [F.col(ABSENT)] if absent else []
+    headers_lacking = headers.withColumn(ABSENT, lacking)
+    positions = headers_lacking.select(
         "path",
         "archivo_origen",
+        *extra,
         F.size("header").alias("__size"),
         *[F.array_position("header", c).alias(f"__at_{i}") for i, c in enumerate(wanted)],
     )
-    if files <= BROADCAST_FILES:
-        positions = F.broadcast(positions)
-    schema = ", ".join(f"{p} string" for p in places)
+    schema = ", ".join(f"{p} string" for p in [*places, RECORD])
     lines = (
         _csv(spark, glob, sep, encoding, multiline)
         .option("header", True)
+        .option("columnNameOfCorruptRecord", RECORD)
         .schema(schema)
         .load(paths)
         .where(named_otherwise(outside))
-        .select(F.array(*places).alias("__cells"), F.col("_metadata.file_path").alias("path"))
+        .select(
+            F.array(*places).alias("__cells"),
+            _beyond(len(places), sep).alias("__beyond"),
+            F.col("_metadata.file_path").alias("path"),
+        )
         .join(positions, "path")
     )
     value = lambda i: F.get("__cells", F.col(f"__at_{i}").cast("int") - 1)
     rows = lines.select(
         *[value(i).alias(c) for i, c in enumerate(wanted)],
         "archivo_origen",
-        (F.concat_ws("", F.slice("__cells", F.col("__size") + 1, len(places))) != "").alias("malformed"),
+        ((F.concat_ws("", F.slice("__cells", F.col("__size") + 1, len(places))) != "") | F.col("__beyond")).alias("malformed"),
+        *extra,
     )
     if not multiline:
-        rows = rows.union(_blank_rows(headers, wanted))
-    absent = F.array_except(F.array(*[F.lit(c) for c in wanted]), F.col("header"))
-    warnings = headers.where(F.size(absent) > 0).select(
+        rows = rows.union(_blank_rows(headers_lacking, wanted, extra))
+    warnings = headers.where(F.size(lacking) > 0).select(
         F.col("archivo_origen").alias("source_file"),
         F.lit(None).cast("string").alias("sheet_name"),
         F.lit("columnas_faltantes").alias("code"),
-        F.concat_ws(", ", absent).alias("detail"),
+        F.concat_ws(", ", lacking).alias("detail"),
     )
     return TextScan(rows, headers, warnings)
 
 
+def _beyond(places: int, sep: str) -> Column:
+    """Whether a line has a filled cell after so many, however far out.
+
+    Separators are counted first. A quoted cell may hold some; only lines with more
+    than the places ask for are cut, at separators outside of quotes.
+    """
+    line = F.coalesce(F.col(RECORD), F.lit(""))
+    many = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit(""))) >= places * len(sep)
+    quoted = F.regexp_replace(line, r'"(?:[^"]|"")*"', '"')
+    cells = F.slice(F.split(quoted, re.escape(sep)), places + 1, 1 << 30)
+    return F.when(many, F.trim(F.concat_ws("", cells), F.lit("\r\n")) != "").otherwise(False)
+
+
 def header_columns(headers: DataFrame) -> list[str]:
     """Every column name once, those of the first file first."""
     named = headers.select("archivo_origen", F.posexplode("header"))
@@ -213,13 +235,13 @@ def header_columns(headers: DataFrame) -> list[str]:
     return [r["col"] for r in first.orderBy("place").collect()]
 
 
-def _blank_rows(headers: DataFrame, wanted: list[str]) -> DataFrame:
+def _blank_rows(headers: DataFrame, wanted: list[str], extra: list[Column]) -> DataFrame:
     """The rows of empty cells, which the line-by-line reader leaves out."""
     last = F.floor((F.col("blank") - 1) / BLANK_CHUNK).cast("bigint")
     chunks = headers.where("blank > 0").select(
-        "archivo_origen", "blank", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk")
+        "archivo_origen", *extra, "blank", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk")
     )
     size = F.least(F.lit(BLANK_CHUNK).cast("bigint"), F.col("blank") - F.col("chunk") * BLANK_CHUNK)
-    each = chunks.select("archivo_origen", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    each = chunks.select("archivo_origen", *extra, F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
     nulls = [F.lit(None).cast("string").alias(c) for c in wanted]
-    return each.select(*nulls, "archivo_origen", F.lit(False).alias("malformed"))
+    return each.select(*nulls, "archivo_origen", F.lit(False).alias("malformed"), *extra)

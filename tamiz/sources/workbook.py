@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz.functions.text import file_name
+from tamiz.session import materialize
 
 WORKBOOKS = "*.[xX][lL][sS][xX]"
 HEADER_ROW = 0
@@ -66,7 +67,12 @@ def split_sheets(
     wanted = F.array(*[F.lit(c) for c in required])
     absent = F.array_except(wanted, F.map_keys("cells"))
     headers = rows.where((F.col("row_no") == HEADER_ROW) & F.col("failure").isNull())
-    good = rows.where((F.col("row_no") > HEADER_ROW) & (F.size(absent) == 0))
+    # Nothing of a file that broke off is used, not even its good sheets.
+    unreadable = materialize(
+        rows.where("failure IS NOT NULL").select("archivo_origen", F.col("failure").alias("reason"))
+    )
+    whole = rows.join(unreadable.select("archivo_origen").distinct(), "archivo_origen", "left_anti")
+    good = whole.where((F.col("row_no") > HEADER_ROW) & (F.size(absent) == 0))
     table = good.select(
         *[F.col("cells")[c].alias(c) for c in required],
         "archivo_origen",
@@ -85,10 +91,7 @@ def split_sheets(
         .where("NOT any_good")
         .select("archivo_origen", F.lit("ninguna hoja válida").alias("reason"))
     )
-    unreadable = rows.where("failure IS NOT NULL").select(
-        "archivo_origen", F.col("failure").alias("reason")
-    )
-    return table, warnings, no_sheet.union(unreadable)
+    return table, warnings, no_sheet.unionByName(unreadable)
 
 
 # --- one workbook, inside a task ----------------------------------------------------
@@ -103,7 +106,7 @@ def _batches(name: str, content: bytes, sheet: int | None) -> Iterator[pd.DataFr
             if len(pending) == BATCH:
                 yield pd.DataFrame(pending, columns=columns)
                 pending = []
-    except (zipfile.BadZipFile, KeyError, ValueError, IndexError, ElementTree.ParseError) as e:
+    except Exception as e:  # damaged and encrypted books fail in many ways, each for itself
         pending.append((name, None, None, HEADER_ROW, {}, f"{type(e).__name__}: {e}"))
     if pending:
         yield pd.DataFrame(pending, columns=columns)

@@ -9,6 +9,7 @@ replaces its own folders, and so adds nothing twice.
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -42,6 +43,11 @@ def dropped_files(
     return files.load(folder).select("path", "modificationTime", "length")
 
 
+def literal_path(path: str) -> str:
+    """A path that stands for itself only: readers take ``[]{}*?`` for patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def batch_name(files: list[tuple]) -> str:
     """The same for a micro-batch that is run again, different for any other files."""
     return hashlib.sha256(repr(files).encode()).hexdigest()[:32]
@@ -68,7 +74,7 @@ def load_dropped(
         found = sorted(tuple(r) for r in files.collect())
         if found:
             name = batch_name(found)
-            result = clean(files.sparkSession, [path for path, *_ in found], **options)
+            result = clean(files.sparkSession, [literal_path(path) for path, *_ in found], **options)
             load_batch(result, table, target, name, f"{reports}/{name}" if reports else None)
 
     return (

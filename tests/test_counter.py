@@ -13,7 +13,7 @@ from tamiz.operators.counter import hot_groups as split_groups
 
 def hot_groups(df, keys, hot_rows):
     hashed = df.select(F.xxhash64(*keys).alias(module._HASH))
-    return split_groups(repeated_groups(hashed), hot_rows)
+    return [tuple(r) for r in split_groups(repeated_groups(hashed), hot_rows).collect()]
 
 
 @pytest.fixture

@@ -1,0 +1,117 @@
+"""Folders with files that lack columns, hold odd rows or are damaged; loads that run again."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tamiz import feeds
+from tamiz.functions.dates import parse_timestamp
+from tamiz.functions.numbers import truncated_sum
+from tamiz.operators.counter import group_counter
+from tamiz.plans.folders import payments_folder
+from tamiz.plans.payments import clean_payments
+from tamiz.sinks.reports import write_error_report
+from tamiz.sources.text import scan_text
+from tamiz.sources.workbook import parse_workbooks, split_sheets
+from tamiz.streaming.file_drop import literal_path
+from tests.workbooks import workbook
+
+TICKETS = ["nro_comparendo", "id_usuario", "nombres", "apellidos", "compute_0004", "intereses", "fecha_liquida_contrav"]
+CELLS = dict(zip(TICKETS, ["C1", "10", "ANA", "GIL", "12000.75", "98.9", "2025-01-02"]))
+
+
+def write_text(path, columns, *rows):
+    lines = ["\t".join(columns), *["\t".join(r) for r in rows]]
+    path.write_text("\n".join(lines) + "\n", encoding="latin-1")
+
+
+def test_cells_far_beyond_the_header(spark, tmp_path):
+    for out in (1, 2, 9, 50):
+        write_text(tmp_path / f"x{out}.txt", ["a", "b"], ["1", "2"], ["1", "2"] + [""] * (out - 1) + ["more"])
+    write_text(tmp_path / "fine.txt", ["a", "b"], ["1", "2"] + [""] * 40, ['"q\tq\tq\tq\tq"', "2"], ["1"])
+    found = scan_text(spark, str(tmp_path), ["a", "b"]).rows.groupBy("archivo_origen").agg(F.count_if("malformed").alias("n"))
+    assert {r.archivo_origen: r.n for r in found.collect()} == {"x1.txt": 1, "x2.txt": 1, "x9.txt": 1, "x50.txt": 1, "fine.txt": 0}
+
+
+def test_absent_columns_are_each_files_own(spark, tmp_path):
+    for lacking in (None, "intereses", "compute_0004", "nombres"):
+        columns = [c for c in TICKETS if c != lacking]
+        write_text(tmp_path / f"{feeds.TICKET_PREFIX} {lacking}.txt", columns, [CELLS[c] for c in columns])
+    rows = payments_folder(spark, str(tmp_path)).rows.collect()
+    got = {r.archivo_origen.split()[-1]: (r.reasons, r.id_registro) for r in rows}
+    assert {k: v[0] for k, v in got.items()} == {
+        "None.txt": [], "intereses.txt": ["valor faltante"], "compute_0004.txt": ["valor faltante"],
+        "nombres.txt": ["nombre_usuario faltante"],
+    }
+    for lacking in ("intereses", "nombres"):
+        columns = [c for c in TICKETS if c != lacking]
+        raw = spark.createDataFrame([(*[CELLS[c] for c in columns], "f")], [*columns, "archivo_origen"])
+        direct = clean_payments(ticket_rows=raw).rows.first()
+        assert (direct.reasons, direct.id_registro) == got[f"{lacking}.txt"]
+
+
+def test_amounts_too_large_or_small(spark):
+    rows = [("1e25", "500"), ("500", "9" * 40), ("abc", "500"), ("inf", "1"), ("12d", "1"), (None, "7.9"), ("1.9", "-0.4")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [r[0] for r in df.select(truncated_sum(F.col("a"), F.col("b"))).collect()] == [None, None, "500", "1", "1", "7", "1"]
+    raw = [("A1", "1", "ANA", "GIL", v, "1", "2025-01-02", "f") for v in ("0.004", "0", "-0.001", "1e25")]
+    columns = ["nro_acuerdo", "id_usuario", "nombres", "apellidos", "valor", "consecutivo_cuota", "fecha_liquida", "archivo_origen"]
+    result = clean_payments(agreement_rows=spark.createDataFrame(raw, columns), on_duplicate="count").rows.collect()
+    assert [r.reasons for r in sorted(result, key=lambda r: r.id_registro)] == [
+        r.reasons for r in sorted(result, key=lambda r: r.id_registro)
+    ]
+    assert sorted(map(str, (r.reasons for r in result))) == sorted(
+        map(str, [[], ["valor no positivo"], ["valor no positivo"], ["valor faltante"]])
+    )
+
+
+def test_more_hot_groups_than_any_limit(spark):
+    rows = spark.range(24_000).select((F.col("id") % 12_000).alias("k"), F.col("id").alias("p"))
+    counted = group_counter(rows, ["k"], "n", "p", hot_rows=2)
+    got = counted.groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in got} == {1: 12_000, 2: 12_000}
+    assert counted.where("n != 1 + (p >= 12000)::int").isEmpty()
+
+
+def test_dates_with_t_minutes_and_slashes(spark):
+    texts = ["2025-01-02T10:00:00", "2025-01-02 10:00", "02/01/2025 10:00:00", "02/01/2025 10:00", "2025/01/02", "2025-01-02x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    day = dt.datetime(2025, 1, 2)
+    ten = day.replace(hour=10)
+    assert [r[0] for r in df.select(parse_timestamp(F.col("t"))).collect()] == [ten, ten, ten, ten, day, None]
+    first = parse_timestamp(F.col("t"), ["MM/dd/yyyy HH:mm"])
+    assert [r[0] for r in df.select(first).collect()] == [None, None, None, dt.datetime(2025, 2, 1, 10), None, None]
+
+
+def test_damaged_books_fail_alone(spark):
+    good = workbook({"A": [["x", "y"], ["1", "2"]], "B": [["x", "y"], ["3", "4"]]})
+    locked = bytearray(good)
+    # The encryption bit of every member, in the local and the central headers.
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        place = good.find(mark)
+        while place >= 0:
+            locked[place + at] |= 1
+            place = good.find(mark, place + 1)
+    second = good.find(b"xl/worksheets/sheet2.xml") + len(b"xl/worksheets/sheet2.xml")
+    cut = good[:second] + b"\x00" * 40 + good[second + 40 :]
+    files = [("good", good), ("locked", bytes(locked)), ("cut", cut), ("none", b"")]
+    parsed = parse_workbooks(spark.createDataFrame([(n, bytearray(b)) for n, b in files], "archivo_origen string, content binary"))
+    table, _, failed = split_sheets(parsed, ["x", "y"])
+    assert sorted((r.archivo_origen, r.x) for r in table.collect()) == [("good", "1"), ("good", "3")]
+    assert {r.archivo_origen for r in failed.collect()} == {"locked", "cut", "none"}
+
+
+def test_a_report_can_be_written_again(spark, tmp_path):
+    errors = spark.createDataFrame([("1", ["a", "b"])], "id string, reasons array<string>")
+    for _ in range(2):
+        write_error_report(errors, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).collect() == [("1", "a; b")]
+
+
+def test_paths_with_pattern_characters(spark, tmp_path):
+    names = ["Ap [1].txt", "Ap {a,b}.txt", "Ap ?.txt", "Ap *.txt"]
+    for name in names:
+        write_text(tmp_path / name, ["a"], [name])
+    for name in names:
+        found = spark.read.text(literal_path(f"{tmp_path}/{name}")).collect()
+        assert [r.value for r in found] == ["a", name]
