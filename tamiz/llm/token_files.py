@@ -12,6 +12,7 @@ entries and the starts of its chunks, its bitmap and its directory; then the par
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -99,51 +100,86 @@ class TokenFile:
         return int(self.read(at, 1)[0])
 
 
-class Encoder:
-    """Ids of whole texts; words met before are looked up.
+#: White space that sets no words apart on its own.
+PAIRS = ("  ", " \n", "\n ", "\n\n")
+WHITE = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
+
 
-    A text is cut at single spaces between two other characters. The tokenizer's
-    own first cut is there too, a space going with what follows it, so the parts
-    can be encoded one by one and the ids are those of the whole text. Between a
-    letter and a comma or full stop it cuts as well, which makes fewer words.
-    The first ``most`` parts are remembered, others for one call.
+class Encoder:
+    """Ids of whole texts under a byte-level tokenizer; words met before are looked up.
+
+    A text is cut before a single space or line feed between two other characters.
+    The tokenizer's own first cut is there too, a space going with what follows it and
+    a line feed standing alone, so the words can be encoded apart and the ids are those
+    of the whole text. New words are encoded many in a row and told apart by the ids
+    that begin with a space or line feed. Between a letter and a final comma or full
+    stop it cuts as well, which makes fewer words. The first ``most`` words are
+    remembered, others for one call.
     """
 
-    cut = re.compile(r"(?<=\S) (?=\S)").split
+    cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
 
     def __init__(self, path: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def _learn(self, parts: list[str], into: dict[str, bytes], at_once: int = 1 << 12) -> None:
-        for first in range(0, len(parts), at_once):
-            some = parts[first : first + at_once]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                into[part] = np.array(found.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
+
+    def _words(self, text: str) -> list[str]:
+        """Words of a text that begins with no white space: after a space without it, after a line feed (and the first) with it."""
+        if not (text[-1] in " \n" or any(pair in text for pair in PAIRS) or any(c in text for c in WHITE)):
+            return text.replace("\n", " \n").split(" ")
+        return [part.removeprefix(" ") for part in self.cut(text)]
+
+    def _learn(self, words: list[str], at_once: int = 1 << 12) -> None:
+        for first in range(0, len(words), at_once):
+            some = words[first : first + at_once]
+            whole = [w if w[0] == "\n" else " " + w for w in some]
+            ids = self._ids("".join(whole))
+            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(starts) != len(some):
+                self.known.update((w, self._ids(part).tobytes()) for w, part in zip(some, whole))
+                continue
+            data = ids.tobytes()
+            self.known.update((w, data[a:b]) for w, a, b in zip(some, starts, [*starts[1:], len(data)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = []
+        known, split = self.known, []
         for text in texts:
-            first, *rest = self.cut(text)
-            split.append([first, *[" " + part for part in rest]])
-        known = self.known
-        new = {part for parts in split for part in parts if part not in known}
-        ended = {part for part in new if part[-1:] in (",", ".") and part[:-1].removeprefix(" ").isalpha()}
-        into = known if len(known) < self.most else {}
-        plain = (new - ended) | {part[:-1] for part in ended} | {",", "."}
-        self._learn([part for part in plain if part not in known], into)
-        both = known if into is known else into | {p: known[p] for p in plain if p in known}
-        for part in ended:
-            into[part] = both[part[:-1]] + both[part[-1]]
-        if into is known:
-            return [np.frombuffer(b"".join([known[p] for p in parts]), "<u4") for parts in split]
-        return [np.frombuffer(b"".join([known[p] if p in known else into[p] for p in parts]), "<u4") for parts in split]
+            words = self._words(text) if text and not text[0].isspace() else []
+            if words:
+                words[0] = "\n" + words[0]
+            split.append(words)
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+        ended = {w for w in new if w[-1] in ",." and w[:-1].removeprefix("\n").isalpha() and max(w) < "\u0500"}
+        plain = (new - ended).union(w[:-1] for w in ended).difference(known)
+        # Words with other white space in them go alone.
+        odd = [w for w in plain if len(w.split()[0]) != len(w) - (w[0] == "\n")]
+        self._learn(list(plain.difference(odd)))
+        self._learn(odd, 1)
+        mark = {m: self._ids(m).tobytes() for m in ",."}
+        known.update((w, known[w[:-1]] + mark[w[-1]]) for w in ended)
+        out = []
+        for text, words, ids in zip(texts, split, found):
+            if None in ids:
+                ids = [known[w] if i is None else i for w, i in zip(words, ids)]
+            out.append(np.frombuffer(b"".join(ids), "<u4")[1:] if words else self._ids(text))
+        while len(known) > self.most:
+            known.popitem()
+        return out
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One for each worker process, which keeps what it knows from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
     return Encoder(path)
 
 
