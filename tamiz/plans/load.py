@@ -12,7 +12,7 @@ from tamiz.operators.quality import add_reasons, error_rows, missing_rules, too_
 from tamiz.operators.schema import check_target
 from tamiz.plans.result import Result
 from tamiz.sinks.reports import write_error_report
-from tamiz.sinks.tables import BATCH, MONTH, append_batch, read_target
+from tamiz.sinks.tables import BATCH, MONTH, append_batch, read_target, register_batch
 
 # The date that places a row in the target.
 DATES = {"gestiones": "fecha_gestion", "sms": "fecha_sms", "pagos": "fecha_pago"}
@@ -45,13 +45,14 @@ class Load:
 
 
 def load_batch(
-    result: Result, table: str, path: str, batch: str, report: str | None = None
+    result: Result, table: str, path: str, batch: str, report: str | None = None, name: str | None = None
 ) -> Load:
     """Append the valid rows whose id the target does not hold yet.
 
     ``batch`` names the input: running the same input again under its name gives the
     same target, because the batch's own folders are left out of the lookup and
-    replaced by the write. Another input needs another name.
+    replaced by the write. Another input needs another name. ``name`` is the table made
+    at ``path`` by ``create_table``, if it is to show the rows.
     """
     spark = result.rows.sparkSession
     columns, date = feeds.TARGETS[table], DATES[table]
@@ -70,7 +71,10 @@ def load_batch(
     if report:
         write_error_report(errors, report)
     # The counts come from what is stored now: file footers for the new rows.
-    new = read_target(spark, path, schema, batch=batch).drop(MONTH, BATCH)
+    stored = read_target(spark, path, schema, batch=batch)
+    if name:
+        register_batch(stored, name, batch)
+    new = stored.drop(MONTH, BATCH)
     known, added = found.existing.count(), new.count()
     metrics = {
         "validos": count,

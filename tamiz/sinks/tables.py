@@ -68,6 +68,18 @@ def append_batch(df: DataFrame, path: str, date: str, batch: str) -> None:
     )
 
 
+def register_batch(stored: DataFrame, name: str, batch: str) -> None:
+    """Make the stored months of a batch known to the table ``name`` that lies at the target's path.
+
+    Only the batch's own folders are named, so the cost does not grow with the target.
+    """
+    months = [r[0] for r in stored.where(F.col(MONTH).isNotNull()).select(MONTH).distinct().collect()]
+    if months:
+        quoted = batch.replace("\\", "\\\\").replace("'", "\\'")
+        places = " ".join(f"PARTITION (`{MONTH}` = '{m}', `{BATCH}` = '{quoted}')" for m in sorted(months))
+        stored.sparkSession.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {places}")
+
+
 def read_target(
     spark: SparkSession,
     path: str,

@@ -37,6 +37,20 @@ def test_second_load_adds_nothing(spark, tmp_path):
     assert text.reasons == "valor faltante" and text.documento == "1010"
 
 
+def test_created_table_shows_the_rows_of_its_loads(spark, tmp_path):
+    target, name = str(tmp_path / "pagos"), "pagos_mostrados"
+    create_table(spark, name, feeds.PAYMENT_TARGET, target)
+    try:
+        result = payments(spark, [AP, AP | dict(valor="7", fecha_liquida="2025-03-01")])
+        for _ in range(2):  # a load that is run again shows its rows once
+            load_batch(result, "pagos", target, "d'1", name=name)
+            assert spark.table(name).count() == 2
+        load_batch(payments(spark, [AP | dict(valor="9")]), "pagos", target, "b2", name=name)
+        assert spark.table(name).count() == 3
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_lookup_reads_only_the_months_of_the_batch(spark, tmp_path):
     target = str(tmp_path / "pagos")
     load_batch(payments(spark, [AP, AP | dict(fecha_liquida="2024-06-01")]), "pagos", target, "b1")
