@@ -75,3 +75,8 @@ def is_phone(col: Column) -> Column:
 def file_name(col: Column) -> Column:
     """Undo the percent-encoding of ``_metadata.file_name``; ``+`` stays a plus."""
     return F.url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
+
+
+def path_name(col: Column) -> Column:
+    """The file's name at the end of a path as ``_metadata.file_path`` gives it."""
+    return file_name(F.substring_index(col, "/", -1))

@@ -19,12 +19,12 @@ from tamiz.sources.workbook import read_workbooks, split_sheets
 
 
 def unusable_files(names: DataFrame, headers: DataFrame) -> DataFrame:
-    """Files of ``names`` no header was read from: of unknown kind, or empty."""
+    """Paths of ``names`` no header was read from: of unknown kind, or empty."""
     name = F.col("archivo_origen")
     known = name.startswith(feeds.AGREEMENT_PREFIX) | name.startswith(feeds.TICKET_PREFIX)
     reason = F.when(known, EMPTY_FILE).otherwise(UNKNOWN_FEED).alias("reason")
-    unread = names.join(headers.select("archivo_origen"), "archivo_origen", "left_anti")
-    return unread.select("archivo_origen", reason)
+    unread = names.join(headers.select("path"), "path", "left_anti")
+    return unread.select(F.col("path").alias("archivo_origen"), reason)
 
 
 def payments_folder(
@@ -34,10 +34,10 @@ def payments_folder(
 
     Each family is one scan of its own files, and the checked rows are stored once. A
     file that is malformed, unknown or has repeated ids is reported in
-    ``failed_files``; the others go on.
+    ``failed_files``; the others go on. Files are told apart by path and shown by name.
     """
     scans = {
-        prefix: scan_text(spark, paths, columns, glob_for(prefix), multiline=multiline, absent=True)
+        prefix: scan_text(spark, paths, columns, glob_for(prefix), multiline=multiline, absent=True, by_path=True)
         for prefix, columns in (
             (feeds.AGREEMENT_PREFIX, feeds.AGREEMENT_COLUMNS),
             (feeds.TICKET_PREFIX, feeds.TICKET_COLUMNS),
@@ -53,7 +53,7 @@ def payments_folder(
     headers = agreements.headers.unionByName(tickets.headers)
     unusable = unusable_files(file_names(spark, paths), headers)
     failed_files = materialize(result.failed_files.unionByName(unusable))
-    return replace(result, failed_files=failed_files)
+    return replace(result, failed_files=failed_files).named()
 
 
 def concatenated_folder(
@@ -98,10 +98,10 @@ def files_without_valid_rows(result: Result) -> DataFrame:
 
 def _workbooks(spark: SparkSession, paths: Paths, columns: list[str], clean, **options) -> Result:
     # Workbooks are parsed once; every later pass reads the stored columns.
-    sheets = materialize(read_workbooks(spark, paths))
+    sheets = materialize(read_workbooks(spark, paths, by_path=True))
     table, warnings, failed = split_sheets(sheets, columns)
     result = clean(table, position="posicion", warnings=warnings, **options)
-    return replace(result, failed_files=result.failed_files.unionByName(failed))
+    return replace(result, failed_files=result.failed_files.unionByName(failed)).named()
 
 
 def contacts_folder(spark: SparkSession, paths: Paths, **options) -> Result:

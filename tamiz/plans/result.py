@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tamiz.functions.text import path_name
 from tamiz.operators.quality import error_rows, valid_rows
 from tamiz.session import materialize
 
@@ -35,6 +36,17 @@ class Result:
     def errors(self) -> DataFrame:
         return error_rows(self.rows)
 
+    def named(self) -> "Result":
+        """Show files by name, once all rules that tell them apart by path are decided."""
+        name = path_name(F.col("archivo_origen"))
+        return replace(
+            self,
+            rows=self.rows.withColumn("archivo_origen", name),
+            rejected=self.rejected.withColumn("archivo_origen", name),
+            failed_files=self.failed_files.withColumn("archivo_origen", name),
+            warnings=self.warnings.withColumn("source_file", path_name(F.col("source_file"))),
+        )
+
     def staged(self) -> "Result":
         """Store the rows once, for a caller that reads ``valid`` and ``errors`` often.
 

@@ -122,6 +122,31 @@ def scan_folder_consolidated(spark, folder):
     return consolidated_folder(spark, write_payment_folder(spark, folder)).drop("archivo_origen")
 
 
+# What a Latin-1 file with trimmed cells can hold; line breaks stay.
+ASCII, ENDS = "[^\\n\\x20-\\x7E]", "^\\s+|\\s+$"
+
+
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, false AS malformed,
+  nullif(regexp_replace(regexp_replace(text, '{ASCII}', '', 'g'), '{ENDS}', '', 'g'), '') AS text FROM conversations""")
+def scan_quoted_lines(spark, folder):
+    """Cells that hold line breaks, read without any option."""
+    place = scratch(spark, "quoted")
+    text = F.regexp_replace(F.regexp_replace("text", ASCII, ""), ENDS, "").alias("text")
+    wanted = ["conv_id", "turn", "role", "text"]
+    write_text(table(spark, folder, "conversations").select("conv_id", "turn", "role", text), place, "Turnos")
+    return scan_text(spark, place, wanted).rows.select(*wanted, "malformed")
+
+
+@query(SQL_AGREEMENT_ROWS + """SELECT id_registro, 2 * count(*) AS n FROM checked WHERE reasons = '' GROUP BY id_registro""")
+def same_name_folders(spark, folder):
+    """The same files in two folders: none fails for the ids that the other has too."""
+    place = scratch(spark, "namesakes")
+    for part in ("a", "b"):
+        write_text(raw.raw_agreements(spark, folder).drop("archivo_origen"), f"{place}/{part}", feeds.AGREEMENT_PREFIX)
+    valid = payments_folder(spark, [f"{place}/a", f"{place}/b"]).valid
+    return valid.groupBy("id_registro").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(SQL_AGREEMENT_ROWS + """SELECT * EXCLUDE (reasons, archivo_origen) FROM checked WHERE reasons = ''""")
 def stream_file_drop(spark, folder):
     """Half of the files are dropped and loaded, then the rest, then nothing new."""

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamiz.feeds import TEXT_ENCODING, TEXT_SEPARATOR
-from tamiz.functions.text import file_name
+from tamiz.functions.text import file_name, path_name
 from tamiz.session import materialize
 
 TEXT_FILES = "*.[tT][xX][tT]"
@@ -32,6 +32,11 @@ def source_file() -> Column:
     return file_name(F.col("_metadata.file_name"))
 
 
+def literal_path(path: str) -> str:
+    """A path that stands for itself only: readers take ``[]{}*?`` for patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def glob_for(prefix: str = "") -> str:
     """File-name pattern of one feed, any case of the suffix."""
     return f"{prefix}{TEXT_FILES}"
@@ -46,13 +51,15 @@ def list_files(spark: SparkSession, paths: Paths, glob: str = TEXT_FILES) -> Dat
 
 
 def file_names(spark: SparkSession, paths: Paths, glob: str = TEXT_FILES) -> DataFrame:
-    """Every matching file, empty ones too, which a scan leaves out.
+    """(path, archivo_origen) of every matching file, empty ones too, which a scan leaves out.
 
     The names come from the listing that Spark keeps on the driver for any scan.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
-    uris = spark.createDataFrame([(uri,) for uri in files.inputFiles()], "uri string")
-    return uris.select(file_name(F.substring_index("uri", "/", -1)).alias("archivo_origen"))
+    uris = spark.createDataFrame([(uri,) for uri in files.inputFiles()], "path string")
+    # A listing writes file:///x where the rows of a scan have file:/x.
+    path = F.regexp_replace("path", r"\A([^:/]+):///", "$1:/").alias("path")
+    return uris.select(path, path_name(F.col("path")).alias("archivo_origen"))
 
 
 def read_text(
@@ -98,10 +105,11 @@ def read_headers(
     encoding: str = TEXT_ENCODING,
     outside: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(path, archivo_origen, header, blank) of every file that has a header.
+    """(path, archivo_origen, header, blank, open_quote) of every file that has a header.
 
-    ``blank`` counts the lines that hold nothing but separators. Each task keeps one
-    row per file before anything is shuffled.
+    ``blank`` counts the lines that hold nothing but separators; ``open_quote`` says
+    whether a line has an odd number of quotes, so that a cell may go on in the next
+    one. Each task keeps one row per file before anything is shuffled.
     """
     lines = (
         spark.read.format("text")
@@ -117,14 +125,17 @@ def read_headers(
             F.monotonically_increasing_id().alias("line"),
         )
     )
+    # Bytes, because the lines are not decoded yet.
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     candidate = F.col("first_block") & ~F.col("nothing")
     found = lines.groupBy("path", "archivo_origen").agg(
         F.min_by("value", F.when(candidate, F.col("line"))).alias("value"),
         F.count_if(F.col("nothing") & F.contains("value", F.lit(sep))).alias("blank"),
+        F.bool_or(quotes % 2 == 1).alias("open_quote"),
     )
     text = F.rtrim(F.decode(F.col("value").cast("binary"), encoding), F.lit("\r"))
     cells = F.transform(F.split(text, sep), lambda c: F.regexp_replace(c, r'\A"(.*)"\z', "$1"))
-    return found.select("path", "archivo_origen", cells.alias("header"), "blank").where(
+    return found.select("path", "archivo_origen", cells.alias("header"), "blank", "open_quote").where(
         F.col("header").isNotNull()
     )
 
@@ -158,6 +169,7 @@ def scan_text(
     multiline: bool = False,
     outside: tuple[str, ...] = (),
     absent: bool = False,
+    by_path: bool = False,
 ) -> TextScan:
     """Scan files with different headers in one pass over their rows.
 
@@ -165,9 +177,16 @@ def scan_text(
     which column, so column order and extra columns do not matter. A wanted column
     the file lacks is null and noted in ``warnings``. Without ``wanted`` every column
     that any file has is read. Files named with a prefix in ``outside`` are left out.
-    With ``absent`` every row has the wanted columns that its own file lacks.
+    With ``absent`` every row has the wanted columns that its own file lacks. With
+    ``by_path`` a file is known by its path, as namesakes in different folders are.
+
+    Files are read line by line, in splits. Only those where a quote stays open at the
+    end of a line, or all with ``multiline``, are read whole, so that a quoted cell may
+    hold line breaks.
     """
     headers = materialize(read_headers(spark, paths, glob, sep, encoding, outside))
+    if by_path:
+        headers = headers.withColumn("archivo_origen", F.col("path"))
     width = headers.agg(F.max(F.size("header"))).first()[0]
     if wanted is None:
         wanted = header_columns(headers)
@@ -177,26 +196,35 @@ def scan_text(
     headers_lacking = headers.withColumn(ABSENT, lacking)
     positions = headers_lacking.select(
         "path",
+        "open_quote",
         "archivo_origen",
         *extra,
         F.size("header").alias("__size"),
         *[F.array_position("header", c).alias(f"__at_{i}") for i, c in enumerate(wanted)],
     )
     schema = ", ".join(f"{p} string" for p in [*places, RECORD])
-    lines = (
-        _csv(spark, glob, sep, encoding, multiline)
-        .option("header", True)
-        .option("columnNameOfCorruptRecord", RECORD)
-        .schema(schema)
-        .load(paths)
-        .where(named_otherwise(outside))
-        .select(
-            F.array(*places).alias("__cells"),
-            _beyond(len(places), sep).alias("__beyond"),
-            F.col("_metadata.file_path").alias("path"),
+
+    def cells(paths: Paths, whole: bool) -> DataFrame:
+        return (
+            _csv(spark, glob, sep, encoding, whole)
+            .option("header", True)
+            .option("columnNameOfCorruptRecord", RECORD)
+            .schema(schema)
+            .load(paths)
+            .where(named_otherwise(outside))
+            .select(
+                F.array(*places).alias("__cells"),
+                _beyond(len(places), sep).alias("__beyond"),
+                F.col("_metadata.file_path").alias("path"),
+            )
         )
-        .join(positions, "path")
-    )
+
+    # Paths of a part of the files that the driver has listed for the scan anyway.
+    broken = headers.where("open_quote").select(file_name(F.col("path")).alias("path"))
+    whole = [] if multiline else [literal_path(r["path"]) for r in broken.collect()]
+    lines = cells(paths, multiline).join(positions if not whole else positions.where("NOT open_quote"), "path")
+    if whole:
+        lines = lines.union(cells(whole, True).join(positions, "path"))
     value = lambda i: F.get("__cells", F.col(f"__at_{i}").cast("int") - 1)
     rows = lines.select(
         *[value(i).alias(c) for i, c in enumerate(wanted)],
@@ -205,7 +233,8 @@ def scan_text(
         *extra,
     )
     if not multiline:
-        rows = rows.union(_blank_rows(headers_lacking, wanted, extra))
+        split = headers_lacking.where("NOT open_quote") if whole else headers_lacking
+        rows = rows.union(_blank_rows(split, wanted, extra))
     warnings = headers.where(F.size(lacking) > 0).select(
         F.col("archivo_origen").alias("source_file"),
         F.lit(None).cast("string").alias("sheet_name"),

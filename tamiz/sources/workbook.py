@@ -34,10 +34,16 @@ _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationship
 _DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 
 
-def read_workbooks(spark: SparkSession, path: str | list[str], sheet: int | None = None) -> DataFrame:
-    """Rows of every sheet (or of sheet number ``sheet``) of every workbook."""
+def read_workbooks(
+    spark: SparkSession, path: str | list[str], sheet: int | None = None, by_path: bool = False
+) -> DataFrame:
+    """Rows of every sheet (or of sheet number ``sheet``) of every workbook.
+
+    ``archivo_origen`` is the file's name, or its path with ``by_path``.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", WORKBOOKS).load(path)
-    named = files.select(file_name(F.col("_metadata.file_name")).alias("archivo_origen"), "content")
+    name = F.col("_metadata.file_path") if by_path else file_name(F.col("_metadata.file_name"))
+    named = files.select(name.alias("archivo_origen"), "content")
     return parse_workbooks(named, sheet)
 
 

@@ -9,14 +9,13 @@ replaces its own folders, and so adds nothing twice.
 from __future__ import annotations
 
 import hashlib
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tamiz.plans.folders import contacts_folder, messages_folder, payments_folder
 from tamiz.plans.load import load_batch
-from tamiz.sources.text import TEXT_FILES
+from tamiz.sources.text import TEXT_FILES, literal_path
 from tamiz.sources.workbook import WORKBOOKS
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -43,11 +42,6 @@ def dropped_files(
     return files.load(folder).select("path", "modificationTime", "length")
 
 
-def literal_path(path: str) -> str:
-    """A path that stands for itself only: readers take ``[]{}*?`` for patterns."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
-
-
 def batch_name(files: list[tuple]) -> str:
     """The same for a micro-batch that is run again, different for any other files."""
     return hashlib.sha256(repr(files).encode()).hexdigest()[:32]

@@ -8,12 +8,11 @@ from tamiz import feeds
 from tamiz.functions.dates import parse_timestamp
 from tamiz.functions.numbers import truncated_sum
 from tamiz.operators.counter import group_counter
-from tamiz.plans.folders import payments_folder
+from tamiz.plans.folders import contacts_folder, payments_folder
 from tamiz.plans.payments import clean_payments
 from tamiz.sinks.reports import write_error_report
-from tamiz.sources.text import scan_text
+from tamiz.sources.text import literal_path, scan_text
 from tamiz.sources.workbook import parse_workbooks, split_sheets
-from tamiz.streaming.file_drop import literal_path
 from tests.workbooks import workbook
 
 TICKETS = ["nro_comparendo", "id_usuario", "nombres", "apellidos", "compute_0004", "intereses", "fecha_liquida_contrav"]
@@ -115,3 +114,35 @@ def test_paths_with_pattern_characters(spark, tmp_path):
     for name in names:
         found = spark.read.text(literal_path(f"{tmp_path}/{name}")).collect()
         assert [r.value for r in found] == ["a", name]
+
+
+def test_namesakes_in_two_folders(spark, tmp_path):
+    book = workbook({"A": [feeds.CONTACT_COLUMNS, *[["1"] * len(feeds.CONTACT_COLUMNS)] * 2]})
+    for place in ("a", "b", "c"):
+        (tmp_path / place).mkdir()
+        cells = [CELLS[c] for c in TICKETS]
+        again = [cells] if place == "c" else []
+        write_text(tmp_path / place / f"{feeds.TICKET_PREFIX} ñ+ 1.txt", TICKETS, [*cells[:1], "11", *cells[2:]], cells, *again)
+        (tmp_path / place / f"{feeds.TICKET_PREFIX} 2.txt").write_text("" if place == "a" else "\t".join(TICKETS))
+        (tmp_path / place / "libro 1.xlsx").write_bytes(book)
+    folders = [str(tmp_path / place) for place in "abc"]
+    result = payments_folder(spark, folders)
+    name = f"{feeds.TICKET_PREFIX} ñ+ 1.txt"
+    assert {(r.archivo_origen, r["count"]) for r in result.valid.groupBy("archivo_origen").count().collect()} == {(name, 4)}
+    failed = [(name, "ids duplicados"), (f"{feeds.TICKET_PREFIX} 2.txt", "archivo sin encabezado")]
+    assert sorted(map(tuple, result.failed_files.collect())) == sorted(failed)
+    contacts = contacts_folder(spark, folders, on_bad_date="quarantine_row").rows
+    assert [(r["count"]) for r in contacts.groupBy("id_registro", "archivo_origen").count().collect()] == [3, 3]
+
+
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    first = [CELLS[c] for c in TICKETS]
+    broken = [*first[:2], '"ANA\nMARÍA\n\n\tZ"', *first[3:]]
+    write_text(tmp_path / f"{feeds.TICKET_PREFIX} [1].txt", TICKETS, first[:1] + ["12"] + first[2:], broken, [""] * len(TICKETS))
+    write_text(tmp_path / f"{feeds.TICKET_PREFIX} 2.txt", TICKETS, first[:1] + ["13"] + first[2:], [""] * len(TICKETS))
+    result = payments_folder(spark, str(tmp_path))
+    assert result.failed_files.isEmpty()
+    got = {(r.documento, r.nombre_usuario) for r in result.valid.collect()}
+    assert got == {("12", "ANA GIL"), ("13", "ANA GIL"), ("10", "ANA\nMARÍA\n\n\tZ GIL")}
+    blank = result.errors.where("documento is null").groupBy("archivo_origen").count()
+    assert sorted(r["count"] for r in blank.collect()) == [1, 1]
