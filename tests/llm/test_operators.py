@@ -322,3 +322,30 @@ def test_model_beats_base_on_held_out_text(spark):
     texts = {r.doc_id: r.text for r in documents.collect()}
     bits = -sum(r.score for r in held) / math.log10(2) / sum(len((texts[r.doc_id] or "").encode()) + 1 for r in held)
     assert bits < 2.6
+
+
+def test_contexts_are_counted_exactly():
+    """Against a dictionary of contexts, and of the bits that followed."""
+    texts = [prose(i, 30 + i).encode() for i in range(40)]
+    want = Counter()
+    for text in texts:
+        line = b"\xff" * 6 + text + b"\xff"
+        want.update((n, line[i - n : i], line[i]) for n in context_mixing.ORDERS for i in range(6, len(line)))
+    counter = context_mixing.Counter()
+    for text in texts:
+        counter.add([text])
+    keys = [(n, context, byte) for n, context, byte in want]
+    coded = [n << 56 | int.from_bytes(context, "big") << 8 | byte for n, context, byte in keys]
+    assert dict(zip(counter.counts.keys.tolist(), counter.counts.times.tolist())) == dict(zip(coded, map(want.get, keys)))
+    assert 3 in context_mixing.ORDERS
+
+    following = Counter()
+    for (n, context, byte), times in want.items():
+        for place in range(8):
+            following[n, context, 1 << place | byte >> (8 - place), byte >> (7 - place) & 1] += times
+    found = context_mixing.odds(counter.counts)(context_mixing.np.array(coded, "u8"))
+    for (n, context, byte), row in zip(keys, found.tolist()):
+        for place, got in enumerate(row):
+            node = 1 << place | byte >> (8 - place)
+            odds = math.log((following[n, context, node, 1] + 0.4) / (following[n, context, node, 0] + 0.4))
+            assert abs(got / context_mixing.UNIT - max(-8, min(8, odds))) < 1e-3
