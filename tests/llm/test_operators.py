@@ -349,3 +349,12 @@ def test_contexts_are_counted_exactly():
             node = 1 << place | byte >> (8 - place)
             odds = math.log((following[n, context, node, 1] + 0.4) / (following[n, context, node, 0] + 0.4))
             assert abs(got / context_mixing.UNIT - max(-8, min(8, odds))) < 1e-3
+
+
+def test_a_text_learns_to_its_end():
+    """What a text repeats costs ever less: weights and refinement don't start again on the way."""
+    counter = context_mixing.Counter()
+    counter.add([b"else", b"eel"])
+    mixer = context_mixing.Mixer(context_mixing.odds(counter.counts))
+    short, long = mixer.score([b"e" * 1023, b"e" * 16367])
+    assert long > 8 * short
