@@ -351,6 +351,17 @@ def test_contexts_are_counted_exactly():
             assert abs(got / context_mixing.UNIT - max(-8, min(8, odds))) < 1e-3
 
 
+def test_every_training_row_is_counted(spark):
+    """Over many chunks and buckets, as one Counter over all rows has it; none is kept for the weights."""
+    texts = [prose(i, 30 + i).encode() for i in range(40)]
+    counter = context_mixing.Counter()
+    counter.add(texts)
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = context_mixing.score_texts(docs, docs.doc_id >= 0, bucket_bytes=100).collect()
+    alone = context_mixing.Mixer(context_mixing.odds(counter.counts)).score(texts)
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(dict(enumerate(alone)), rel=1e-5)
+
+
 def test_a_text_learns_to_its_end():
     """What a text repeats costs ever less: weights and refinement don't start again on the way."""
     counter = context_mixing.Counter()
