@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -104,6 +105,9 @@ class Rates:
     most: float | None
     wanted: list[float]
     reached: list[float]
+    #: Whether wanted is reached within the tolerance, or else the nearest that rates can come to it.
+    met: bool = True
+    nearest: bool = True
 
     def column(self, posterior: str = "posterior") -> Column:
         """From one copy of each document, every step takes off what its posterior says, never below nothing."""
@@ -124,7 +128,7 @@ def fit_rates(
     weights: list[float],
     total: float | None = None,
     most: float | None = 1.0,
-    rounds: int = 40,
+    rounds: int = 200,
     tolerance: float = 1e-4,
 ) -> Rates:
     """Document rates whose expected tokens of each domain are ``weights`` of ``total``.
@@ -140,6 +144,11 @@ def fit_rates(
     weight is used in full, at a mean rate of ``most`` (1 if that is None); a domain with
     fewer tokens than its weight asks for then stays short of its target. A domain with
     no tokens at hand is left as it is. Without tokens there are no steps and every rate is 1.
+
+    Rounds end when every domain is within ``tolerance`` of the total, or when a round
+    moves none by a hundredth of that: targets may be out of reach, as that of 0 is for a
+    domain that every posterior holds a little of. The result has the wanted and
+    reached shares of all tokens; a miss is told by a warning.
     """
     share = [F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[j]) for j in range(len(weights))]
 
@@ -160,12 +169,18 @@ def fit_rates(
         first = max(range(len(weights)), key=lambda j: (have[j] > 0, weights[j]))
         total = (most or 1.0) * have[first] / weights[first] if weights[first] else 1.0
     rates.wanted, rates.reached = [w * total for w in weights], have
-    for _ in range(rounds):
+    rates.met = rates.nearest = False
+    for done in range(rounds + 1):
         apart = [r - w for r, w in zip(rates.reached, rates.wanted)]
-        if max(map(abs, apart)) <= tolerance * total:
+        rates.met = max(map(abs, apart)) <= tolerance * total
+        if rates.met or rates.nearest or done == rounds:
             break
         rates.steps.append([a / h if h else 0.0 for a, h in zip(apart, have)])
-        rates.reached = [x / tokens for x in sums(rates)[1:]]
+        before, rates.reached = rates.reached, [x / tokens for x in sums(rates)[1:]]
+        rates.nearest = max(abs(x - y) for x, y in zip(before, rates.reached)) <= 0.01 * tolerance * total
+    if not rates.met:
+        ended = "the nearest that rates come" if rates.nearest else f"stopped after {rounds} rounds"
+        warnings.warn(f"mixture targets missed ({ended}): wanted {rates.wanted}, reached {rates.reached} of all tokens")
     return rates
 
 

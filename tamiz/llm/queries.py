@@ -119,7 +119,8 @@ def domain_model(docs: DataFrame, labels: DataFrame) -> mixing.DomainModel:
 def op5_soft_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = domain_model(docs, table(spark, folder, "labels"))
-    mixed = mixing.mix(docs, model, list(DOMAINS.values()), keep=["doc_id"])
+    # Copies above 1, so that a scarce domain reaches its target.
+    mixed = mixing.mix(docs, model, list(DOMAINS.values()), keep=["doc_id"], most=None)
     posterior = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return mixed.select("doc_id", "tokens", *posterior, "rate", "copies")
 

@@ -369,3 +369,24 @@ def test_a_text_learns_to_its_end():
     mixer = context_mixing.Mixer(context_mixing.odds(counter.counts))
     short, long = mixer.score([b"e" * 1023, b"e" * 16367])
     assert long > 8 * short
+
+
+def test_scarce_domain_reaches_its_target(spark, tmp_path):
+    from tamiz.llm.queries import QUERIES
+
+    kinds = ["poor" if i % 50 == 0 else "toxic" if i % 100 == 1 else "clean" for i in range(1000)]
+    rows = [(i, " ".join([k] * 20 + [f"w{i % 7}"])) for i, k in enumerate(kinds)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(k == "clean"), int(k == "toxic")) for i, k in enumerate(kinds)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = QUERIES["op5_soft_mixture"](spark, str(tmp_path)).collect()
+    clean, poor = (sum(r.tokens * r.rate * r[f"p_{d}"] for r in out) for d in ("clean", "poor"))
+    assert poor / (clean + poor) == pytest.approx(0.1, abs=0.01)
+
+
+def test_missed_targets_are_told(spark):
+    scored = spark.createDataFrame([(10, [0.98, 0.02])] * 9 + [(10, [0.1, 0.9])], "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="targets missed"):
+        rates = mixing.fit_rates(scored, [0.5, 0.5], most=1.0)
+    assert not rates.met and rates.nearest and rates.reached[1] < rates.wanted[1]
+    assert mixing.fit_rates(scored, [0.5, 0.5], most=None).met
