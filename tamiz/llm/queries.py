@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import context_mixing, decontamination, language, mixing, sharding, simhash, token_files, topk, url_rules, warc
+from tamiz.llm import (
+    bitplanes, context_mixing, decontamination, digest_merge, filter_audit, language, mixing, sharding, simhash, token_files,
+    topk, url_rules, warc,
+)
 from tamiz.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 SHARDS = 8
@@ -156,3 +159,116 @@ def op7_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query(
+    """
+    WITH hashed AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+        doc_id = max(doc_id) OVER same AS kept, text_sha256
+    FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+    """
+)
+def op11_digest_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return digest_merge.mark_copies(table(spark, folder, "documents"), keep="largest")
+
+
+CENTROIDS, ROUNDS, SEED = 40, 5, 2
+
+
+def _assigned(centroids: str) -> str:
+    """Every vector's nearest centroid, by exact sums of products."""
+    return f"""SELECT v.vec_id, v.c, min({{'distance': (
+            list_inner_product(v.c, v.c) - 2 * list_inner_product(v.c, k.c) + list_inner_product(k.c, k.c))::BIGINT,
+            'cluster': k.cluster}}) AS near FROM v, {centroids} k GROUP BY v.vec_id, v.c"""
+
+
+def _moved(before: str, assigned: str) -> str:
+    """The floors of the means of what was assigned."""
+    return f"""SELECT k.cluster, coalesce(m.c, k.c) AS c FROM {before} k LEFT JOIN (
+            SELECT cluster, list(floor((total - ((total % n) + n) % n) / n)::DOUBLE ORDER BY i) AS c FROM (
+                SELECT near.cluster AS cluster, i, sum(c[i])::BIGINT AS total, count(*) AS n
+                FROM {assigned}, range(1, 65) AS r(i) GROUP BY ALL) GROUP BY cluster) m USING (cluster)"""
+
+
+def _rounds() -> str:
+    steps = []
+    for i in range(ROUNDS):
+        steps += [f"a{i} AS MATERIALIZED ({_assigned(f'c{i}')})", f"c{i + 1} AS MATERIALIZED ({_moved(f'c{i}', f'a{i}')})"]
+    return ",\n    ".join([*steps, f"a{ROUNDS} AS MATERIALIZED ({_assigned(f'c{ROUNDS}')})"])
+
+
+@query(
+    f"""
+    WITH v AS MATERIALIZED (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id))::INTEGER - 1 AS cluster, c FROM v
+        ORDER BY cluster LIMIT {CENTROIDS}),
+    {_rounds()}
+    SELECT vec_id, near.cluster AS cluster, near.distance AS distance,
+        (sum(near.distance) OVER (PARTITION BY near.cluster))::BIGINT AS cluster_inertia,
+        (sum(near.distance) OVER ())::BIGINT AS inertia,
+        sha256(array_to_string(list_transform(k.c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+    FROM a{ROUNDS} JOIN c{ROUNDS} k ON k.cluster = near.cluster
+    """
+)
+def op12_bit_planes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = bitplanes.integer_vectors(table(spark, folder, "embeddings"), 256)
+    return bitplanes.cluster(vectors, CENTROIDS, ROUNDS, SEED)
+
+
+@query(
+    r"""
+    WITH docs AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+    known AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    judged AS (
+        SELECT part, coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic, {
+            'A': len(words) < 200,
+            'B': 100 * len(list_distinct(words)) < 50 * len(words),
+            'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text),
+            'D': regexp_matches(text, '[#$%&*|]'),
+            'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)} AS f
+        FROM docs d LEFT JOIN known k ON k.doc_id = d.doc_id),
+    failing AS (
+        SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: [f.A, f.B, f.C, f.D, f.E][ascii(x) - 64]) AS fails
+        FROM judged),
+    kinds AS (SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL),
+    letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    orders AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (
+        SELECT filter_order, i::INTEGER AS step, filter_order[i] AS letter, string_split(filter_order[:i - 1], '') AS earlier
+        FROM orders, range(1, 6) AS r(i)),
+    told AS (
+        SELECT *, list_contains(fails, letter) AS failing, step > 1 AND list_has_any(fails, earlier) AS gone FROM kinds, steps),
+    counted AS (
+        SELECT part, filter_order, step, letter,
+            coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept,
+            coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (fails = [letter]), 0)::BIGINT AS unique_fails,
+            coalesce(sum(n) FILTER (failing AND NOT gone AND good), 0)::BIGINT AS good_lost,
+            coalesce(sum(n) FILTER (failing AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+        FROM told GROUP BY ALL)
+    SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted
+    """
+)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", text.alias("text"), words.alias("words"))
+    filters = {
+        "A": F.size("words") < 200,
+        "B": 100 * F.size(F.array_distinct("words")) < 50 * F.size("words"),
+        "C": 100 * F.regexp_count("text", F.lit("[A-Z]")) > 3 * F.length("text"),
+        "D": F.col("text").rlike(r"[#$%&*|]"),
+    }
+    labels = table(spark, folder, "labels")
+    labels = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.audit(docs, labels, filters, copies="E")
