@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz import feeds
 from tamiz.functions.numbers import to_bigint
-from tamiz.operators.quality import REASONS
+from tamiz.functions.text import path_name
+from tamiz.operators.quality import REASONS, failing_files, reject_files
+from tamiz.operators.schema import union_by_name
 from tamiz.plans.contacts import clean_contacts
 from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import CONSOLIDATED, clean_payments, consolidate_payments
 from tamiz.plans.result import Result
 from tamiz.session import materialize
-from tamiz.sources.text import EMPTY_FILE, UNKNOWN_FEED, Paths, file_names, glob_for, scan_text
+from tamiz.sources.text import EMPTY_FILE, MALFORMED, UNKNOWN_FEED, Paths, file_names, glob_for, scan_text
 from tamiz.sources.workbook import read_workbooks, split_sheets
 
 
@@ -28,16 +30,17 @@ def unusable_files(names: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def payments_folder(
-    spark: SparkSession, paths: Paths, multiline: bool = False, **options
+    spark: SparkSession, paths: Paths, multiline: bool = False, encoding: str = feeds.TEXT_ENCODING, **options
 ) -> Result:
     """Clean every payment file of a folder.
 
     Each family is one scan of its own files, and the checked rows are stored once. A
     file that is malformed, unknown or has repeated ids is reported in
     ``failed_files``; the others go on. Files are told apart by path and shown by name.
+    With the encoding ``auto`` each file is read in its own.
     """
     scans = {
-        prefix: scan_text(spark, paths, columns, glob_for(prefix), multiline=multiline, absent=True, by_path=True)
+        prefix: scan_text(spark, paths, columns, glob_for(prefix), encoding=encoding, absent=True, by_path=True)
         for prefix, columns in (
             (feeds.AGREEMENT_PREFIX, feeds.AGREEMENT_COLUMNS),
             (feeds.TICKET_PREFIX, feeds.TICKET_COLUMNS),
@@ -56,34 +59,56 @@ def payments_folder(
     return replace(result, failed_files=failed_files).named()
 
 
-def concatenated_folder(
-    spark: SparkSession, paths: Paths, whole_numbers: tuple[str, ...] = ("nro_acuerdo", "id_usuario")
-) -> DataFrame:
-    """All rows and all columns of a folder's text files, whatever their headers.
+def whole_files(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that can be read as they are, and (file, reason) of those with cells beyond their header.
+
+    ``archivo_origen`` is a path at first, so that namesakes stand for themselves, and the name in what is returned.
+    """
+    split = reject_files(rows, failing_files(rows, {MALFORMED: F.col("malformed")}))
+    name = path_name(F.col("archivo_origen"))
+    kept = split.kept.select(*rows.columns).drop("malformed").withColumn("archivo_origen", name)
+    return kept, split.failed.withColumn("archivo_origen", name)
 
-    ``whole_numbers`` become integers, null where a cell is none.
+
+def concatenated_folder(
+    spark: SparkSession,
+    paths: Paths,
+    whole_numbers: tuple[str, ...] = ("nro_acuerdo", "id_usuario"),
+    encoding: str = feeds.TEXT_ENCODING,
+) -> tuple[DataFrame, DataFrame]:
+    """All rows and all columns of a folder's text files, whatever their headers, and the files that failed.
+
+    ``whole_numbers`` become integers, null where a cell is none. A file with a cell
+    beyond its header fails whole: (archivo_origen, reason).
     """
-    rows = scan_text(spark, paths).rows.drop("malformed")
+    rows, failed = whole_files(scan_text(spark, paths, encoding=encoding, by_path=True).rows)
     typed = {c: to_bigint(F.col(c)) for c in whole_numbers if c in rows.columns}
-    return rows.withColumns(typed).withColumnRenamed("archivo_origen", "Fuente_Archivo")
+    return rows.withColumns(typed).withColumnRenamed("archivo_origen", "Fuente_Archivo"), failed
 
 
-def consolidated_folder(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Both payment families in one table of texts; other files give what they have."""
+def consolidated_folder(
+    spark: SparkSession, paths: Paths, encoding: str = feeds.TEXT_ENCODING
+) -> tuple[DataFrame, DataFrame]:
+    """Both payment families in one table of texts, and the files that failed; other files give what they have."""
     families = (feeds.AGREEMENT_PREFIX, feeds.TICKET_PREFIX)
-    agreements = scan_text(spark, paths, feeds.AGREEMENT_COLUMNS, glob_for(families[0])).rows
-    tickets = scan_text(spark, paths, feeds.TICKET_COLUMNS, glob_for(families[1])).rows
-    others = scan_text(spark, paths, CONSOLIDATED[:-1], outside=families).rows
+    options = {"encoding": encoding, "by_path": True}
+    scans = [
+        scan_text(spark, paths, feeds.AGREEMENT_COLUMNS, glob_for(families[0]), **options),
+        scan_text(spark, paths, feeds.TICKET_COLUMNS, glob_for(families[1]), **options),
+        scan_text(spark, paths, CONSOLIDATED[:-1], outside=families, **options),
+    ]
+    (agreements, tickets, others), failed = zip(*[whole_files(scan.rows) for scan in scans])
     both = consolidate_payments(agreements, tickets)
-    return both.unionByName(others.select(*CONSOLIDATED))
+    return both.unionByName(others.select(*CONSOLIDATED)), union_by_name(*failed)
 
 
 def file_counts(result: Result) -> DataFrame:
-    """Valid and error rows of every file; one row per file leaves each task."""
+    """Valid and error rows of every file, namesakes in two folders apart; one row per file leaves each task."""
     fine = F.size(REASONS) == 0
-    return result.rows.groupBy("archivo_origen").agg(
+    counts = (result.by_path or result).rows.groupBy("archivo_origen").agg(
         F.count_if(fine).alias("validos"), F.count_if(~fine).alias("con_error")
     )
+    return counts.withColumn("archivo_origen", path_name(F.col("archivo_origen")))
 
 
 def files_without_valid_rows(result: Result) -> DataFrame:

@@ -27,6 +27,8 @@ class Result:
     failed_files: DataFrame
     warnings: DataFrame
     stored: bool = False
+    #: The same with files told apart by path, where they are shown by name here.
+    by_path: "Result | None" = None
 
     @property
     def valid(self) -> DataFrame:
@@ -41,6 +43,7 @@ class Result:
         name = path_name(F.col("archivo_origen"))
         return replace(
             self,
+            by_path=self,
             rows=self.rows.withColumn("archivo_origen", name),
             rejected=self.rejected.withColumn("archivo_origen", name),
             failed_files=self.failed_files.withColumn("archivo_origen", name),
@@ -53,4 +56,8 @@ class Result:
         Scan, parse and hash then run once, and a lost executor costs a re-read
         instead of a re-run.
         """
-        return self if self.stored else replace(self, rows=materialize(self.rows), stored=True)
+        if self.stored:
+            return self
+        if self.by_path:
+            return self.by_path.staged().named()
+        return replace(self, rows=materialize(self.rows), stored=True)

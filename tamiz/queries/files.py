@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
+from contextlib import contextmanager
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tamiz import feeds
-from tamiz.plans.folders import concatenated_folder, consolidated_folder, payments_folder
+from tamiz.plans.folders import (
+    concatenated_folder, consolidated_folder, file_counts, files_without_valid_rows, payments_folder,
+)
+from tamiz.plans.payments import clean_payments
 from tamiz.plans.load import storage_schema
 from tamiz.queries import raw
 from tamiz.queries.loads import SQL_AGREEMENT_ROWS
@@ -24,12 +28,14 @@ from tamiz.sources.workbook import parse_workbooks, split_sheets
 from tamiz.streaming.file_drop import load_dropped
 
 
-def write_text(df: DataFrame, folder: str, prefix: str, suffix: str = ".txt") -> None:
-    """Tab-separated Latin-1 files called ``<prefix> <n><suffix>``, one per partition."""
-    spark = df.sparkSession
+def write_text(df: DataFrame, folder: str, prefix: str, suffix: str = ".txt", encoding: str = "ISO-8859-1") -> None:
+    """Tab-separated files called ``<prefix> <n><suffix>``, one per partition."""
     parts = f"{folder}/_{prefix.replace(' ', '_')}"
-    options = {"sep": "\t", "encoding": "ISO-8859-1", "header": True, "escape": '"'}
-    df.write.options(**options).csv(parts)
+    df.write.options(sep="\t", encoding=encoding, header=True, escape='"').csv(parts)
+    name_files(df.sparkSession, parts, folder, prefix, suffix)
+
+
+def name_files(spark, parts: str, folder: str, prefix: str, suffix: str = ".txt") -> None:
     # The writer names its own files, so they are given their feed's names afterwards.
     hadoop = spark._jvm.org.apache.hadoop.fs
     source = hadoop.Path(parts)
@@ -112,14 +118,14 @@ def scan_file_shapes(spark, folder):
   CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS s_acctbal FROM supplier""")
 def scan_folder_concatenated(spark, folder):
     """Every column of every file, whatever the headers."""
-    rows = concatenated_folder(spark, write_payment_folder(spark, folder)).drop("Fuente_Archivo")
+    rows = concatenated_folder(spark, write_payment_folder(spark, folder))[0].drop("Fuente_Archivo")
     return rows.withColumn("s_acctbal", F.col("s_acctbal").try_cast("decimal(12,2)").cast("string"))
 
 
 @query(SQL_CONSOLIDATED.replace(", archivo_origen FROM", " FROM") + """
  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL FROM supplier""")
 def scan_folder_consolidated(spark, folder):
-    return consolidated_folder(spark, write_payment_folder(spark, folder)).drop("archivo_origen")
+    return consolidated_folder(spark, write_payment_folder(spark, folder))[0].drop("archivo_origen")
 
 
 # What a Latin-1 file with trimmed cells can hold; line breaks stay.
@@ -137,6 +143,148 @@ def scan_quoted_lines(spark, folder):
     return scan_text(spark, place, wanted).rows.select(*wanted, "malformed")
 
 
+@contextmanager
+def split_bytes(spark, size: int):
+    """Files are read in splits of so many bytes, as if they were large."""
+    names = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 1}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+# Notes with a line break, quotes and a separator; and a quote that opens nothing.
+NOTES = "CASE WHEN {k} % 50 = 7 THEN concat('dos', chr(10), 'líneas', chr(9), '\"y\"') WHEN {k} % 50 = 8 THEN '5\" tubo' ELSE 'sin nota' END"
+SQL_NOTES = NOTES.replace('\\"', '"').format(k="l_orderkey")
+
+
+@query(f"""SELECT CAST(l_orderkey AS VARCHAR) AS pedido, CAST(l_linenumber AS VARCHAR) AS linea, {SQL_NOTES} AS nota,
+ CASE WHEN l_orderkey % 3 = 0 THEN 'uno' ELSE 'varios' END AS familia FROM lineitem""")
+def scan_quoted_hot_file(spark, folder):
+    """A third of all rows in one file whose cells hold line breaks and stray quotes, read in many splits."""
+    place = scratch(spark, "hot")
+    key = F.col("l_orderkey")
+    broken = F.lit('"dos\nlíneas\t""y"""')
+    note = F.when(key % 50 == 7, broken).when(key % 50 == 8, '5" tubo').otherwise("sin nota")
+    rows = table(spark, folder, "lineitem").select(
+        (key % 3 == 0).alias("hot"), F.concat_ws("\t", key.cast("string"), F.col("l_linenumber").cast("string"), note).alias("value")
+    )
+    head = spark.range(1).select(F.lit("pedido\tlinea\tnota").alias("value"))
+    for prefix, some, parts in (("uno", rows.where("hot"), 1), ("varios", rows.where("NOT hot"), 4)):
+        path = f"{place}/_{prefix}"
+        # A header at the head of every file: sorted within its task.
+        number = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        first = head.select("value", number.alias("part"), F.lit(0).alias("place"))
+        body = some.select("value", F.pmod(F.hash("value"), F.lit(parts)).alias("part"), F.lit(1).alias("place"))
+        dealt = first.unionByName(body).repartition(parts, "part").sortWithinPartitions("part", "place")
+        by_part = dealt.select("part", F.encode("value", "ISO-8859-1").cast("string").alias("value"))
+        by_part.write.partitionBy("part").text(path)
+        for n in range(parts):
+            name_files(spark, f"{path}/part={n}", place, f"{prefix} {n}")
+    with split_bytes(spark, 1 << 16):
+        scan = scan_text(spark, place, ["pedido", "linea", "nota"])
+    family = F.substring_index("archivo_origen", " ", 1).alias("familia")
+    return scan.rows.where("NOT malformed").select("pedido", "linea", "nota", family)
+
+
+WIDE = 2_000
+
+
+@query(f"""SELECT s_suppkey AS clave, s_name AS nombre, CAST(s_suppkey * 3 + {WIDE - 1} AS VARCHAR) AS ultima, false AS malformed FROM supplier
+ UNION ALL SELECT n_nationkey, n_name, NULL, false FROM nation
+ UNION ALL SELECT c_custkey, c_name, NULL, c_custkey % 100 = 0 FROM customer""")
+def scan_folder_shapes_mixed(spark, folder):
+    """A file of 2,000 columns among narrow ones; one family has a cell beyond its header now and then."""
+    place = scratch(spark, "shapes")
+    suppliers = table(spark, folder, "supplier")
+    # The wide rows as text: their columns would be no readable plan.
+    cells = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 2)), lambda i: (F.col("s_suppkey") * 3 + i + 1).cast("string"))
+    names = "\t".join(["clave", *[f"c{i}" for i in range(1, WIDE - 2)], "ultima", "nombre"])
+    line = F.concat_ws("\t", F.col("s_suppkey").cast("string"), F.slice(cells, 2, WIDE - 1), F.col("s_name"))
+    rows = suppliers.select(F.lit(1).alias("place"), line.alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("place"), F.lit(names).alias("value"))
+    wide = head.unionByName(rows).repartition(1).sortWithinPartitions("place")
+    wide.select("value").write.text(f"{place}/_wide")
+    name_files(spark, f"{place}/_wide", place, "ancho")
+    nations = table(spark, folder, "nation").select(F.col("n_name").alias("nombre"), F.col("n_nationkey").alias("clave"))
+    write_text(nations, place, "naciones")
+    more = F.when(F.col("c_custkey") % 100 == 0, "más")
+    named = F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name", F.coalesce(more, F.lit("")))
+    customers = table(spark, folder, "customer").select(F.lit(1).alias("place"), named.alias("value"))
+    top = spark.range(1).select(F.lit(0).alias("place"), F.lit("clave\tnombre").alias("value"))
+    lines = top.unionByName(customers).repartition(1).sortWithinPartitions("place")
+    lines.select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(f"{place}/_narrow")
+    name_files(spark, f"{place}/_narrow", place, "clientes")
+    rows = scan_text(spark, place, ["clave", "nombre", "ultima"]).rows
+    return rows.select(F.col("clave").cast("bigint").alias("clave"), "nombre", "ultima", "malformed")
+
+
+@query("""SELECT c_custkey AS clave, concat(c_name, ' Peña') AS nombre,
+ CASE WHEN c_custkey % 2 = 0 THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding FROM customer""")
+def folder_mixed_encodings(spark, folder):
+    """Files in UTF-8 and in Latin-1, each read in its own."""
+    place = scratch(spark, "encodings")
+    customers = table(spark, folder, "customer").select("c_custkey", F.concat("c_name", F.lit(" Peña")).alias("nombre"))
+    for rest, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        write_text(customers.where(F.col("c_custkey") % 2 == rest), place, f"Clientes {rest}", encoding=encoding)
+    scan = scan_text(spark, place, ["c_custkey", "nombre"], encoding="auto")
+    rows = scan.rows.join(scan.headers.select("archivo_origen", "encoding"), "archivo_origen")
+    return rows.select(F.col("c_custkey").cast("bigint").alias("clave"), "nombre", "encoding")
+
+
+@query(SQL_AGREEMENT_ROWS + """SELECT archivo_origen AS archivo, CASE WHEN archivo_origen = 'A_1996'
+ THEN 'fila con más campos que el encabezado' ELSE 'leído' END AS estado,
+ CASE WHEN archivo_origen = 'A_1996' THEN 0 ELSE count(*) END AS filas FROM checked GROUP BY archivo_origen""")
+def consolidated_malformed(spark, folder):
+    """One year's file has a cell beyond its header, and fails whole; the others are read."""
+    place = scratch(spark, "malformed")
+    agreements = raw.raw_agreements(spark, folder)
+    years = [r[0] for r in agreements.select("archivo_origen").distinct().collect()]
+    for year in years:
+        rows = agreements.where(F.col("archivo_origen") == year).drop("archivo_origen").repartition(1)
+        if year == "A_1996":
+            last = F.concat(F.col("consecutivo_cuota"), F.lit("\tmás"))
+            line = F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in feeds.AGREEMENT_COLUMNS[:-1]], last)
+            head = spark.range(1).select(F.lit("\t".join(feeds.AGREEMENT_COLUMNS)).alias("value"), F.lit(0).alias("place"))
+            lines = head.unionByName(rows.select(line.alias("value"), F.lit(1).alias("place"))).repartition(1)
+            lines.sortWithinPartitions("place").select("value").write.text(f"{place}/_{year}")
+            name_files(spark, f"{place}/_{year}", place, f"{feeds.AGREEMENT_PREFIX} {year}")
+        else:
+            write_text(rows, place, f"{feeds.AGREEMENT_PREFIX} {year}")
+    rows, failed = consolidated_folder(spark, place)
+    year = F.regexp_extract("archivo_origen", r"(A_\d+)", 1).alias("archivo")
+    read = rows.groupBy(year).agg(F.lit("leído").alias("estado"), F.count(F.lit(1)).alias("filas"))
+    return read.unionByName(failed.select(year, F.col("reason").alias("estado"), F.lit(0).cast("bigint").alias("filas")))
+
+
+@query(SQL_AGREEMENT_ROWS + """SELECT 'a' AS carpeta, count(*) FILTER (reasons = '') AS validos, 0 AS con_error, 0 AS avisos FROM checked
+ UNION ALL SELECT 'b', 0, count(*) FILTER (reasons <> ''), 1 FROM checked""")
+def same_name_counts(spark, folder):
+    """Namesakes in two folders, one of valid rows and one of errors: each has its own counts, and one a warning."""
+    place = scratch(spark, "counts")
+    agreements = raw.raw_agreements(spark, folder)
+    wrong = F.size("reasons") > 0
+    ids = clean_payments(agreements, on_duplicate="count").rows.select(F.col("nro_acuerdo").alias("numero"), wrong.alias("mala"))
+    marked = agreements.join(ids, agreements["nro_acuerdo"] == ids["numero"])
+    for part, bad in (("a", False), ("b", True)):
+        rows = marked.where(F.col("mala") == bad).select(*feeds.AGREEMENT_COLUMNS).repartition(1)
+        write_text(rows, f"{place}/{part}", feeds.AGREEMENT_PREFIX)
+    result = payments_folder(spark, [f"{place}/a", f"{place}/b"], on_duplicate="count")
+    none = F.lit(0).cast("bigint")
+    warned = files_without_valid_rows(result).select(
+        F.lit("b").alias("carpeta"), none.alias("validos"), none.alias("con_error"), F.lit(1).alias("avisos")
+    )
+    counts = file_counts(result).select(
+        F.when(F.col("validos") > 0, "a").otherwise("b").alias("carpeta"), "validos", "con_error", F.lit(0).alias("avisos")
+    )
+    both = counts.unionByName(warned).groupBy("carpeta")
+    return both.agg(F.sum("validos").alias("validos"), F.sum("con_error").alias("con_error"), F.sum("avisos").cast("int").alias("avisos"))
+
+
 @query(SQL_AGREEMENT_ROWS + """SELECT id_registro, 2 * count(*) AS n FROM checked WHERE reasons = '' GROUP BY id_registro""")
 def same_name_folders(spark, folder):
     """The same files in two folders: none fails for the ids that the other has too."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tamiz.feeds import TEXT_ENCODING, TEXT_SEPARATOR
 from tamiz.functions.text import file_name, path_name
 from tamiz.session import materialize
+from tamiz.sources.lines import AUTO, cut, decoded, file_facts, read_lines, records
 
 TEXT_FILES = "*.[tT][xX][tT]"
 MALFORMED = "fila con más campos que el encabezado"
@@ -19,12 +20,6 @@ UNKNOWN_FEED = "tipo de archivo no reconocido"
 # Wanted columns that a row's file lacks.
 ABSENT = "columnas_ausentes"
 
-BLANK_CHUNK = 100_000
-RECORD = "__record"  # the line as it is, to notice cells beyond the widest header
-
-# Lines the line-by-line CSV reader takes for empty.
-NOTHING = r"\A[\x00-\x20]*\z"
-
 Paths = str | list[str]
 
 
@@ -105,38 +100,19 @@ def read_headers(
     encoding: str = TEXT_ENCODING,
     outside: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(path, archivo_origen, header, blank, open_quote) of every file that has a header.
+    """(path, archivo_origen, header, encoding) of every file that has a header."""
+    return _headers(file_facts(read_lines(spark, paths, glob, sep, named_otherwise(outside))), sep, encoding)
 
-    ``blank`` counts the lines that hold nothing but separators; ``open_quote`` says
-    whether a line has an odd number of quotes, so that a cell may go on in the next
-    one. Each task keeps one row per file before anything is shuffled.
-    """
-    lines = (
-        spark.read.format("text")
-        .option("pathGlobFilter", glob)
-        .load(paths)
-        .where(named_otherwise(outside))
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            source_file().alias("archivo_origen"),
-            F.col("value").rlike(NOTHING).alias("nothing"),
-            (F.col("_metadata.file_block_start") == 0).alias("first_block"),
-            "value",
-            F.monotonically_increasing_id().alias("line"),
-        )
-    )
-    # Bytes, because the lines are not decoded yet.
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    candidate = F.col("first_block") & ~F.col("nothing")
-    found = lines.groupBy("path", "archivo_origen").agg(
-        F.min_by("value", F.when(candidate, F.col("line"))).alias("value"),
-        F.count_if(F.col("nothing") & F.contains("value", F.lit(sep))).alias("blank"),
-        F.bool_or(quotes % 2 == 1).alias("open_quote"),
-    )
-    text = F.rtrim(F.decode(F.col("value").cast("binary"), encoding), F.lit("\r"))
-    cells = F.transform(F.split(text, sep), lambda c: F.regexp_replace(c, r'\A"(.*)"\z', "$1"))
-    return found.select("path", "archivo_origen", cells.alias("header"), "blank", "open_quote").where(
-        F.col("header").isNotNull()
+
+def _headers(facts: DataFrame, sep: str, encoding: str) -> DataFrame:
+    text = decoded(F.col("header_value"), encoding, F.col("utf8"))
+    cells = cut(F.regexp_replace(text, "\\A\ufeff", ""), sep)
+    found = F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1") if encoding == AUTO else F.lit(encoding)
+    return facts.select(
+        "path",
+        path_name(F.col("path")).alias("archivo_origen"),
+        F.transform(cells, lambda c: F.coalesce(c, F.lit(""))).alias("header"),
+        found.alias("encoding"),
     )
 
 
@@ -171,70 +147,57 @@ def scan_text(
     absent: bool = False,
     by_path: bool = False,
 ) -> TextScan:
-    """Scan files with different headers in one pass over their rows.
-
-    Rows are read by position and each file's own header says which position holds
-    which column, so column order and extra columns do not matter. A wanted column
-    the file lacks is null and noted in ``warnings``. Without ``wanted`` every column
-    that any file has is read. Files named with a prefix in ``outside`` are left out.
-    With ``absent`` every row has the wanted columns that its own file lacks. With
-    ``by_path`` a file is known by its path, as namesakes in different folders are.
-
-    Files are read line by line, in splits. Only those where a quote stays open at the
-    end of a line, or all with ``multiline``, are read whole, so that a quoted cell may
-    hold line breaks.
+    """Scan files with different headers; every file is read once.
+
+    Lines are stored as they are read, and the files' headers and encodings come from
+    what is stored. A line is cut into as many cells as it has, and its own file's
+    header says which of them is which column, so column order, extra columns and
+    widths do not matter. A wanted column the file lacks is null and noted in
+    ``warnings``. Without ``wanted`` every column that any file has is read. Files named with
+    a prefix in ``outside`` are left out. With ``absent`` every row has the wanted columns
+    that its own file lacks. With ``by_path`` a file is known by its path, as namesakes
+    in different folders are. ``encoding`` is that of all files; with ``auto`` each is UTF-8
+    if all its bytes are valid, else Latin-1.
+
+    A quoted cell may hold line breaks (``multiline`` is no longer needed for that): the
+    files where one does are put together split by split. A quote that is never closed
+    makes its row malformed, and what follows belongs to no row.
     """
-    headers = materialize(read_headers(spark, paths, glob, sep, encoding, outside))
+    lines = read_lines(spark, paths, glob, sep, named_otherwise(outside))
+    facts = file_facts(lines)
+    headers = _headers(facts, sep, encoding)
     if by_path:
         headers = headers.withColumn("archivo_origen", F.col("path"))
-    width = headers.agg(F.max(F.size("header"))).first()[0]
     if wanted is None:
         wanted = header_columns(headers)
-    places = [f"p{i}" for i in range((width or 1) + 1)]
     lacking = F.array_except(F.array(*[F.lit(c) for c in wanted]), F.col("header"))
     extra = [F.col(ABSENT)] if absent else []
-    headers_lacking = headers.withColumn(ABSENT, lacking)
-    positions = headers_lacking.select(
-        "path",
-        "open_quote",
-        "archivo_origen",
-        *extra,
+    positions = facts.join(headers.withColumn(ABSENT, lacking), "path").select(
+        "path", "archivo_origen", "header_line", "open_quote", "utf8", *extra,
         F.size("header").alias("__size"),
-        *[F.array_position("header", c).alias(f"__at_{i}") for i, c in enumerate(wanted)],
-    )
-    schema = ", ".join(f"{p} string" for p in [*places, RECORD])
-
-    def cells(paths: Paths, whole: bool) -> DataFrame:
-        return (
-            _csv(spark, glob, sep, encoding, whole)
-            .option("header", True)
-            .option("columnNameOfCorruptRecord", RECORD)
-            .schema(schema)
-            .load(paths)
-            .where(named_otherwise(outside))
-            .select(
-                F.array(*places).alias("__cells"),
-                _beyond(len(places), sep).alias("__beyond"),
-                F.col("_metadata.file_path").alias("path"),
-            )
-        )
-
-    # Paths of a part of the files that the driver has listed for the scan anyway.
-    broken = headers.where("open_quote").select(file_name(F.col("path")).alias("path"))
-    whole = [] if multiline else [literal_path(r["path"]) for r in broken.collect()]
-    lines = cells(paths, multiline).join(positions if not whole else positions.where("NOT open_quote"), "path")
-    if whole:
-        lines = lines.union(cells(whole, True).join(positions, "path"))
-    value = lambda i: F.get("__cells", F.col(f"__at_{i}").cast("int") - 1)
-    rows = lines.select(
+        F.transform(F.array(*[F.lit(c) for c in wanted]), lambda c: F.array_position("header", c).cast("int")).alias("__at"),
+    )
+    positions = materialize(positions)
+    plain = ["path", "line", "value", "nothing", "separated", F.lit(False).alias("unclosed")]
+    if not facts.where("open_quote").isEmpty():
+        broken = facts.where("open_quote").select("path")
+        joined = records(lines.join(broken, "path", "left_semi"))
+        whole = lines.join(broken, "path", "left_anti").select(*plain).unionByName(joined)
+    else:
+        whole = lines.select(*plain)
+    # Blanks without a separator are no row; with one they are a row of nulls.
+    rows = whole.where("NOT nothing OR separated").join(positions, "path").where("line != header_line")
+    cells = F.when(~F.col("nothing"), cut(decoded(F.col("value"), encoding, F.col("utf8")), sep))
+    rows = rows.withColumn("__cells", F.coalesce(cells, F.array().cast("array<string>")))
+    over = F.slice("__cells", F.col("__size") + 1, F.greatest(F.size("__cells"), F.lit(1)))
+    beyond = F.when(F.size("__cells") > F.col("__size"), F.concat_ws("", over) != "").otherwise(False)
+    value = lambda i: F.get("__cells", F.get("__at", F.lit(i)) - 1)
+    rows = rows.select(
         *[value(i).alias(c) for i, c in enumerate(wanted)],
         "archivo_origen",
-        ((F.concat_ws("", F.slice("__cells", F.col("__size") + 1, len(places))) != "") | F.col("__beyond")).alias("malformed"),
+        (beyond | F.col("unclosed")).alias("malformed"),
         *extra,
     )
-    if not multiline:
-        split = headers_lacking.where("NOT open_quote") if whole else headers_lacking
-        rows = rows.union(_blank_rows(split, wanted, extra))
     warnings = headers.where(F.size(lacking) > 0).select(
         F.col("archivo_origen").alias("source_file"),
         F.lit(None).cast("string").alias("sheet_name"),
@@ -244,33 +207,8 @@ def scan_text(
     return TextScan(rows, headers, warnings)
 
 
-def _beyond(places: int, sep: str) -> Column:
-    """Whether a line has a filled cell after so many, however far out.
-
-    Separators are counted first. A quoted cell may hold some; only lines with more
-    than the places ask for are cut, at separators outside of quotes.
-    """
-    line = F.coalesce(F.col(RECORD), F.lit(""))
-    many = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit(""))) >= places * len(sep)
-    quoted = F.regexp_replace(line, r'"(?:[^"]|"")*"', '"')
-    cells = F.slice(F.split(quoted, re.escape(sep)), places + 1, 1 << 30)
-    return F.when(many, F.trim(F.concat_ws("", cells), F.lit("\r\n")) != "").otherwise(False)
-
-
 def header_columns(headers: DataFrame) -> list[str]:
     """Every column name once, those of the first file first."""
     named = headers.select("archivo_origen", F.posexplode("header"))
     first = named.groupBy("col").agg(F.min(F.struct("archivo_origen", "pos")).alias("place"))
     return [r["col"] for r in first.orderBy("place").collect()]
-
-
-def _blank_rows(headers: DataFrame, wanted: list[str], extra: list[Column]) -> DataFrame:
-    """The rows of empty cells, which the line-by-line reader leaves out."""
-    last = F.floor((F.col("blank") - 1) / BLANK_CHUNK).cast("bigint")
-    chunks = headers.where("blank > 0").select(
-        "archivo_origen", *extra, "blank", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk")
-    )
-    size = F.least(F.lit(BLANK_CHUNK).cast("bigint"), F.col("blank") - F.col("chunk") * BLANK_CHUNK)
-    each = chunks.select("archivo_origen", *extra, F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
-    nulls = [F.lit(None).cast("string").alias(c) for c in wanted]
-    return each.select(*nulls, "archivo_origen", F.lit(False).alias("malformed"), *extra)

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from tamiz import feeds
 from tamiz.functions.text import READER_NULLS, clean_nulls
 from tamiz.plans.folders import (
-    concatenated_folder, consolidated_folder, contacts_folder, files_without_valid_rows, messages_folder,
+    concatenated_folder, consolidated_folder, contacts_folder, file_counts, files_without_valid_rows, messages_folder,
     payments_folder,
 )
 from tamiz.plans.payments import CONSOLIDATED
 from tamiz.sinks.database import write_options
 from tamiz.sources.database import connection_options, key_query, month_predicates
 from tamiz.sources.files import read_files
-from tamiz.sources.text import list_files, read_headers, read_text, scan_text
+from tamiz.sources.lines import read_lines
+from tamiz.sources.text import TEXT_FILES, list_files, named_otherwise, read_headers, read_text, scan_text
 from tamiz.sources.workbook import read_workbooks
 from tests.workbooks import workbook
 
@@ -92,11 +93,14 @@ def test_headers_of_split_files(spark, tmp_path):
 
 
 def test_whole_folder_as_one_table(spark, folder):
-    table = concatenated_folder(spark, str(folder))
+    table, failed = concatenated_folder(spark, str(folder))
+    assert [tuple(r) for r in failed.collect()] == [("Ap pagados long.txt", "fila con más campos que el encabezado")]
+    assert table.where("Fuente_Archivo LIKE '%long%'").isEmpty()
     assert table.columns[-1] == "Fuente_Archivo" and {"extra", "a", "b", "nro_recibo"} <= set(table.columns)
     assert table.where("a = '1'").first().Fuente_Archivo == "otro.txt"
     assert table.where("extra = 'x'").first().id_usuario == 99
-    texts = consolidated_folder(spark, str(folder))
+    texts, failed = consolidated_folder(spark, str(folder))
+    assert [r[0] for r in failed.collect()] == ["Ap pagados long.txt"]
     assert texts.columns == CONSOLIDATED
     found = {(r.nro_comparendo, r.valor, r.archivo_origen) for r in texts.where("nro_acuerdo is null").collect()}
     assert ("C-1", "12099", "Comparendos pagados 1.txt") in found and (None, None, "otro.txt") in found
@@ -105,10 +109,11 @@ def test_whole_folder_as_one_table(spark, folder):
 
 
 def test_other_families_are_not_read(spark, folder):
-    headers = read_headers(spark, str(folder), outside=("Ap pagados", "Comparendos pagados"))
+    families = ("Ap pagados", "Comparendos pagados")
+    headers = read_headers(spark, str(folder), outside=families)
     assert [r.archivo_origen for r in headers.collect()] == ["otro.txt"]
-    plan = headers._jdf.queryExecution().executedPlan().toString()
-    assert "file_name" in plan
+    lines = read_lines(spark, str(folder), TEXT_FILES, "\t", named_otherwise(families))
+    assert [r.value for r in lines.collect()] == [b"a\tb", b"1\t2"]
 
 
 def test_same_name_in_two_folders(spark, tmp_path):
@@ -226,3 +231,73 @@ def test_text_is_read_like_a_dataframe_reader_does(spark, tmp_path, multiline, d
     got = [tuple(r)[:3] for r in cleaned.collect()]
     assert Counter(row if any(v and v.strip() for v in row) else (None,) * 3 for row in got) == want
     assert scan.rows.where("malformed").isEmpty()
+
+
+PIECES = st.sampled_from(["a", '"', '""', "\t", "\n", "é", " ", 'b"', '"c"'])
+
+
+def as_records(text):
+    """What a character-by-character reader makes of a text: rows of cells, and whether a quote is left open."""
+    rows, cells, cell, state = [], [], "", "start"
+    for c in [*text, "\n"] if not text.endswith("\n") else text:
+        if state == "quoted":
+            state = "closing" if c == '"' else state
+            cell += "" if c == '"' else c
+        elif state == "closing" and c == '"':
+            cell, state = cell + c, "quoted"
+        elif c in "\t\n":
+            cells, cell, state = [*cells, cell], "", "start"
+            if c == "\n":
+                rows, cells = [*rows, cells], []
+        elif state == "start" and c == '"':
+            state = "quoted"
+        else:
+            cell, state = cell + c, "plain"
+    return rows, state == "quoted"
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(PIECES, min_size=40, max_size=400))
+def test_records_across_splits(spark, tmp_path, pieces):
+    """Any text, in splits of a few bytes, gives the rows of a reader that reads it from start to end."""
+    path = tmp_path / f"{uuid.uuid4().hex}.txt"
+    text = "x\ty\n" + "".join(pieces) + "\n"
+    path.write_bytes(text.encode("latin-1"))
+    rows, left_open = as_records(text)
+    want = Counter(tuple((c or None) for c in (r + [""])[:2]) for r in rows[1:] if any(c.strip(" \n") for c in r) or len(r) > 1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = scan_text(spark, str(path), ["x", "y"], glob="*.txt").rows
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 1 or len(text) < 70
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    blank = lambda row: tuple(None if v is None or not v.strip(" \n") else v for v in row)
+    closed = Counter(blank((r.x, r.y)) for r in got if not (left_open and r.malformed and r.x is None))
+    whole = Counter(map(blank, want.elements()))
+    if left_open:
+        assert any(r.malformed for r in got)
+        assert not Counter(blank((r.x, r.y)) for r in got if not r.malformed) - whole
+    else:
+        assert closed == whole
+
+
+def test_encodings_of_a_folder(spark, tmp_path):
+    write(tmp_path / "l.txt", "año\tx", "peña\t1", encoding="ISO-8859-1")
+    write(tmp_path / "u.txt", "año\tx", "peña\t2", encoding="utf-8")
+    (tmp_path / "b.txt").write_bytes("\ufeffaño\tx\npeña\t3\n".encode())
+    scan = scan_text(spark, str(tmp_path), ["año", "x"], encoding="auto")
+    assert sorted(tuple(r)[:2] for r in scan.rows.collect()) == [("peña", "1"), ("peña", "2"), ("peña", "3")]
+    assert {r.archivo_origen: r.encoding for r in scan.headers.collect()} == {"l.txt": "ISO-8859-1", "u.txt": "UTF-8", "b.txt": "UTF-8"}
+
+
+def test_counts_of_namesakes(spark, tmp_path):
+    for place, valor in (("a", "10"), ("b", "x")):
+        (tmp_path / place).mkdir()
+        write(tmp_path / place / "Ap pagados.txt", AP_HEADER, agreement("1", valor=valor))
+    result = payments_folder(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert sorted(map(tuple, file_counts(result).collect())) == [("Ap pagados.txt", 0, 1), ("Ap pagados.txt", 1, 0)]
+    assert [r.source_file for r in files_without_valid_rows(result).collect()] == ["Ap pagados.txt"]
