@@ -62,6 +62,10 @@ def load_metrics(
 
 
 def observed(df: DataFrame, name: str, *metrics) -> tuple[DataFrame, Observation]:
-    """Count rows (and ``metrics``) while the data passes, without an extra job."""
+    """Count rows (and ``metrics``) while the data passes, without an extra job.
+
+    Put where no shuffle follows in the same job: a stage that is run again after a
+    lost executor counts again, but a task that writes a result counts once.
+    """
     watch = Observation(name)
     return df.observe(watch, F.count(F.lit(1)).alias("filas"), *metrics), watch

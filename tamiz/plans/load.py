@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tamiz import feeds
-from tamiz.operators.incremental import increment
-from tamiz.operators.quality import add_reasons, error_rows, missing_rules, too_long, valid_rows
+from tamiz.operators.duplicates import one_per_key
+from tamiz.operators.incremental import ID, observed
+from tamiz.operators.quality import REASONS, add_reasons, error_rows, missing_rules, too_long, valid_rows
 from tamiz.operators.schema import check_target
 from tamiz.plans.result import Result
 from tamiz.sinks.reports import write_error_report
-from tamiz.sinks.tables import BATCH, MONTH, append_batch, read_target, register_batch
+from tamiz.session import materialize, scratch
+from tamiz.sinks.tables import BATCH, MONTH, append_batch, month_of, months_in, read_target
 
 # The date that places a row in the target.
 DATES = {"gestiones": "fecha_gestion", "sms": "fecha_sms", "pagos": "fecha_pago"}
@@ -35,6 +37,15 @@ def fit_target(rows: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, Dat
     return valid_rows(checked), error_rows(checked)
 
 
+def with_target_reasons(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Checked rows whose ``reasons`` also say what the target does not take."""
+    present = [c for c in feeds.mandatory(columns) if c in rows.columns]
+    sizes = {c: n for c, n in feeds.lengths(columns).items() if c in rows.columns}
+    added = add_reasons(rows.withColumnRenamed(REASONS, "_before"), missing_rules(present) | too_long(sizes))
+    reasons = F.when(F.size("_before") > 0, F.col("_before")).otherwise(F.col(REASONS))
+    return added.withColumn(REASONS, reasons).drop("_before")
+
+
 @dataclass
 class Load:
     """Counts of a load, the rows appended, and every row that was not."""
@@ -49,39 +60,50 @@ def load_batch(
 ) -> Load:
     """Append the valid rows whose id the target does not hold yet.
 
-    ``batch`` names the input: running the same input again under its name gives the
-    same target, because the batch's own folders are left out of the lookup and
-    replaced by the write. Another input needs another name. ``name`` is the table made
-    at ``path`` by ``create_table``, if it is to show the rows.
+    ``batch`` names the input. Running it again under its name replaces what it had
+    appended, whatever the input holds now: its own rows are left out of the lookup, and
+    the new ones take their place in one step. Another input needs another name.
+    ``name`` is the table made at ``path`` by ``create_table``, if it is to show the rows.
+
+    Every count is taken while rows are written anyway, and kept with the batch (``load_history``).
     """
     spark = result.rows.sparkSession
     columns, date = feeds.TARGETS[table], DATES[table]
-    schema = storage_schema(columns)
-    staged = result.staged()
-    valid = check_target(staged.valid.drop(*REPORT_ONLY), list(columns), exact=True)
-    fitting, unfit = fit_target(valid, columns)
-    errors = staged.errors.drop(*REPORT_ONLY).unionByName(unfit)
-
-    count, first, last = fitting.agg(F.count(F.lit(1)), F.min(date), F.max(date)).first()
-    between = (first, last) if count else None
-    target = read_target(spark, path, schema, between, before_batch=batch)
-    found = increment(fitting, target)
-    if count:
-        append_batch(found.new.select(*columns), path, date, batch)
-    if report:
-        write_error_report(errors, report)
-    # The counts come from what is stored now: file footers for the new rows.
-    stored = read_target(spark, path, schema, batch=batch)
-    if name:
-        register_batch(stored, name, batch)
-    new = stored.drop(MONTH, BATCH)
-    known, added = found.existing.count(), new.count()
+    rows = result.staged().rows.drop(*REPORT_ONLY)
+    check_target(valid_rows(rows), list(columns), exact=True)
+    checked = with_target_reasons(rows, columns)
+    fine = F.size(REASONS) == 0
+
+    # The ids, by month, in one pass that counts what it sees.
+    place = scratch(spark, "ids")
+    last = F.max(F.when(fine, F.col(date))).alias("last")
+    seen, watch = observed(checked, f"checked {place}", F.count_if(fine).alias("fine"), last)
+    seen.where(fine).select(ID, month_of(date).alias(MONTH)).write.partitionBy(MONTH).parquet(place)
+    months = set(months_in(spark, place))
+    counts = watch.get
+    batch_rows = valid_rows(checked)
+
+    known = 0
+    if months:
+        ids = spark.read.schema(f"{ID} string").parquet(place)
+        target = read_target(spark, path, f"{ID} string", months, before_batch=batch, ids=ids)
+        # The ids are stored: few are broadcast, and the target's ids are only scanned.
+        held, watch = observed(target.select(ID).join(ids, ID, "left_semi").distinct(), f"known {place}")
+        held = materialize(held)
+        known = watch.get["filas"]
+        if known:
+            batch_rows = batch_rows.join(held, ID, "left_anti")
     metrics = {
-        "validos": count,
-        "con_error": errors.count(),
-        "unicos": known + added,
+        "validos": counts["fine"],
+        "con_error": counts["filas"] - counts["fine"],
         "existentes": known,
-        "nuevos": added,
-        "ultima_fecha": last,
+        "ultima_fecha": counts["last"],
     }
-    return Load(metrics, new, errors)
+    new = one_per_key(batch_rows, ID).select(*columns)
+    entry = append_batch(new, path, date, batch, name, metrics={k: v if isinstance(v, int) else str(v) for k, v in metrics.items()})
+    errors = error_rows(checked)
+    if report:
+        write_error_report(errors, report)
+    schema = storage_schema(columns)
+    appended = read_target(spark, path, schema, batch=batch).drop(MONTH, BATCH)
+    return Load(metrics | {"unicos": known + entry.rows, "nuevos": entry.rows}, appended, errors)

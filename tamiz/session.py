@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_AREA: ContextVar[str | None] = ContextVar("area", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -32,7 +37,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     All paths of an application lie in one folder, to be removed when it has ended.
     """
     application = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/tamiz-{application}/{label}-{uuid.uuid4().hex}"
+    area = _AREA.get()
+    return f"{shared_folder(spark)}/tamiz-{application}/{f'{area}/' if area else ''}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """What is stored within this block is deleted at its end; tables that read it are of no use afterwards."""
+    area = f"area-{uuid.uuid4().hex}"
+    token = _AREA.set(area)
+    try:
+        yield
+    finally:
+        _AREA.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(
+            f"{shared_folder(spark)}/tamiz-{spark.sparkContext.applicationId}/{area}"
+        )
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -9,12 +9,14 @@ replaces its own folders, and so adds nothing twice.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tamiz.plans.folders import contacts_folder, messages_folder, payments_folder
 from tamiz.plans.load import load_batch
+from tamiz.session import released
 from tamiz.sources.text import TEXT_FILES, literal_path
 from tamiz.sources.workbook import WORKBOOKS
 
@@ -55,11 +57,14 @@ def load_dropped(
     checkpoint: str,
     reports: str | None = None,
     per_batch: int = FILES_PER_BATCH,
+    on_load: Callable[[str, dict], None] | None = None,
     **options,
 ) -> StreamingQuery:
     """Load the files dropped since the last run, then stop.
 
-    ``reports`` receives one error report per micro-batch; ``options`` go to the plan.
+    ``reports`` receives one error report per micro-batch, ``on_load`` the name and counts of
+    each as soon as it is published; ``options`` go to the plan. What a micro-batch stored
+    on its way is deleted at its end.
     """
     glob, clean = FEEDS[table]
 
@@ -68,8 +73,11 @@ def load_dropped(
         found = sorted(tuple(r) for r in files.collect())
         if found:
             name = batch_name(found)
-            result = clean(files.sparkSession, [literal_path(path) for path, *_ in found], **options)
-            load_batch(result, table, target, name, f"{reports}/{name}" if reports else None)
+            with released(files.sparkSession):
+                result = clean(files.sparkSession, [literal_path(path) for path, *_ in found], **options)
+                load = load_batch(result, table, target, name, f"{reports}/{name}" if reports else None)
+            if on_load:
+                on_load(name, load.metrics)
 
     return (
         dropped_files(spark, folder, glob, per_batch)

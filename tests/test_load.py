@@ -13,7 +13,10 @@ from tamiz.plans.load import fit_target, load_batch, storage_schema
 from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import clean_payments
 from tamiz.sinks.reports import report_name, sample_errors
-from tamiz.sinks.tables import append_batch, create_table, read_target, table_columns, unfit_rows
+from tamiz.sinks.manifest import Entry, Manifest
+from tamiz.sinks.tables import (
+    append_batch, compact, create_table, load_history, read_target, table_columns, unfit_rows,
+)
 from tamiz.streaming.file_drop import load_dropped
 from tests.test_feeds import AP, CONTACT, MESSAGE, contacts, payments, rows
 from tests.test_sources import AP_HEADER, agreement, write
@@ -53,12 +56,107 @@ def test_created_table_shows_the_rows_of_its_loads(spark, tmp_path):
 
 def test_lookup_reads_only_the_months_of_the_batch(spark, tmp_path):
     target = str(tmp_path / "pagos")
-    load_batch(payments(spark, [AP, AP | dict(fecha_liquida="2024-06-01")]), "pagos", target, "b1")
-    day = dt.datetime(2025, 1, 2)
-    rows = read_target(spark, target, SCHEMA, (day, day)).select("id_registro")
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(periodo" in plan and "ReadSchema: struct<id_registro:string>" in plan
-    assert rows.count() == 1
+    days = ["2025-01-02", "2024-06-01", "1900-01-01"]
+    load_batch(payments(spark, [AP | dict(fecha_liquida=d) for d in days]), "pagos", target, "b1")
+    rows = read_target(spark, target, SCHEMA, {"2025-01", "1900-01"}).select("id_registro")
+    assert {f.split("periodo=")[1][:7] for f in rows.inputFiles()} == {"2025-01", "1900-01"}
+    assert "ReadSchema: struct<id_registro:string>" in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 2
+
+
+def test_lookup_opens_only_folders_that_may_hold_an_id(spark, tmp_path):
+    target = str(tmp_path / "pagos")
+    for n in range(6):
+        load_batch(payments(spark, [AP | dict(valor=str(n + 1), id_usuario=str(k)) for k in range(5)]), "pagos", target, f"b{n}")
+    held = read_target(spark, target, SCHEMA, batch="b3").select("id_registro").limit(2)
+    found = read_target(spark, target, SCHEMA, {"2025-01"}, ids=held)
+    assert len({f.split("entrega=")[1][:32] for f in found.inputFiles()}) == 1 and found.count() == 5
+    other = spark.createDataFrame([("nothing",)], "id_registro string")
+    assert read_target(spark, target, SCHEMA, {"2025-01"}, ids=other).inputFiles() == []
+
+
+def test_a_batch_replaces_all_it_had(spark, tmp_path):
+    target, name = str(tmp_path / "pagos"), "pagos_reemplazados"
+    create_table(spark, name, feeds.PAYMENT_TARGET, target)
+    try:
+        def load(batch, *days):
+            rows = [AP | dict(fecha_liquida=d) for d in days] or [AP | dict(valor="x")]
+            load_batch(payments(spark, rows), "pagos", target, batch, name=name)
+            return sorted(r.fecha_pago.isoformat()[:10] for r in spark.table(name).collect())
+
+        assert load("b1", "2025-01-02", "2025-02-02") == ["2025-01-02", "2025-02-02"]
+        assert load("b2", "2025-03-02") == ["2025-01-02", "2025-02-02", "2025-03-02"]
+        assert load("b1", "2025-02-02") == ["2025-02-02", "2025-03-02"]
+        assert load("b1") == ["2025-03-02"]
+        assert read_target(spark, target, SCHEMA).count() == 1
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_load_that_breaks_off_shows_nothing(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "pagos")
+    load_batch(payments(spark, [AP]), "pagos", target, "b1")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Manifest, "commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        load_batch(payments(spark, [AP | dict(valor="7")]), "pagos", target, "b2")
+    monkeypatch.undo()
+    assert len([p for p in (tmp_path / "pagos").iterdir() if p.name.startswith("entrega=")]) == 2
+    assert read_target(spark, target, SCHEMA).count() == 1
+    load_batch(payments(spark, [AP | dict(valor="7")]), "pagos", target, "b2")
+    Manifest(spark, target).clean(keep=1)
+    assert len([p for p in (tmp_path / "pagos").iterdir() if p.name.startswith("entrega=")]) == 2
+    assert read_target(spark, target, SCHEMA).count() == 2
+
+
+def test_another_writer_took_the_number(spark, tmp_path):
+    first, second = Manifest(spark, str(tmp_path)), Manifest(spark, str(tmp_path))
+    entry = lambda n: Entry(n, [n], [], 1)
+
+    def change(live):
+        if not live:
+            second.commit(lambda before: [*before, entry("other")])
+        return [*live, entry("own")]
+
+    first.commit(change)
+    assert [e.folder for e in first.read()] == ["other", "own"] and first.versions() == [1, 2]
+
+
+def test_compacted_batches_are_still_replaced(spark, tmp_path):
+    target = str(tmp_path / "pagos")
+
+    def load(n, *values):
+        return load_batch(payments(spark, [AP | dict(valor=v) for v in values]), "pagos", target, f"b{n}").metrics
+
+    for n in range(4):
+        load(n, str(n + 1), str(n + 11))
+    assert compact(spark, target, SCHEMA) == 4
+    entries = Manifest(spark, target).read()
+    assert len(entries) == 1 and read_target(spark, target, SCHEMA).count() == 8
+    assert load(9, "1", "99")["existentes"] == 1
+    assert load(2, "3") == load(2, "3")
+    assert sorted(int(r.valor) for r in read_target(spark, target, SCHEMA).collect()) == [1, 2, 3, 4, 11, 12, 14, 99]
+    history = {(r.lote, r.medida): r.valor for r in load_history(spark, target).collect()}
+    assert history["b2", "nuevos"] == "1" and history["b0", "validos"] == "2" and history["b9", "existentes"] == "1"
+
+
+def test_a_batch_loaded_while_folders_are_put_together(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "pagos")
+    for n in range(2):
+        load_batch(payments(spark, [AP | dict(valor=str(n + 1))]), "pagos", target, f"b{n}")
+    plain = Manifest.commit
+
+    def late(self, change):
+        monkeypatch.setattr(Manifest, "commit", plain)
+        load_batch(payments(spark, [AP | dict(valor="7")]), "pagos", target, "b1")
+        return plain(self, change)
+
+    monkeypatch.setattr(Manifest, "commit", late)
+    assert compact(spark, target, SCHEMA) == 0
+    assert sorted(int(r.valor) for r in read_target(spark, target, SCHEMA).collect()) == [1, 7]
 
 
 @pytest.mark.parametrize("table", ["gestiones", "sms"])
@@ -152,7 +250,8 @@ def test_file_drop(spark, tmp_path):
 
     write(drop / "Ap pagados 1.txt", AP_HEADER, agreement("1"), agreement("2"))
     write(drop / "otro.txt", "x", "1")
-    assert run() == 2
+    told = []
+    assert run(on_load=lambda name, metrics: told.append(metrics["nuevos"])) == 2 and told == [2]
     assert run() == 2
     write(drop / "Ap pagados 2.txt", AP_HEADER, agreement("2"), agreement("3"))
     assert run() == 3
