@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, VectorAssembler
@@ -71,7 +72,8 @@ def fit_domains(
     part = min(1.0, 0.9 * most_rows / max(1, labels.count()))
     hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32))
     chosen = labels.where(hashed < int(part * (1 << 32))).select(key, place[F.col(domain)].alias("_mx_label"))
-    chosen = materialize(chosen.limit(most_rows))
+    # The share takes fewer but for chance, which the order then decides.
+    chosen = materialize(chosen.orderBy(F.xxhash64(F.col(key).cast("string")), key, "_mx_label").limit(most_rows))
     rows = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key).select(text, "_mx_label")
     rows = materialize(rows)
     if rows.select("_mx_label").distinct().count() < 2:
@@ -99,7 +101,7 @@ def fit_domains(
 
 @dataclass
 class Rates:
-    """Rates as a function of a row's posterior: the steps of the projected descent, to be taken again."""
+    """Rates as a function of a row's posterior: a pull for each domain, as it was after every round."""
 
     steps: list[list[float]]
     most: float | None
@@ -109,18 +111,25 @@ class Rates:
     met: bool = True
     nearest: bool = True
 
-    def column(self, posterior: str = "posterior") -> Column:
-        """From one copy of each document, every step takes off what its posterior says, never below nothing."""
-
-        def step(rate: Column, weights: Column) -> Column:
-            change = F.aggregate(F.zip_with(weights, F.col(posterior), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-            moved = F.greatest(F.lit(0.0), rate - change)
-            return moved if self.most is None else F.least(F.lit(self.most), moved)
+    def moved(self, posterior: str = "posterior") -> Column:
+        """One copy and what the domains pull at the posterior's parts."""
+        rate = F.lit(1.0)
+        for j, pull in enumerate(self.steps[-1] if self.steps else []):
+            rate = rate + F.col(posterior)[j] * F.lit(pull)
+        return rate
 
+    def column(self, posterior: str = "posterior") -> Column:
+        """What is moved, projected into the bounds."""
         if not self.steps:
             return F.lit(1.0)
-        steps = F.array(*[F.array(*map(F.lit, s)) for s in self.steps])
-        return F.aggregate(steps, F.lit(1.0), step)
+        rate = F.greatest(F.lit(0.0), self.moved(posterior))
+        return rate if self.most is None else F.least(F.lit(self.most), rate)
+
+
+#: Weight of a rate's distance from one copy against a domain's squared miss: little, but
+#: more for a domain that can't reach its target, or its pull would outdo all others: one
+#: of which none is wanted, as every posterior holds some, or all there is and more.
+SLACK, SLACK_OUT_OF_REACH = 1e-6, 1e-3
 
 
 def fit_rates(
@@ -128,56 +137,84 @@ def fit_rates(
     weights: list[float],
     total: float | None = None,
     most: float | None = 1.0,
-    rounds: int = 200,
+    rounds: int = 60,
     tolerance: float = 1e-4,
 ) -> Rates:
     """Document rates whose expected tokens of each domain are ``weights`` of ``total``.
 
-    Least squares: the sum over domains of (expected tokens - wanted tokens)² / tokens
-    at hand, over rates from 0 to ``most`` (no upper limit if None). Each round sums the
-    expected tokens of each domain over all documents and takes a projected gradient
-    step, in the measure of the documents' tokens, where a step of one converges. A rate
-    follows from a document's posterior and the rounds' residuals, so a round is one
-    aggregation and nothing is joined or sent but a number for each domain.
+    Least squares by projected gradient: the sum over domains of (expected - wanted)² /
+    slack, and over documents of tokens * (rate - 1)², all as shares of the tokens, over
+    rates from 0 to ``most`` (no upper limit if None). A gradient in a document's rate
+    is its posterior times one number for each domain, so all movement so far is a pull
+    for each domain, and the projection, once for the whole movement, keeps the rate in
+    its bounds. A round is one aggregation over all documents: the domains' expected
+    tokens, which give the gradient, and its change with the pulls over the documents
+    that aren't at a bound, which gives the step. A step that comes no nearer is halved.
+    Nothing is joined, and a round costs the same however many went before.
 
     ``total`` is a share of all tokens; None takes that at which the domain of the largest
     weight is used in full, at a mean rate of ``most`` (1 if that is None); a domain with
     fewer tokens than its weight asks for then stays short of its target. A domain with
     no tokens at hand is left as it is. Without tokens there are no steps and every rate is 1.
 
-    Rounds end when every domain is within ``tolerance`` of the total, or when a round
-    moves none by a hundredth of that: targets may be out of reach, as that of 0 is for a
-    domain that every posterior holds a little of. The result has the wanted and
-    reached shares of all tokens; a miss is told by a warning.
+    Rounds end when every domain is within ``tolerance`` of the total, or when the gradient
+    is as near to nothing: targets may be out of reach, as that of 0 is for a domain
+    that every posterior holds a little of. The result has the wanted and reached
+    shares of all tokens; a miss is told by a warning.
     """
-    share = [F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[j]) for j in range(len(weights))]
-
-    def sums(rates: Rates) -> list[float]:
-        row = scored.withColumn("rate", rates.column()).agg(F.sum("tokens").alias("n"), *share).first()
-        return [float(row["n"] or 0), *[float(x or 0) for x in row[1:]]]
+    size = len(weights)
+    part = [F.col("posterior")[j] for j in range(size)]
+    # Bounds count as within, or nothing could leave them.
+    inner = (F.col("moved") >= 0) & (F.lit(True) if most is None else F.col("moved") <= most)
+    sums = [F.sum(F.col("tokens") * F.col("rate") * p) for p in part]
+    bends = [F.sum(F.when(inner, F.col("tokens") * part[j] * part[k]).otherwise(0.0)) for j in range(size) for k in range(j, size)]
+
+    def totals(rates: Rates) -> tuple[float, np.ndarray, np.ndarray]:
+        row = scored.withColumns({"rate": rates.column(), "moved": rates.moved()}).agg(F.sum("tokens").alias("n"), *sums, *bends).first()
+        n, found = float(row["n"] or 0), np.array([float(x or 0) for x in row[1:]])
+        bend = np.zeros((size, size))
+        bend[np.triu_indices(size)] = found[size:]
+        return n, found[:size] / (n or 1), (bend + np.triu(bend, 1).T) / (n or 1)
 
     whole = sum(weights)
     if not whole > 0 or min(weights) < 0:
         raise ValueError("weights must not be negative, nor all be 0")
     rates = Rates([], most, [], [])
-    tokens, *have = sums(rates)
+    tokens, have, bend = totals(rates)
     if not tokens:
         return rates
-    have = [x / tokens for x in have]
     weights = [w / whole for w in weights]
     if total is None:
-        first = max(range(len(weights)), key=lambda j: (have[j] > 0, weights[j]))
+        first = max(range(size), key=lambda j: (have[j] > 0, weights[j]))
         total = (most or 1.0) * have[first] / weights[first] if weights[first] else 1.0
-    rates.wanted, rates.reached = [w * total for w in weights], have
+    wanted = np.array(weights) * total
+    out_of_reach = (wanted == 0) | (False if most is None else wanted >= most * have * (1 - 1e-6))
+    slack = np.where(out_of_reach, SLACK_OUT_OF_REACH, SLACK)
+    here = have > 0
+    rates.wanted, rates.reached = wanted.tolist(), have.tolist()
+    pull, step = np.zeros(size), np.zeros(size)
+    gradient = np.where(here, have - wanted, 0.0)
     rates.met = rates.nearest = False
     for done in range(rounds + 1):
-        apart = [r - w for r, w in zip(rates.reached, rates.wanted)]
-        rates.met = max(map(abs, apart)) <= tolerance * total
+        apart = np.array(rates.reached) - wanted
+        rates.met = bool(np.abs(apart).max() <= tolerance * total)
+        rates.nearest = bool(np.abs(gradient).max() <= 0.1 * tolerance * total)
         if rates.met or rates.nearest or done == rounds:
             break
-        rates.steps.append([a / h if h else 0.0 for a, h in zip(apart, have)])
-        before, rates.reached = rates.reached, [x / tokens for x in sums(rates)[1:]]
-        rates.nearest = max(abs(x - y) for x, y in zip(before, rates.reached)) <= 0.01 * tolerance * total
+        step = -np.linalg.solve(bend + np.diag(slack + 1e-12), gradient)
+        for _ in range(12):
+            tried = Rates([(pull + step).tolist()], most, [], [])
+            _, reached, bend_there = totals(tried)
+            there = np.where(here, reached - wanted + slack * (pull + step), 0.0)
+            if np.abs(there).max() < np.abs(gradient).max():
+                break
+            step = step / 2
+        else:
+            rates.nearest = True
+            break
+        pull, gradient, bend = pull + step, there, bend_there
+        rates.steps.append(pull.tolist())
+        rates.reached = reached.tolist()
     if not rates.met:
         ended = "the nearest that rates come" if rates.nearest else f"stopped after {rounds} rounds"
         warnings.warn(f"mixture targets missed ({ended}): wanted {rates.wanted}, reached {rates.reached} of all tokens")
