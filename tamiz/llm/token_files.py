@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tamiz.llm.files import create, open_random
@@ -105,24 +107,33 @@ PAIRS = ("  ", " \n", "\n ", "\n\n")
 WHITE = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` named by ``index``, one after another, and where each ends."""
+    sizes = size[index]
+    stop = np.cumsum(sizes)
+    return flat[np.repeat(start[index] - stop + sizes, sizes) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+
 class Encoder:
-    """Ids of whole texts under a byte-level tokenizer; words met before are looked up.
+    """Ids of whole texts under a byte-level tokenizer, each distinct word of a call encoded once.
 
     A text is cut before a single space or line feed between two other characters.
     The tokenizer's own first cut is there too, a space going with what follows it and
     a line feed standing alone, so the words can be encoded apart and the ids are those
-    of the whole text. New words are encoded many in a row and told apart by the ids
-    that begin with a space or line feed. Between a letter and a final comma or full
-    stop it cuts as well, which makes fewer words. The first ``most`` words are
-    remembered, others for one call.
+    of the whole text. Between Latin letters and marks at a word's end it cuts as well,
+    which makes fewer words. The words of many texts are cut and numbered as one Arrow
+    array, the distinct ones encoded many in a row, told apart by the ids that begin
+    with a space or line feed, and all ids gathered by number.
     """
 
     cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
+    #: Latin letters with marks after them, between which the tokenizer cuts.
+    ended = "^(?P<body>\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<marks>[!-/:-@\\[-`{-~]+)$"
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, at_once: int = 1 << 12):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.at_once = Tokenizer.from_file(path), at_once
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
@@ -131,54 +142,79 @@ class Encoder:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4")
 
-    def _words(self, text: str) -> list[str]:
-        """Words of a text that begins with no white space: after a space without it, after a line feed (and the first) with it."""
-        if not (text[-1] in " \n" or any(pair in text for pair in PAIRS) or any(c in text for c in WHITE)):
-            return text.replace("\n", " \n").split(" ")
-        return [part.removeprefix(" ") for part in self.cut(text)]
-
-    def _learn(self, words: list[str], at_once: int = 1 << 12) -> None:
-        for first in range(0, len(words), at_once):
-            some = words[first : first + at_once]
-            whole = [w if w[0] == "\n" else " " + w for w in some]
-            ids = self._ids("".join(whole))
-            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
-            if len(starts) != len(some):
-                self.known.update((w, self._ids(part).tobytes()) for w, part in zip(some, whole))
-                continue
-            data = ids.tobytes()
-            self.known.update((w, data[a:b]) for w, a, b in zip(some, starts, [*starts[1:], len(data)]))
+    def _apart(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """The ids of words, in pieces, and how many each has; a word follows a space unless a line feed begins it."""
+        flat, sizes = [], []
+        for first in range(0, len(words), self.at_once):
+            some = [w if w[0] == "\n" else " " + w for w in words[first : first + self.at_once]]
+            ids = self._ids("".join(some))
+            starts = np.flatnonzero(self.begins[ids])
+            # Other white space within a word begins ids too: then each goes alone.
+            if len(starts) != len(some) or any(len(w.split()[0]) != len(w) - 1 for w in some):
+                parts = list(map(self._ids, some))
+                flat += parts
+                sizes += map(len, parts)
+            else:
+                flat.append(ids)
+                sizes += np.diff(starts, append=len(ids)).tolist()
+        return flat, sizes
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and where each starts and how many it has."""
+        split = pc.extract_regex(words, self.ended)
+        two = split.is_valid().to_numpy(zero_copy_only=False)
+        units = pc.if_else(split.is_valid(), pc.struct_field(split, "body"), words).dictionary_encode()
+        marks = pc.struct_field(split, "marks").drop_null().dictionary_encode()
+        flat, sizes = self._apart(units.dictionary.to_pylist())
+        ends = [self._ids(m) for m in marks.dictionary.to_pylist()]
+        pieces = np.concatenate([*flat, *ends, np.zeros(0, "<u4")])
+        size = np.array([*sizes, *map(len, ends)], np.int64)
+        # A word is a unit, or a unit and its marks.
+        at = np.arange(len(words)) + np.cumsum(two) - two
+        row = np.empty(len(words) + two.sum(), np.int64)
+        row[at] = units.indices.to_numpy()
+        row[at[two] + 1] = len(sizes) + marks.indices.to_numpy()
+        whole, stop = gather(pieces, np.cumsum(size) - size, size, row)
+        last = stop[at + two]
+        start = np.concatenate([[0], last[:-1]]) if len(last) else last
+        return whole, start, last - start
+
+    def _joined(self, words: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
+        """The ids of words in a row, cut at ``ends``; the first of each part is the line feed put before it."""
+        coded = words.dictionary_encode()
+        row, stop = gather(*self._words(coded.dictionary), coded.indices.to_numpy())
+        cuts = np.concatenate([[0], stop])[ends]
+        return [row[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, split = self.known, []
-        for text in texts:
-            words = self._words(text) if text and not text[0].isspace() else []
-            if words:
-                words[0] = "\n" + words[0]
-            split.append(words)
-        found = [list(map(known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-        ended = {w for w in new if w[-1] in ",." and w[:-1].removeprefix("\n").isalpha() and max(w) < "\u0500"}
-        plain = (new - ended).union(w[:-1] for w in ended).difference(known)
-        # Words with other white space in them go alone.
-        odd = [w for w in plain if len(w.split()[0]) != len(w) - (w[0] == "\n")]
-        self._learn(list(plain.difference(odd)))
-        self._learn(odd, 1)
-        mark = {m: self._ids(m).tobytes() for m in ",."}
-        known.update((w, known[w[:-1]] + mark[w[-1]]) for w in ended)
-        out = []
-        for text, words, ids in zip(texts, split, found):
-            if None in ids:
-                ids = [known[w] if i is None else i for w, i in zip(words, ids)]
-            out.append(np.frombuffer(b"".join(ids), "<u4")[1:] if words else self._ids(text))
-        while len(known) > self.most:
-            known.popitem()
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain, other = [], []
+        for at, text in enumerate(texts):
+            if not text or text[0].isspace():
+                out[at] = self._ids(text)
+            elif text[-1] in " \n" or any(pair in text for pair in PAIRS) or any(c in text for c in WHITE):
+                other.append(at)
+            else:
+                plain.append(at)
+        kind = pa.large_string()
+        if plain:
+            # A word after a space is written without it, one after a line feed, and the first, with it.
+            broken = pc.replace_substring(pa.array([texts[at] for at in plain], kind), "\n", " \n")
+            lines = pc.binary_join_element_wise(pa.scalar("\n", kind), broken, pa.scalar("", kind))
+            words = pc.split_pattern(lines, " ")
+            for at, ids in zip(plain, self._joined(words.flatten(), words.offsets.to_numpy())):
+                out[at] = ids
+        if other:
+            split = [self.cut("\n" + texts[at]) for at in other]
+            words = pa.array([part.removeprefix(" ") for parts in split for part in parts], kind)
+            for at, ids in zip(other, self._joined(words, np.cumsum([0, *map(len, split)]))):
+                out[at] = ids
         return out
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each worker process, which keeps what it knows from task to task."""
+    """One for each worker process, kept from task to task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
     return Encoder(path)
 
@@ -189,7 +225,7 @@ def write_files(
     tokenizer: str,
     end_id: int = 0,
     file_tokens: int = 1 << 21,
-    batch_chars: int = 1 << 20,
+    batch_chars: int = 1 << 23,
 ) -> DataFrame:
     """Encode ``text`` of ``docs`` in ascending ``doc_id`` order; returns the stored index.
 
