@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tamiz import feeds
@@ -12,6 +14,7 @@ from tamiz.queries import raw
 from tamiz.queries.feeds import SQL_BOTH, SQL_PAYMENTS, comparable, payments
 from tamiz.queries.registry import query, table
 from tamiz.session import materialize, scratch
+from tamiz.sinks.buckets import held_ids, index_ids
 from tamiz.sinks.manifest import Manifest
 from tamiz.sinks.reports import write_error_report
 from tamiz.sinks.tables import append_batch, compact, create_table, load_history, month_of, read_target, table_columns
@@ -149,6 +152,21 @@ def incremental_stray_date(spark, folder):
     return counts.agg(F.sum("existentes").alias("existentes"), F.sum("nuevos").alias("nuevos"), F.lit(opened).cast("bigint").alias("meses"))
 
 
+@query(SQL_AGREEMENT_ROWS + f"SELECT DISTINCT id_registro {VALID} AND archivo_origen BETWEEN 'A_1994' AND 'A_1997'")
+def incremental_bucketed(spark, folder):
+    """A large batch against the target's ids in buckets, after one batch was replaced: the target isn't shuffled."""
+    target, name = scratch(spark, "bucketed"), f"ids_{uuid.uuid4().hex}"
+    valid = materialize(clean_payments(raw.raw_agreements(spark, folder)).valid.select(*feeds.PAYMENT_TARGET))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    year = F.col("archivo_origen")
+    for batch, rows in (("a", valid.where(year <= "A_1995")), ("b", valid.where(year.between("A_1996", "A_1997")))):
+        append_batch(rows, target, "fecha_pago", batch)
+        index_ids(spark, name, target, buckets)
+    append_batch(valid.where(year.between("A_1994", "A_1995")), target, "fecha_pago", "a")
+    index_ids(spark, name, target, buckets)
+    return held_ids(spark, name, target, valid)
+
+
 @query(SQL_AGREEMENT_ROWS + """, part(lote, tope) AS (VALUES ('early', 'A_1997'), ('whole', 'A_9999')),
  counted AS (SELECT lote, count(*) FILTER (reasons = '') AS validos, count(*) FILTER (reasons <> '') AS con_error,
   count(*) FILTER (reasons = '' AND lote = 'whole' AND archivo_origen <= 'A_1997') AS existentes,

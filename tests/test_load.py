@@ -13,6 +13,7 @@ from tamiz.plans.load import fit_target, load_batch, storage_schema
 from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import clean_payments
 from tamiz.sinks.reports import report_name, sample_errors
+from tamiz.sinks.buckets import held_ids, index_ids
 from tamiz.sinks.manifest import Entry, Manifest
 from tamiz.sinks.tables import (
     append_batch, compact, create_table, load_history, read_target, table_columns, unfit_rows,
@@ -125,6 +126,36 @@ def test_another_writer_took_the_number(spark, tmp_path):
     assert [e.folder for e in first.read()] == ["other", "own"] and first.versions() == [1, 2]
 
 
+def test_a_bucketed_target_is_not_shuffled(spark, tmp_path):
+    target, name = str(tmp_path / "pagos"), "pagos_ids"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def load(batch, *values):
+        load_batch(payments(spark, [AP | dict(valor=v) for v in values]), "pagos", target, batch)
+        index_ids(spark, name, target, buckets=8)
+
+    def held(ids, **options):
+        return sorted(r[0] for r in held_ids(spark, name, target, ids, **options).collect())
+
+    try:
+        load("b1", "1", "2")
+        load("b2", "3")
+        every = read_target(spark, target, SCHEMA).select("id_registro")
+        assert held(every) == sorted(r[0] for r in every.collect()) and len(held(every, before_batch="b2")) == 2
+        plan = held_ids(spark, name, target, every.union(every))._jdf.queryExecution().executedPlan().toString()
+        # One for the batch's distinct ids, none for the target's.
+        assert "SelectedBucketsCount: 8 out of 8" in plan
+        assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 1
+        # Replaced and compacted folders leave the index.
+        load("b1", "2")
+        assert len(held(every)) == 2
+        compact(spark, target, SCHEMA)
+        index_ids(spark, name, target, buckets=8)
+        assert len(held(every)) == 2 and spark.sql(f"SHOW PARTITIONS {name}").count() == 1
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_compacted_batches_are_still_replaced(spark, tmp_path):
     target = str(tmp_path / "pagos")
 
