@@ -12,6 +12,7 @@ from tamiz.functions.dates import FORMATS, parse_timestamp
 from tamiz.functions.identity import record_id
 from tamiz.functions.numbers import to_decimal, truncated_sum
 from tamiz.functions.text import READER_NULLS, clean_nulls, first_filled, full_name
+from tamiz.operators.date_order import ORDER, date_orders, order_warnings, parse_in_order
 from tamiz.operators.duplicates import repeated_ids
 from tamiz.operators.quality import add_reasons, failing_files, reject_files
 from tamiz.operators.schema import add_missing, keep_available, union_by_name
@@ -113,14 +114,16 @@ def identify(df: DataFrame) -> DataFrame:
 
 
 def annotate(df: DataFrame, formats: Sequence[str] = FORMATS) -> DataFrame:
-    """Types and reasons; ``formats`` are tried in order for the date."""
+    """Types and reasons; ``formats`` are tried in order for the date, or the order of the row's file if it is known."""
+    date = F.col("fecha_pago")
+    parsed = parse_in_order(date, F.col(ORDER), formats) if ORDER in df.columns else parse_timestamp(date, formats)
     # Judged before it is rounded: 0.004 is more than nothing.
     exact = F.coalesce(to_decimal(F.col("valor"), 38, 10) <= 0, F.lit(False))
     typed = identify(df).withColumns(
         {
             "no_positivo": exact,
             "valor": to_decimal(F.col("valor"), 15, 2),
-            "fecha_pago": parse_timestamp(F.col("fecha_pago"), formats),
+            "fecha_pago": parsed,
             "fecha_carga": F.current_timestamp(),
         }
     )
@@ -143,13 +146,16 @@ def clean_payments(
     warnings: DataFrame | None = None,
     stage: bool = True,
     formats: Sequence[str] = FORMATS,
+    dates: Literal["by_format", "by_file"] = "by_format",
 ) -> Result:
     """Clean both payment families; rows carry ``archivo_origen``.
 
     A malformed row makes its file fail. So do two valid rows of one file with the
     same id, unless ``on_duplicate`` quarantines just those rows or only warns about
     them. The checked rows are stored once, then the file rules and every use of the
-    result read the columns they need; ``stage=False`` computes them each time.
+    result read the columns they need; ``stage=False`` computes them each time. With
+    ``dates`` by file, whether day or month comes first is learned from all dates of a
+    file, and a file that leaves it open is warned of.
     """
     parts, inputs = [], []
     if agreement_rows is not None:
@@ -158,7 +164,13 @@ def clean_payments(
     if ticket_rows is not None:
         parts.append(tickets(ticket_rows))
         inputs.append((ticket_rows, feeds.TICKET_COLUMNS))
-    rows = annotate(union_by_name(*parts), formats)
+    both = union_by_name(*parts)
+    if dates == "by_file":
+        orders = materialize(date_orders(both, "fecha_pago", FILE))
+        both = both.join(orders, FILE, "left")
+        noted = order_warnings(orders, FILE)
+        warnings = noted if warnings is None else warnings.unionByName(noted)
+    rows = annotate(both, formats)
     if stage:
         rows = materialize(rows)
     missing_columns = _column_warnings(rows.sparkSession, inputs)

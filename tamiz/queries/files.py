@@ -236,6 +236,23 @@ def folder_mixed_encodings(spark, folder):
     return rows.select(F.col("c_custkey").cast("bigint").alias("clave"), "nombre", "encoding")
 
 
+@query(SQL_AGREEMENT_ROWS + """SELECT nro_acuerdo, fecha_pago, nro_acuerdo[-1:] IN ('1', '3', '5', '7', '9') AS impar
+ FROM checked WHERE fecha_pago IS NOT NULL""")
+def dates_inferred(spark, folder):
+    """Files that write days first and files that write months first: most dates alone could be either."""
+    place = scratch(spark, "orders")
+    agreements = raw.raw_agreements(spark, folder).drop("archivo_origen")
+    odd = F.col("nro_acuerdo").cast("bigint") % 2 == 1
+    day = F.split("fecha_liquida", "-")
+    for name, some, order in (("par", ~odd, (2, 1, 0)), ("impar", odd, (1, 2, 0))):
+        written = agreements.withColumn("fecha_liquida", F.concat_ws("/", *[day[i] for i in order]))
+        write_text(written.where(some), place, f"{feeds.AGREEMENT_PREFIX} {name}")
+    rows = payments_folder(spark, place, dates="by_file").rows.where("fecha_pago IS NOT NULL")
+    return rows.select(
+        "nro_acuerdo", F.date_format("fecha_pago", "yyyy-MM-dd HH:mm:ss").alias("fecha_pago"), odd.alias("impar")
+    )
+
+
 @query(SQL_AGREEMENT_ROWS + """SELECT archivo_origen AS archivo, CASE WHEN archivo_origen = 'A_1996'
  THEN 'fila con más campos que el encabezado' ELSE 'leído' END AS estado,
  CASE WHEN archivo_origen = 'A_1996' THEN 0 ELSE count(*) END AS filas FROM checked GROUP BY archivo_origen""")

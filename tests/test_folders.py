@@ -146,3 +146,23 @@ def test_line_breaks_in_quoted_cells(spark, tmp_path):
     assert got == {("12", "ANA GIL"), ("13", "ANA GIL"), ("10", "ANA\nMARÍA\n\n\tZ GIL")}
     blank = result.errors.where("documento is null").groupBy("archivo_origen").count()
     assert sorted(r["count"] for r in blank.collect()) == [1, 1]
+
+
+def test_order_of_dates_is_each_files_own(spark, tmp_path):
+    def days(name, *texts):
+        rows = [[f"{name}{i}", *[CELLS[c] for c in TICKETS[1:-1]], t] for i, t in enumerate(texts)]
+        write_text(tmp_path / f"{feeds.TICKET_PREFIX} {name}.txt", TICKETS, *rows)
+
+    days("a", "03/04/2025", "25/04/2025", "2025-04-03")
+    days("b", "03/04/2025", "4-25-2025 10:30", "x")
+    days("c", "03/04/2025")
+    days("d", "13/04/2025", "04/13/2025")
+    result = payments_folder(spark, str(tmp_path), dates="by_file")
+    got = {r.nro_comparendo: r.fecha_pago for r in result.rows.collect()}
+    april, march = dt.datetime(2025, 4, 3), dt.datetime(2025, 3, 4)
+    assert got == {
+        "a0": april, "a1": dt.datetime(2025, 4, 25), "a2": april, "b0": march, "b1": dt.datetime(2025, 4, 25, 10, 30),
+        "b2": None, "c0": april, "d0": dt.datetime(2025, 4, 13), "d1": None,
+    }
+    told = {(r.source_file.split()[-1], r.detail) for r in result.warnings.where("code = 'orden_de_fecha'").collect()}
+    assert told == {("c.txt", "indeciso"), ("d.txt", "mezclado")}

@@ -256,7 +256,7 @@ def as_records(text):
     return rows, state == "quoted"
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(PIECES, min_size=40, max_size=400))
 def test_records_across_splits(spark, tmp_path, pieces):
     """Any text, in splits of a few bytes, gives the rows of a reader that reads it from start to end."""
