@@ -155,15 +155,15 @@ def incremental_stray_date(spark, folder):
 @query(SQL_AGREEMENT_ROWS + f"SELECT DISTINCT id_registro {VALID} AND archivo_origen BETWEEN 'A_1994' AND 'A_1997'")
 def incremental_bucketed(spark, folder):
     """A large batch against the target's ids in buckets, after one batch was replaced: the target isn't shuffled."""
-    target, name = scratch(spark, "bucketed"), f"ids_{uuid.uuid4().hex}"
+    target, name, place = scratch(spark, "bucketed"), f"ids_{uuid.uuid4().hex}", scratch(spark, "ids")
     valid = materialize(clean_payments(raw.raw_agreements(spark, folder)).valid.select(*feeds.PAYMENT_TARGET))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     year = F.col("archivo_origen")
     for batch, rows in (("a", valid.where(year <= "A_1995")), ("b", valid.where(year.between("A_1996", "A_1997")))):
         append_batch(rows, target, "fecha_pago", batch)
-        index_ids(spark, name, target, buckets)
+        index_ids(spark, name, target, buckets, location=place)
     append_batch(valid.where(year.between("A_1994", "A_1995")), target, "fecha_pago", "a")
-    index_ids(spark, name, target, buckets)
+    index_ids(spark, name, target, buckets, location=place)
     return held_ids(spark, name, target, valid)
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+_SHIPPED: set[str] = set()
 _AREA: ContextVar[str | None] = ContextVar("area", default=None)
 
 
@@ -80,3 +83,21 @@ def join_null_safe(
     equal = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in keys]
     joined = left.alias("l").join(right.alias("r"), reduce(lambda a, b: a & b, equal), how)
     return joined.select("l.*", *[F.col(f"r.`{c}`") for c in extra])
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the tasks of an application whose machines don't have it installed.
+
+    Needed where Python runs in tasks (workbooks, corpus operators) and the package is
+    on the driver's path only. A second call for the same application does nothing.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tamiz-")) / "tamiz.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(application)

@@ -12,13 +12,16 @@ from tamiz.operators.incremental import ID
 from tamiz.sinks.manifest import FOLDER, Manifest
 
 
-def index_ids(spark: SparkSession, name: str, path: str, buckets: int, key: str = ID) -> None:
+def index_ids(
+    spark: SparkSession, name: str, path: str, buckets: int, key: str = ID, location: str | None = None
+) -> None:
     """Make the table ``name`` hold the ids of every folder that the target at ``path`` has published, and of no other.
 
     Only folders that are new are read, and those of replaced or compacted batches are
     dropped. Run it after a load; a run that breaks off is made up for by the next.
     ``buckets`` must be no less than ``spark.sql.shuffle.partitions``, or joins shuffle the
-    target after all; it is fixed when the table is made.
+    target after all; it is fixed when the table is made. Without a ``location`` the table
+    lies in the warehouse.
     """
     live = {e.folder: e for e in Manifest(spark, path).read() if e.rows}
     held = set()
@@ -34,7 +37,8 @@ def index_ids(spark: SparkSession, name: str, path: str, buckets: int, key: str
     rows = spark.read.schema(f"`{key}` string, {FOLDER} string").option("basePath", path).parquet(*places)
     # Dealt by bucket first, so that a bucket is one file of each folder.
     dealt = rows.select(key, FOLDER).repartition(buckets, key)
-    dealt.write.mode("append").partitionBy(FOLDER).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    writer = dealt.write.mode("append").partitionBy(FOLDER).bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", location) if location else writer).saveAsTable(name)
 
 
 def held_ids(spark: SparkSession, name: str, path: str, ids: DataFrame, key: str = ID, before_batch: str | None = None) -> DataFrame:

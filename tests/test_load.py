@@ -317,3 +317,13 @@ def test_folder_and_direct_rows_agree(spark, tmp_path):
     schema = ", ".join(f"`{c}` string" for c in [*raw, "archivo_origen"])
     direct = clean_payments(spark.createDataFrame([(*raw.values(), "x")], schema)).valid.first()
     assert from_file.id_registro == direct.id_registro
+
+
+def test_package_is_shipped_once(spark):
+    from tamiz.session import ship
+
+    before = set(spark.sparkContext.listFiles)
+    ship(spark)
+    ship(spark)
+    (archive,) = set(spark.sparkContext.listFiles) - before
+    assert archive.endswith("tamiz.zip")
