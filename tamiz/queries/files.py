@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
 from tamiz import feeds
@@ -25,6 +26,7 @@ from tamiz.sinks.tables import read_target
 from tamiz.sources.files import decode_content
 from tamiz.sources.text import read_text, scan_text
 from tamiz.sources.workbook import parse_workbooks, split_sheets
+from tamiz.sources.workbook_source import scan_workbooks
 from tamiz.streaming.file_drop import load_dropped
 
 
@@ -399,19 +401,36 @@ def books(spark, folder) -> DataFrame:
     return rows.groupBy("libro").applyInPandas(build, "archivo_origen string, content binary")
 
 
+def stored_books(spark, folder) -> str:
+    """The workbooks as files, each written by the task that made it."""
+    place = scratch(spark, "libros")
+
+    def store(batches):
+        target, path = pyarrow.fs.FileSystem.from_uri(place)
+        target.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["archivo_origen"], batch["content"]):
+                with target.open_output_stream(f"{path}/{name}") as out:
+                    out.write(content)
+            yield batch[["archivo_origen"]]
+
+    books(spark, folder).mapInPandas(store, "archivo_origen string").write.format("noop").mode("overwrite").save()
+    return place
+
+
 @query(f"""SELECT concat('libro_', c_custkey // {BOOK_ROWS}, '.xlsx') AS archivo_origen, 'clientes' AS sheet_name,
   CAST(c_custkey AS VARCHAR) AS clave, c_name AS nombre, CAST(c_nationkey AS VARCHAR) AS nacion, c_mktsegment AS segmento
  FROM customer UNION ALL SELECT concat('libro_', s_suppkey // {BOOK_ROWS}, '.xlsx'), 'proveedores',
   CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR), NULL FROM supplier""")
 def workbook_scan(spark, folder):
-    rows = parse_workbooks(books(spark, folder)).where("row_no > 0")
+    rows = scan_workbooks(spark, stored_books(spark, folder)).where("row_no > 0")
     cell = lambda c: F.try_element_at("cells", F.lit(c)).alias(c)
     return rows.select("archivo_origen", "sheet_name", *[cell(c) for c in SHEETS["clientes"]])
 
 
 @query(f"""SELECT concat('libro_', c_custkey // {BOOK_ROWS}, '.xlsx') AS archivo_origen, c_name AS nombre FROM customer""")
 def workbook_first_sheet(spark, folder):
-    rows = parse_workbooks(books(spark, folder), sheet=0).where("row_no > 0")
+    rows = scan_workbooks(spark, stored_books(spark, folder)).where("sheet_no = 0 AND row_no > 0")
     return rows.select("archivo_origen", F.col("cells")["nombre"].alias("nombre"))
 
 

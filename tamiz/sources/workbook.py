@@ -10,7 +10,9 @@ import datetime as dt
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -75,9 +77,9 @@ def split_sheets(
     headers = rows.where((F.col("row_no") == HEADER_ROW) & F.col("failure").isNull())
     # Nothing of a file that broke off is used, not even its good sheets.
     unreadable = materialize(
-        rows.where("failure IS NOT NULL").select("archivo_origen", F.col("failure").alias("reason"))
+        rows.where("failure IS NOT NULL").groupBy("archivo_origen").agg(F.min("failure").alias("reason"))
     )
-    whole = rows.join(unreadable.select("archivo_origen").distinct(), "archivo_origen", "left_anti")
+    whole = rows.join(unreadable.select("archivo_origen"), "archivo_origen", "left_anti")
     good = whole.where((F.col("row_no") > HEADER_ROW) & (F.size(absent) == 0))
     table = good.select(
         *[F.col("cells")[c].alias(c) for c in required],
@@ -105,25 +107,31 @@ def split_sheets(
 
 def _batches(name: str, content: bytes, sheet: int | None) -> Iterator[pd.DataFrame]:
     columns = ["archivo_origen", "sheet_no", "sheet_name", "row_no", "cells", "failure"]
-    pending: list[tuple] = []
-    try:
-        for row in _rows(content, sheet):
-            pending.append((name, *row, None))
-            if len(pending) == BATCH:
-                yield pd.DataFrame(pending, columns=columns)
-                pending = []
-    except Exception as e:  # damaged and encrypted books fail in many ways, each for itself
-        pending.append((name, None, None, HEADER_ROW, {}, f"{type(e).__name__}: {e}"))
-    if pending:
-        yield pd.DataFrame(pending, columns=columns)
-
-
-def _rows(content: bytes, only: int | None) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+
+    def rows() -> Iterator[tuple]:
+        try:
+            for row in sheet_rows(io.BytesIO(content), lambda number, title: sheet is None or number == sheet):
+                yield (name, *row, None)
+        except Exception as e:  # damaged and encrypted books fail in many ways, each for itself
+            yield name, None, None, HEADER_ROW, {}, f"{type(e).__name__}: {e}"
+
+    for some in batches_of(rows()):
+        yield pd.DataFrame(some, columns=columns)
+
+
+def batches_of(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """At most ``BATCH`` rows at a time."""
+    while some := list(islice(rows, BATCH)):
+        yield some
+
+
+def sheet_rows(file: BinaryIO, wanted: Callable[[int, str], bool]) -> Iterator[tuple]:
+    """(number, name, row, cells) of the sheets whose number and name are ``wanted``."""
+    with zipfile.ZipFile(file) as book:
         strings = _shared_strings(book)
         date_styles, epoch = _styles(book)
-        for number, (title, member) in enumerate(_sheets(book)):
-            if only is not None and number != only:
+        for number, (title, member) in enumerate(sheets_of(book)):
+            if not wanted(number, title):
                 continue
             with book.open(member) as xml:
                 rows = _sheet_rows(xml, strings, date_styles, epoch)
@@ -152,7 +160,8 @@ def _header(cells: dict[int, str | None]) -> list[str]:
     return names
 
 
-def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+def sheets_of(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and member of every sheet, in the workbook's order."""
     relations = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     targets = {r.get("Id"): r.get("Target") for r in relations}
     root = ElementTree.fromstring(book.read("xl/workbook.xml"))

@@ -22,7 +22,8 @@ from tamiz.sources.database import connection_options, key_query, month_predicat
 from tamiz.sources.files import read_files
 from tamiz.sources.lines import read_lines
 from tamiz.sources.text import TEXT_FILES, list_files, named_otherwise, read_headers, read_text, scan_text
-from tamiz.sources.workbook import read_workbooks
+from tamiz.sources.workbook import read_workbooks, split_sheets
+from tamiz.sources.workbook_source import scan_workbooks
 from tests.workbooks import workbook
 
 AP_HEADER = "\t".join(feeds.AGREEMENT_COLUMNS)
@@ -185,6 +186,44 @@ def test_message_workbook_and_first_sheet(spark, tmp_path):
     assert [(r.row_no, r.cells["x"]) for r in second.collect()] == [(1, "1"), (2, None), (3, "2.5")]
 
 
+def test_workbooks_as_a_source(spark, tmp_path):
+    wide = [["x", "y"], *[[str(i), None if i % 3 else i] for i in range(4500)]]
+    (tmp_path / "grande ñ.xlsx").write_bytes(workbook({"uno": wide, "dos": [["x"], ["2"]], "tres": [["x"]], "cuatro": []}))
+    for i in range(5):
+        (tmp_path / f"chico {i}.XLSX").write_bytes(workbook({"dos": [["x"], [str(i)]]}))
+    (tmp_path / "mala.xlsx").write_bytes(b"no zip" * 4000)
+    (tmp_path / "otro.txt").write_bytes(b"x")
+    (tmp_path / "~$nada").mkdir()
+
+    rows = scan_workbooks(spark, str(tmp_path), split_bytes=8192)
+    same = read_workbooks(spark, str(tmp_path))
+    key = lambda r: (r.archivo_origen, r.sheet_no, r.sheet_name, r.row_no, str(r.cells), r.failure)
+    assert sorted(map(repr, map(key, rows.collect()))) == sorted(map(repr, map(key, same.collect())))
+    # A task for each sheet of the large workbook, one for the broken file, few for the small ones.
+    assert rows.rdd.getNumPartitions() == 4 + 1 + 1
+
+    asked = rows.where("sheet_name = 'dos' AND row_no > 0")
+    assert asked.rdd.getNumPartitions() == 1 + 1 + 1
+    assert sorted(r.cells["x"] for r in asked.collect()) == ["0", "1", "2", "2", "3", "4"]
+    assert rows.where("sheet_name IN ('uno', 'tres') AND sheet_no = 2").count() == 1
+    assert rows.where("sheet_name = 'no hay'").collect() == []
+    assert [r.archivo_origen for r in rows.where("failure IS NOT NULL").collect()] == ["mala.xlsx"]
+    one = scan_workbooks(spark, str(tmp_path / "grande ñ.xlsx"))
+    assert one.where("sheet_no = 0").count() == 4501 and one.rdd.getNumPartitions() == 1
+    (tmp_path / "vacia").mkdir()
+    assert scan_workbooks(spark, str(tmp_path / "vacia")).collect() == []
+
+
+def test_a_workbook_broken_in_two_sheets_fails_once(spark, tmp_path):
+    good = workbook({"a": [["x"], ["1"]], "b": [["x"], ["2"]], "c": [["x"], ["3"]]})
+    cut = good.replace(b"PK\x03\x04", b"PK\x03\x05")
+    (tmp_path / "rota.xlsx").write_bytes(cut)
+    rows = scan_workbooks(spark, str(tmp_path), split_bytes=1)
+    table, warnings, failed = split_sheets(rows, ["x"])
+    assert table.count() == 0 and warnings.count() == 0
+    assert [r.archivo_origen for r in failed.collect()] == ["rota.xlsx"]
+
+
 def test_database_options(spark, monkeypatch):
     for field, value in dict(HOST="h", PORT="5432", USER="u", PASSWORD="p", NAME="n").items():
         monkeypatch.setenv(f"DB_{field}", value)
