@@ -21,3 +21,10 @@ def open_random(uri: str):
     """Open ``uri`` for reading at any offset."""
     store, path = filesystem(uri)
     return store.open_input_file(path)
+
+
+def listed(uri: str, suffix: str) -> list[str]:
+    """Paths, to be opened like ``uri``, of the folder's files that end in ``suffix``, in order."""
+    store, path = filesystem(uri)
+    files = store.get_file_info(pyarrow.fs.FileSelector(path))
+    return sorted(f"{uri.rstrip('/')}/{f.base_name}" for f in files if f.is_file and f.base_name.endswith(suffix))

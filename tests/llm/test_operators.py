@@ -12,7 +12,7 @@ import xxhash
 from tamiz.llm import (
     context_mixing, decontamination, language, mixing, sharding, simhash, token_files, topk, url_rules, warc,
 )
-from tamiz.llm.queries import byte_tokenizer
+from tamiz.llm.queries import QUERIES, byte_tokenizer
 
 WORDS = "the of and tion erst hand sch ung keit que les dans para los con uno".split()
 
@@ -180,6 +180,42 @@ def test_passages(spark, docs):
     assert decontamination.find_passages(docs, items).columns[-1] == "passages"
 
 
+def test_short_and_unspaced_items(spark):
+    rows = [
+        (1, "He said to BE, or not: twice."), (2, "be or nothing"), (3, "前面的话今天天气很好我们去公园玩吧后面的话"),
+        (4, "前面的话今天天气不好我们去公园玩吧"), (5, "今天 天气"), (6, "カタカナ・テスト語"), (7, None), (8, ""), (9, "x " * 50_000 + "to be or not"),
+        (10, "การทดสอบ mixed 語 text"),
+    ]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "to be or not"), (2, "be or not"), (3, "今天天气很好我们去公园玩吧"), (4, "天气"), (5, "?!"), (6, "mixed 語"), (6, "mixed 語"), (7, "天气")]
+    found = contaminated_rows(texts, spark.createDataFrame(items, "item_id long, text string"))
+    assert found == [
+        (1, 1, 0), (1, 2, 0), (3, 3, 0), (3, 4, 0), (3, 7, 0), (4, 3, 1), (4, 4, 0), (4, 7, 0),
+        (5, 4, 0), (5, 7, 0), (9, 1, 0), (9, 2, 0), (10, 6, 0),
+    ]
+    assert found == contaminated_rows(texts, spark.createDataFrame(items, "item_id long, text string"), block_bytes=6)
+
+
+def contaminated_rows(texts, items, **options):
+    return sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.contaminated(texts, items, **options).collect())
+
+
+def test_decontamination_query_equals_every_pair(spark):
+    """The registered query against the distance of every item to every document, without pieces."""
+    folder = "/root/testdata/sf0.01"
+    found = {tuple(r)[:3] + (r.end_word,) for r in QUERIES["op6_edit_decontamination"](spark, folder).collect()}
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
+    patterns = [(r.item_id, decontamination.Pattern(decontamination.words_of(r.text))) for r in items]
+    expected = set()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        words = decontamination.words_of(r.text or "")
+        for item, pattern in patterns:
+            distance, end = pattern.best(words)
+            if distance <= int(0.15 * pattern.length):
+                expected.add((r.doc_id, item, distance, end))
+    assert found == expected and len(found) > 20
+
+
 def test_myers():
     r = random.Random(3)
     for _ in range(500):
