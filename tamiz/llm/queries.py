@@ -22,7 +22,30 @@ URL_RULES = [
 ]
 
 
-@query()
+@query(
+    """
+    WITH crc AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+    d AS (
+        SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+            xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1])), 4294967295) AS text_crc32,
+            concat_ws(':', (source IS NOT NULL)::VARCHAR, source) AS stratum,
+            md5('0|' || coalesce(doc_id::VARCHAR, '')) AS hash
+        FROM documents, crc),
+    ranked AS (
+        SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY hash, text_crc32, size) - 1
+            + ('0x' || md5('0|' || stratum)[1:8])::BIGINT / 4294967296.0::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS place
+        FROM d),
+    dealt AS (
+        SELECT *, row_number() OVER (ORDER BY place, stratum, hash, text_crc32, size) - 1 AS spot, count(*) OVER () AS total
+        FROM ranked)
+    SELECT doc_id, size, text_crc32, 'rows' AS law, (spot * 8 // total)::INTEGER AS shard,
+        spot - (spot * 8 // total * total + 7) // 8 AS slot, NULL::INTEGER AS grown_shard, source
+    FROM dealt
+    """
+)
 def op2_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.measured(table(spark, folder, "documents"))
     placed = sharding.interleave(rows, SHARDS, ties=("text_crc32", "size"))
