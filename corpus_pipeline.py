@@ -8,7 +8,7 @@ from tamiz.llm import decontamination, language, mixing, simhash, token_files
 from tamiz.llm.queries import DOMAINS, byte_tokenizer, domain_model, table
 from tamiz.session import scratch
 
-#: No SQL: compression, hashing, a fitted classifier and a tokenizer. The tests compare with brute force.
+#: No SQL: compression, hashing, a fitted classifier and a tokenizer. The tests hold each stage to invariants.
 ORACLE_SQL = None
 
 
