@@ -22,6 +22,7 @@ from tamiz.queries.loads import SQL_AGREEMENT_ROWS
 from tamiz.queries.feeds import SQL_BOTH, SQL_CONSOLIDATED, comparable
 from tamiz.queries.registry import query, table
 from tamiz.session import scratch
+from tamiz.sinks.one_file import join_files
 from tamiz.sinks.tables import read_target
 from tamiz.sources.files import decode_content
 from tamiz.sources.text import read_text, scan_text
@@ -47,6 +48,31 @@ def name_files(spark, parts: str, folder: str, prefix: str, suffix: str = ".txt"
         system.rename(path, hadoop.Path(f"{folder}/{prefix} {n}{suffix}"))
 
 
+def write_whole(df: DataFrame, folder: str, name: str, encoding: str = "ISO-8859-1") -> None:
+    """One tab-separated file ``<name>`` with a header, whatever its size: every task writes its own lines of it."""
+    parts = f"{folder}/_{name.replace(' ', '_')}"
+    options = dict(sep="\t", encoding=encoding, escape='"')
+    head = df.sparkSession.createDataFrame([tuple(df.columns)], ", ".join(f"`{c}` string" for c in df.columns))
+    head.coalesce(1).write.options(**options).csv(f"{parts}/head")
+    df.write.options(**options).csv(f"{parts}/body")
+    join_files(df.sparkSession, [f"{parts}/head", f"{parts}/body"], f"{folder}/{name}")
+
+
+def write_whole_lines(spark, head: str, lines: DataFrame | str, folder: str, name: str) -> None:
+    """The same from lines that are made already, or from a folder of them."""
+    parts = f"{folder}/_{name.replace(' ', '_')}"
+    latin(spark.createDataFrame([(head,)], "value string").coalesce(1)).write.text(f"{parts}/head")
+    if not isinstance(lines, str):
+        latin(lines).write.text(f"{parts}/body")
+        lines = f"{parts}/body"
+    join_files(spark, [f"{parts}/head", lines], f"{folder}/{name}")
+
+
+def latin(lines: DataFrame) -> DataFrame:
+    """Lines whose ``value`` the text writer puts down in Latin-1."""
+    return lines.withColumn("value", F.encode("value", "ISO-8859-1").cast("string"))
+
+
 @query("""SELECT c_custkey, concat(c_name, ' Peña') AS nombre, CAST(c_acctbal AS DECIMAL(12,2)) AS saldo,
  c_mktsegment FROM customer""")
 def scan_text_roundtrip(spark, folder):
@@ -77,7 +103,7 @@ def write_payment_folder(spark, folder):
     doubled = tickets["archivo_origen"] == "B_1996"
     write_text(swapped.where(~doubled), place, feeds.TICKET_PREFIX, ".TXT")
     # All lines of one year as one file, as the sender would write them.
-    write_text(swapped.where(doubled).repartition(1), place, f"{feeds.TICKET_PREFIX} 1996")
+    write_whole(swapped.where(doubled), place, f"{feeds.TICKET_PREFIX} 1996 0.txt")
     write_text(table(spark, folder, "supplier"), place, "Otros")
     return place
 
@@ -175,18 +201,12 @@ def scan_quoted_hot_file(spark, folder):
     rows = table(spark, folder, "lineitem").select(
         (key % 3 == 0).alias("hot"), F.concat_ws("\t", key.cast("string"), F.col("l_linenumber").cast("string"), note).alias("value")
     )
-    head = spark.range(1).select(F.lit("pedido\tlinea\tnota").alias("value"))
-    for prefix, some, parts in (("uno", rows.where("hot"), 1), ("varios", rows.where("NOT hot"), 4)):
-        path = f"{place}/_{prefix}"
-        # A header at the head of every file: sorted within its task.
-        number = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-        first = head.select("value", number.alias("part"), F.lit(0).alias("place"))
-        body = some.select("value", F.pmod(F.hash("value"), F.lit(parts)).alias("part"), F.lit(1).alias("place"))
-        dealt = first.unionByName(body).repartition(parts, "part").sortWithinPartitions("part", "place")
-        by_part = dealt.select("part", F.encode("value", "ISO-8859-1").cast("string").alias("value"))
-        by_part.write.partitionBy("part").text(path)
-        for n in range(parts):
-            name_files(spark, f"{path}/part={n}", place, f"{prefix} {n}")
+    head = "pedido\tlinea\tnota"
+    write_whole_lines(spark, head, rows.where("hot").select("value"), place, "uno 0 0.txt")
+    dealt = rows.where("NOT hot").select("value", F.pmod(F.hash("value"), F.lit(4)).alias("part"))
+    latin(dealt).write.partitionBy("part").text(f"{place}/_varios")
+    for n in range(4):
+        write_whole_lines(spark, head, f"{place}/_varios/part={n}", place, f"varios {n} 0.txt")
     with split_bytes(spark, 1 << 16):
         scan = scan_text(spark, place, ["pedido", "linea", "nota"])
     family = F.substring_index("archivo_origen", " ", 1).alias("familia")
@@ -207,20 +227,13 @@ def scan_folder_shapes_mixed(spark, folder):
     cells = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 2)), lambda i: (F.col("s_suppkey") * 3 + i + 1).cast("string"))
     names = "\t".join(["clave", *[f"c{i}" for i in range(1, WIDE - 2)], "ultima", "nombre"])
     line = F.concat_ws("\t", F.col("s_suppkey").cast("string"), F.slice(cells, 2, WIDE - 1), F.col("s_name"))
-    rows = suppliers.select(F.lit(1).alias("place"), line.alias("value"))
-    head = spark.range(1).select(F.lit(0).alias("place"), F.lit(names).alias("value"))
-    wide = head.unionByName(rows).repartition(1).sortWithinPartitions("place")
-    wide.select("value").write.text(f"{place}/_wide")
-    name_files(spark, f"{place}/_wide", place, "ancho")
+    write_whole_lines(spark, names, suppliers.select(line.alias("value")), place, "ancho 0.txt")
     nations = table(spark, folder, "nation").select(F.col("n_name").alias("nombre"), F.col("n_nationkey").alias("clave"))
     write_text(nations, place, "naciones")
     more = F.when(F.col("c_custkey") % 100 == 0, "más")
     named = F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name", F.coalesce(more, F.lit("")))
-    customers = table(spark, folder, "customer").select(F.lit(1).alias("place"), named.alias("value"))
-    top = spark.range(1).select(F.lit(0).alias("place"), F.lit("clave\tnombre").alias("value"))
-    lines = top.unionByName(customers).repartition(1).sortWithinPartitions("place")
-    lines.select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(f"{place}/_narrow")
-    name_files(spark, f"{place}/_narrow", place, "clientes")
+    customers = table(spark, folder, "customer").select(named.alias("value"))
+    write_whole_lines(spark, "clave\tnombre", customers, place, "clientes 0.txt")
     rows = scan_text(spark, place, ["clave", "nombre", "ultima"]).rows
     return rows.select(F.col("clave").cast("bigint").alias("clave"), "nombre", "ultima", "malformed")
 
@@ -264,16 +277,13 @@ def consolidated_malformed(spark, folder):
     agreements = raw.raw_agreements(spark, folder)
     years = [r[0] for r in agreements.select("archivo_origen").distinct().collect()]
     for year in years:
-        rows = agreements.where(F.col("archivo_origen") == year).drop("archivo_origen").repartition(1)
+        rows, name = agreements.where(F.col("archivo_origen") == year).drop("archivo_origen"), f"{feeds.AGREEMENT_PREFIX} {year} 0.txt"
         if year == "A_1996":
             last = F.concat(F.col("consecutivo_cuota"), F.lit("\tmás"))
             line = F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in feeds.AGREEMENT_COLUMNS[:-1]], last)
-            head = spark.range(1).select(F.lit("\t".join(feeds.AGREEMENT_COLUMNS)).alias("value"), F.lit(0).alias("place"))
-            lines = head.unionByName(rows.select(line.alias("value"), F.lit(1).alias("place"))).repartition(1)
-            lines.sortWithinPartitions("place").select("value").write.text(f"{place}/_{year}")
-            name_files(spark, f"{place}/_{year}", place, f"{feeds.AGREEMENT_PREFIX} {year}")
+            write_whole_lines(spark, "\t".join(feeds.AGREEMENT_COLUMNS), rows.select(line.alias("value")), place, name)
         else:
-            write_text(rows, place, f"{feeds.AGREEMENT_PREFIX} {year}")
+            write_whole(rows, place, name)
     rows, failed = consolidated_folder(spark, place)
     year = F.regexp_extract("archivo_origen", r"(A_\d+)", 1).alias("archivo")
     read = rows.groupBy(year).agg(F.lit("leído").alias("estado"), F.count(F.lit(1)).alias("filas"))
@@ -290,8 +300,8 @@ def same_name_counts(spark, folder):
     ids = clean_payments(agreements, on_duplicate="count").rows.select(F.col("nro_acuerdo").alias("numero"), wrong.alias("mala"))
     marked = agreements.join(ids, agreements["nro_acuerdo"] == ids["numero"])
     for part, bad in (("a", False), ("b", True)):
-        rows = marked.where(F.col("mala") == bad).select(*feeds.AGREEMENT_COLUMNS).repartition(1)
-        write_text(rows, f"{place}/{part}", feeds.AGREEMENT_PREFIX)
+        rows = marked.where(F.col("mala") == bad).select(*feeds.AGREEMENT_COLUMNS)
+        write_whole(rows, f"{place}/{part}", f"{feeds.AGREEMENT_PREFIX} 0.txt")
     result = payments_folder(spark, [f"{place}/a", f"{place}/b"], on_duplicate="count")
     none = F.lit(0).cast("bigint")
     warned = files_without_valid_rows(result).select(
