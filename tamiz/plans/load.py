@@ -13,7 +13,7 @@ from tamiz.operators.quality import REASONS, add_reasons, error_rows, missing_ru
 from tamiz.operators.schema import check_target
 from tamiz.plans.result import Result
 from tamiz.sinks.reports import write_error_report
-from tamiz.session import materialize, scratch
+from tamiz.session import ZSTD, materialize, scratch
 from tamiz.sinks.tables import BATCH, MONTH, append_batch, month_of, months_in, read_target
 
 # The date that places a row in the target.
@@ -78,7 +78,7 @@ def load_batch(
     place = scratch(spark, "ids")
     last = F.max(F.when(fine, F.col(date))).alias("last")
     seen, watch = observed(checked, f"checked {place}", F.count_if(fine).alias("fine"), last)
-    seen.where(fine).select(ID, month_of(date).alias(MONTH)).write.partitionBy(MONTH).parquet(place)
+    seen.where(fine).select(ID, month_of(date).alias(MONTH)).write.options(**ZSTD).partitionBy(MONTH).parquet(place)
     months = set(months_in(spark, place))
     counts = watch.get
     batch_rows = valid_rows(checked)
@@ -89,7 +89,7 @@ def load_batch(
         target = read_target(spark, path, f"{ID} string", months, before_batch=batch, ids=ids)
         # The ids are stored: few are broadcast, and the target's ids are only scanned.
         held, watch = observed(target.select(ID).join(ids, ID, "left_semi").distinct(), f"known {place}")
-        held = materialize(held)
+        held = materialize(held, **ZSTD)
         known = watch.get["filas"]
         if known:
             batch_rows = batch_rows.join(held, ID, "left_anti")

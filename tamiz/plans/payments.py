@@ -17,7 +17,7 @@ from tamiz.operators.duplicates import repeated_ids
 from tamiz.operators.quality import add_reasons, failing_files, reject_files
 from tamiz.operators.schema import add_missing, keep_available, union_by_name
 from tamiz.plans.result import WARNING_SCHEMA, Result
-from tamiz.session import materialize
+from tamiz.session import ZSTD, materialize, short_methods
 from tamiz.sources.text import ABSENT, MALFORMED
 
 FILE = "archivo_origen"
@@ -172,7 +172,8 @@ def clean_payments(
         warnings = noted if warnings is None else warnings.unionByName(noted)
     rows = annotate(both, formats)
     if stage:
-        rows = materialize(rows)
+        with short_methods(rows.sparkSession):
+            rows = materialize(rows, **ZSTD)
     missing_columns = _column_warnings(rows.sparkSession, inputs)
     warnings = missing_columns if warnings is None else missing_columns.unionByName(warnings)
     valid = rows.where(F.size("reasons") == 0)
