@@ -107,6 +107,10 @@ PAIRS = ("  ", " \n", "\n ", "\n\n")
 WHITE = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
 
 
+#: Longer words are not kept.
+KEPT_CHARS = 64
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``flat`` named by ``index``, one after another, and where each ends."""
     sizes = size[index]
@@ -115,7 +119,7 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndar
 
 
 class Encoder:
-    """Ids of whole texts under a byte-level tokenizer, each distinct word of a call encoded once.
+    """Ids of whole texts under a byte-level tokenizer, each distinct word of a call encoded once, kept ones not at all.
 
     A text is cut before a single space or line feed between two other characters.
     The tokenizer's own first cut is there too, a space going with what follows it and
@@ -124,57 +128,91 @@ class Encoder:
     which makes fewer words. The words of many texts are cut and numbered as one Arrow
     array, the distinct ones encoded many in a row, told apart by the ids that begin
     with a space or line feed, and all ids gathered by number.
+
+    The ids of the first ``keep`` words of at most ``KEPT_CHARS`` characters are kept from
+    call to call, since common words come in every call; ``forget`` makes room for others.
     """
 
     cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
     #: Latin letters with marks after them, between which the tokenizer cuts.
     ended = "^(?P<body>\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<marks>[!-/:-@\\[-`{-~]+)$"
 
-    def __init__(self, path: str, at_once: int = 1 << 12):
+    def __init__(self, path: str, at_once: int = 1 << 12, keep: int = 1 << 18):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.at_once = Tokenizer.from_file(path), at_once
+        self.tokenizer, self.at_once, self.keep = Tokenizer.from_file(path), at_once, keep
+        self.forget()
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
 
+    def forget(self) -> None:
+        """Drops the words kept."""
+        self.known: dict[str, int] = {}
+        self.known_ids, self.known_size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def full(self) -> bool:
+        return len(self.known) >= self.keep
+
     def _ids(self, text: str) -> np.ndarray:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, "<u4")
 
-    def _apart(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+    def _apart(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of words, in pieces, and how many each has; a word follows a space unless a line feed begins it."""
         flat, sizes = [], []
         for first in range(0, len(words), self.at_once):
             some = [w if w[0] == "\n" else " " + w for w in words[first : first + self.at_once]]
-            ids = self._ids("".join(some))
+            row = "".join(some)
+            ids = self._ids(row)
             starts = np.flatnonzero(self.begins[ids])
             # Other white space within a word begins ids too: then each goes alone.
-            if len(starts) != len(some) or any(len(w.split()[0]) != len(w) - 1 for w in some):
+            if len(starts) != len(some) or len(row) - sum(map(len, row.split())) != len(some):
                 parts = list(map(self._ids, some))
                 flat += parts
-                sizes += map(len, parts)
+                sizes.append(np.array([len(p) for p in parts], np.int64))
             else:
                 flat.append(ids)
-                sizes += np.diff(starts, append=len(ids)).tolist()
+                sizes.append(np.diff(starts, append=len(ids)))
         return flat, sizes
 
+    def _units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct words among others, where each word's start, and how many it has; some of the new ones are kept."""
+        place = np.array([self.known.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(place < 0)
+        fresh = [words[at] for at in new]
+        flat, sizes = self._apart(fresh)
+        held = len(self.known_size)
+        place[new] = held + np.arange(len(new))
+        ids = np.concatenate([self.known_ids, *flat])
+        size = np.concatenate([self.known_size, *sizes])
+        start = np.cumsum(size) - size
+        kept = [at for at, w in enumerate(fresh) if len(w) <= KEPT_CHARS][: max(0, self.keep - held)]
+        if kept:
+            self.known.update((fresh[at], held + n) for n, at in enumerate(kept))
+            more, _ = gather(ids, start, size, held + np.array(kept))
+            self.known_ids = np.concatenate([self.known_ids, more])
+            self.known_size = np.concatenate([self.known_size, size[held:][kept]])
+        return ids, start[place], size[place]
+
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of distinct words, one after another, and where each starts and how many it has."""
         split = pc.extract_regex(words, self.ended)
         two = split.is_valid().to_numpy(zero_copy_only=False)
         units = pc.if_else(split.is_valid(), pc.struct_field(split, "body"), words).dictionary_encode()
         marks = pc.struct_field(split, "marks").drop_null().dictionary_encode()
-        flat, sizes = self._apart(units.dictionary.to_pylist())
+        ids, begin, size = self._units(units.dictionary.to_pylist())
         ends = [self._ids(m) for m in marks.dictionary.to_pylist()]
-        pieces = np.concatenate([*flat, *ends, np.zeros(0, "<u4")])
-        size = np.array([*sizes, *map(len, ends)], np.int64)
+        pieces = np.concatenate([ids, *ends])
+        length = np.array([len(e) for e in ends], np.int64)
+        begin = np.concatenate([begin, len(ids) + np.cumsum(length) - length])
+        size = np.concatenate([size, length])
         # A word is a unit, or a unit and its marks.
         at = np.arange(len(words)) + np.cumsum(two) - two
         row = np.empty(len(words) + two.sum(), np.int64)
         row[at] = units.indices.to_numpy()
-        row[at[two] + 1] = len(sizes) + marks.indices.to_numpy()
-        whole, stop = gather(pieces, np.cumsum(size) - size, size, row)
+        row[at[two] + 1] = len(units.dictionary) + marks.indices.to_numpy()
+        whole, stop = gather(pieces, begin, size, row)
         last = stop[at + two]
         start = np.concatenate([[0], last[:-1]]) if len(last) else last
         return whole, start, last - start
@@ -236,7 +274,9 @@ def write_files(
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_texts = encoder(tokenizer).encode
+        words = encoder(tokenizer)
+        if words.full():
+            words.forget()  # what an earlier task kept may be of another kind
         held, rows, at = [], [], 0
 
         def finish():
@@ -257,7 +297,7 @@ def write_files(
                 while last < len(texts) and (last == first or chars + len(texts[last]) <= batch_chars):
                     chars += len(texts[last])
                     last += 1
-                for key, ids in zip(keys[first:last], encode_texts(texts[first:last])):
+                for key, ids in zip(keys[first:last], words.encode(texts[first:last])):
                     ids = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                     rows.append((key, at, len(ids)))
                     held.append(ids)

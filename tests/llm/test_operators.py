@@ -316,6 +316,24 @@ def test_parts_encode_as_the_whole(at_once):
     assert [[x.tolist() for x in encoder.encode(texts)] for _ in range(2)] == [whole] * 2
 
 
+@pytest.mark.parametrize("keep", [0, 3, 1 << 10])
+def test_kept_words_are_not_encoded_again(keep):
+    texts = ["uno dos, tres cuatro", "dos\ntres cinco seis uno", "uno  dos\tuno", "x" * 90 + " uno", "", "tres (seis) ocho uno"]
+    encoder, sent = token_files.Encoder(byte_tokenizer(), keep=keep), []
+    ids = encoder._ids
+    whole = [ids(t).tolist() for t in texts]
+    encoder._ids = lambda text: (sent.append(text), ids(text))[1]
+    for _ in range(2):
+        assert [encoder.encode([t])[0].tolist() for t in texts] == whole
+    assert len(encoder.known) <= keep
+    del sent[:]
+    encoder.encode(["uno cuatro tres", "uno cinco"])
+    assert (sent == []) == (keep == 1 << 10)
+    encoder.forget()
+    encoder.encode(["uno cuatro"])
+    assert sent[-1].split() == ["uno", "cuatro"]
+
+
 def test_base_scores(spark, docs):
     from pyspark.sql import functions as F
 
