@@ -405,6 +405,33 @@ def test_contexts_are_counted_exactly():
             assert abs(got / context_mixing.UNIT - max(-8, min(8, odds))) < 1e-3
 
 
+@pytest.mark.parametrize("piece", [7, 64, 1 << 20])
+def test_contexts_are_found_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(context_mixing, "PIECE", piece)
+    texts = [b"", b"abcabcabc", "ñandú".encode(), b"abc" * 40, b"x"]
+    found = context_mixing.Laid(texts).distinct()
+    want, lines = Counter(), [b"\xff" * 6 + t + b"\xff" for t in texts]
+    for n, row in zip(context_mixing.ORDERS, found.within):
+        keys = iter(found.keys[row[found.places]].tolist())
+        for line in lines:
+            for i in range(6, len(line)):
+                key = int.from_bytes(line[i - n : i + 1], "big") | n << 56
+                assert next(keys) == key
+                want[key] += 1
+    assert dict(zip(found.keys.tolist(), found.times().tolist())) == want
+
+
+def test_long_rows_come_in_small_batches(spark):
+    from pyspark.sql import functions as F
+
+    from tamiz.session import small_batches
+
+    rows = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = lambda batches: (b.iloc[:1].assign(text=str(len(b))) for b in batches)
+    with small_batches(spark, "1m"):
+        assert max(int(r.text) for r in rows.mapInPandas(sizes, "text string").collect()) < 200
+
+
 def test_every_training_row_is_counted(spark):
     """Over many chunks and buckets, as one Counter over all rows has it; none is kept for the weights."""
     texts = [prose(i, 30 + i).encode() for i in range(40)]
