@@ -173,3 +173,13 @@ def test_audit(spark, docs, rows, size):
         assert (g.kept, g.removed, g.redundant, g.unique_fails, g.good_lost, g.toxic_lost) == want[key]
         assert g.shapley == shapley[g.part, g.filter_order[g.step - 1]]
     assert filter_audit.audit(docs.where("false"), labels, filters, copies="C").collect() == []
+
+
+def test_long_texts_go_to_tries_in_small_batches(spark, monkeypatch):
+    name, seen, store = "spark.sql.execution.arrow.maxBytesPerBatch", [], filter_audit.materialize
+    monkeypatch.setattr(filter_audit, "materialize", lambda df: (seen.append(spark.conf.get(name)), store(df))[1])
+    before = spark.conf.get(name)
+    rows = spark.range(50).select("id", F.lit("").alias("part"), F.lit(0).alias("mask"), F.lit("x" * 2000).cast("binary").alias("text"))
+    flagged = filter_audit.flag_copies(rows, 1).groupBy("mask").agg(F.sum("times").alias("n")).collect()
+    assert {r["mask"]: r["n"] for r in flagged} == {0: 1, 1: 49}
+    assert spark.conf.get(name) == before and seen and set(seen) == {"4m"}
