@@ -421,6 +421,34 @@ def test_contexts_are_found_in_pieces(monkeypatch, piece):
     assert dict(zip(found.keys.tolist(), found.times().tolist())) == want
 
 
+def test_what_tasks_have_left_shares_chunks(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([10, 5_000, 20_000, 70_000] * 4)], "doc_id long, text string")
+    packed = context_mixing.pack_chunks(docs.repartition(8), "doc_id", F.lit(True), F.col("text")).collect()
+    assert len(packed) == 1 and sorted(packed[0]["keys"]) == list(range(16))
+    # Full chunks hold texts of like length, and none is larger than it may be.
+    small = context_mixing.pack_chunks(docs, "doc_id", F.lit(True), F.col("text"), chunk_bytes=40_000).collect()
+    assert sorted(k for row in small for k in row["keys"]) == list(range(16))
+    assert all(row["size"] <= 40_000 or len(row["keys"]) == 1 for row in small)
+
+
+def test_shuffled_contexts_are_gone_when_scored(spark, docs):
+    from pyspark.sql import functions as F
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {files.apply(n).getName() for n in range(files.size()) if files.apply(n).getName().startswith("shuffle")}
+
+    packed = context_mixing.pack_chunks(docs, "doc_id", F.lit(True), F.col("text"))
+    before = shuffled()
+    scored = context_mixing.score_chunks(packed, 16)
+    assert not shuffled() - before
+    assert scored.agg(F.sum(F.size("keys"))).first()[0] == docs.count()
+
+
 def test_long_rows_come_in_small_batches(spark):
     from pyspark.sql import functions as F
 
