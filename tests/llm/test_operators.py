@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -445,6 +446,10 @@ def test_shuffled_contexts_are_gone_when_scored(spark, docs):
     packed = context_mixing.pack_chunks(docs, "doc_id", F.lit(True), F.col("text"))
     before = shuffled()
     scored = context_mixing.score_chunks(packed, 16)
+    # Executors are told to delete them and not waited for.
+    for _ in range(100):
+        if shuffled() - before:
+            time.sleep(0.1)
     assert not shuffled() - before
     assert scored.agg(F.sum(F.size("keys"))).first()[0] == docs.count()
 
