@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tamiz.session import join_null_safe, materialize
+from tamiz.session import join_null_safe, materialize, passing_shuffles
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,11 +20,13 @@ def repeated_ids(df: DataFrame, keys: list[str]) -> DataFrame:
     themselves, so the answer is exact.
     """
     hashed = df.select(*keys, F.xxhash64(*keys).alias("__hash"))
-    suspects = materialize(duplicate_keys(hashed, ["__hash"]).select("__hash"))
+    with passing_shuffles(df.sparkSession):
+        suspects = materialize(duplicate_keys(hashed, ["__hash"]).select("__hash"))
     if suspects.isEmpty():
         fields = [*df.select(*keys).schema, T.StructField("n", T.LongType())]
         return df.sparkSession.createDataFrame([], T.StructType(fields))
-    return materialize(duplicate_keys(hashed.join(suspects, "__hash", "left_semi"), keys))
+    with passing_shuffles(df.sparkSession):
+        return materialize(duplicate_keys(hashed.join(suspects, "__hash", "left_semi"), keys))
 
 
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import ExitStack, nullcontext
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +17,7 @@ from tamiz.plans.contacts import clean_contacts
 from tamiz.plans.messages import clean_messages
 from tamiz.plans.payments import CONSOLIDATED, clean_payments, consolidate_payments
 from tamiz.plans.result import Result
-from tamiz.session import materialize
+from tamiz.session import materialize, released
 from tamiz.sources.text import EMPTY_FILE, MALFORMED, UNKNOWN_FEED, Paths, file_names, glob_for, scan_text
 from tamiz.sources.workbook import read_workbooks, split_sheets
 
@@ -30,32 +32,46 @@ def unusable_files(names: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def payments_folder(
-    spark: SparkSession, paths: Paths, multiline: bool = False, encoding: str = feeds.TEXT_ENCODING, **options
+    spark: SparkSession,
+    paths: Paths,
+    multiline: bool = False,
+    encoding: str = feeds.TEXT_ENCODING,
+    once_read: Callable[[], None] | None = None,
+    **options,
 ) -> Result:
     """Clean every payment file of a folder.
 
-    Each family is one scan of its own files, and the checked rows are stored once. A
-    file that is malformed, unknown or has repeated ids is reported in
-    ``failed_files``; the others go on. Files are told apart by path and shown by name.
-    With the encoding ``auto`` each file is read in its own.
+    Each family is one scan of its own files, and the checked rows are stored once; the
+    lines they were made of are deleted then. A file that is malformed, unknown or has
+    repeated ids is reported in ``failed_files``; the others go on. Files are told apart
+    by path and shown by name. With the encoding ``auto`` each file is read in its own.
+    ``once_read`` is called as soon as the files themselves are needed no more, with
+    their rows yet to be checked.
     """
-    scans = {
-        prefix: scan_text(spark, paths, columns, glob_for(prefix), encoding=encoding, absent=True, by_path=True)
-        for prefix, columns in (
-            (feeds.AGREEMENT_PREFIX, feeds.AGREEMENT_COLUMNS),
-            (feeds.TICKET_PREFIX, feeds.TICKET_COLUMNS),
-        )
-    }
-    agreements, tickets = scans.values()
-    result = clean_payments(
-        agreements.rows,
-        tickets.rows,
-        warnings=agreements.warnings.unionByName(tickets.warnings),
-        **options,
-    )
-    headers = agreements.headers.unionByName(tickets.headers)
-    unusable = unusable_files(file_names(spark, paths), headers)
-    failed_files = materialize(result.failed_files.unionByName(unusable))
+    with ExitStack() as block:
+        # Rows that are not stored are made of the lines each time, so these stay.
+        lasting = block.enter_context(released(spark)) if options.get("stage", True) else nullcontext
+        scans = {
+            prefix: scan_text(spark, paths, columns, glob_for(prefix), encoding=encoding, absent=True, by_path=True)
+            for prefix, columns in (
+                (feeds.AGREEMENT_PREFIX, feeds.AGREEMENT_COLUMNS),
+                (feeds.TICKET_PREFIX, feeds.TICKET_COLUMNS),
+            )
+        }
+        agreements, tickets = scans.values()
+        names = file_names(spark, paths)
+        if once_read:
+            once_read()
+        with lasting():
+            result = clean_payments(
+                agreements.rows,
+                tickets.rows,
+                warnings=materialize(agreements.warnings.unionByName(tickets.warnings)),
+                **options,
+            )
+            headers = agreements.headers.unionByName(tickets.headers)
+            unusable = unusable_files(names, headers)
+            failed_files = materialize(result.failed_files.unionByName(unusable))
     return replace(result, failed_files=failed_files).named()
 
 

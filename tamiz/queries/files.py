@@ -21,7 +21,7 @@ from tamiz.queries import raw
 from tamiz.queries.loads import SQL_AGREEMENT_ROWS
 from tamiz.queries.feeds import SQL_BOTH, SQL_CONSOLIDATED, comparable
 from tamiz.queries.registry import query, table
-from tamiz.session import scratch
+from tamiz.session import discard, passing_shuffles, scratch
 from tamiz.sinks.one_file import join_files
 from tamiz.sinks.tables import read_target
 from tamiz.sources.files import decode_content
@@ -97,7 +97,8 @@ def write_payment_folder(spark, folder):
     The lines that come twice keep to one file, so that file fails whole.
     """
     place = scratch(spark, "folder")
-    write_text(raw.raw_agreements(spark, folder).drop("archivo_origen"), place, feeds.AGREEMENT_PREFIX)
+    with passing_shuffles(spark):
+        write_text(raw.raw_agreements(spark, folder).drop("archivo_origen"), place, feeds.AGREEMENT_PREFIX)
     tickets = raw.raw_tickets(spark, folder)
     swapped = tickets.select("intereses", F.lit("x").alias("extra"), *tickets.columns[:-2])
     doubled = tickets["archivo_origen"] == "B_1996"
@@ -108,10 +109,16 @@ def write_payment_folder(spark, folder):
     return place
 
 
+def cleaned_payment_folder(spark, folder):
+    """That folder cleaned. Its files are deleted once they are read: what follows needs only what is stored."""
+    place = write_payment_folder(spark, folder)
+    return payments_folder(spark, place, once_read=lambda: discard(spark, place))
+
+
 @query(SQL_BOTH + f"""SELECT * EXCLUDE (archivo_origen) REPLACE (nullif(reasons, '') AS reasons), {FAMILY}
  FROM checked WHERE archivo_origen NOT IN (FROM failed)""")
 def scan_folder_routed(spark, folder):
-    result = payments_folder(spark, write_payment_folder(spark, folder))
+    result = cleaned_payment_folder(spark, folder)
     family = F.substring("archivo_origen", 1, 2).alias("familia")
     rows = comparable(result.rows, "fecha_pago").select("*", family)
     return rows.withColumn("reasons", F.nullif("reasons", F.lit(""))).select(*SHOWN)
@@ -121,7 +128,7 @@ def scan_folder_routed(spark, folder):
   WHERE year(l_shipdate) = 1996 AND l_linenumber = 1 AND l_orderkey % 100 = 7 GROUP BY ALL
  UNION SELECT 'Otros', 'tipo de archivo no reconocido' FROM supplier""")
 def scan_folder_failed(spark, folder):
-    failed = payments_folder(spark, write_payment_folder(spark, folder)).failed_files
+    failed = cleaned_payment_folder(spark, folder).failed_files
     family = F.regexp_replace("archivo_origen", r" \d+\.(txt|TXT)\z", "")
     return failed.select(family.alias("familia"), "reason").distinct()
 

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tamiz.session import materialize
+from tamiz.session import ZSTD, materialize
 
 # What a line, or a split, does to a quote: leaves it, closes it, opens it, turns it over.
 LEAVES, CLOSES, OPENS, TURNS = 0, 1, 2, 3
@@ -89,7 +89,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str, sep: str,
             F.is_valid_utf8(value).alias("utf8"),
         )
     )
-    return materialize(lines)
+    return materialize(lines, **ZSTD)
 
 
 def decoded(value: Column, encoding: str, utf8: Column) -> Column:
@@ -104,11 +104,15 @@ def file_facts(lines: DataFrame) -> DataFrame:
     candidate = F.when((F.col("block") == 0) & ~F.col("nothing"), F.col("line"))
     found = lines.groupBy("path").agg(
         F.min(candidate).alias("header_line"),
-        F.min_by("value", candidate).alias("header_value"),
         F.bool_or(F.col("turn").isin(OPENS, TURNS)).alias("open_quote"),
         F.bool_and("utf8").alias("utf8"),
     )
-    return materialize(found.where("header_line IS NOT NULL"))
+    found = materialize(found.where("header_line IS NOT NULL"))
+    # Looked up by number: an aggregate that carries bytes would sort all lines.
+    numbers = found.select(F.col("header_line").alias("line"))
+    headers = lines.where("block = 0").select("line", "value").join(numbers, "line", "left_semi")
+    headers = headers.select(F.col("line").alias("header_line"), F.col("value").alias("header_value"))
+    return materialize(found.join(headers, "header_line").select("path", "header_line", "header_value", "open_quote", "utf8"))
 
 
 def _states(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -139,7 +143,7 @@ def records(lines: DataFrame) -> DataFrame:
         "before": F.coalesce(F.lag("open_after").over(within), F.lit(False)),
         "before_depends": F.coalesce(F.lag("depends").over(within), F.lit(True)),
     })
-    known = materialize(known)
+    known = materialize(known, **ZSTD)
     # A split does what its last line has come to.
     end = F.max_by(F.struct("open_after", "depends"), "line")
     splits = known.groupBy("path", "block").agg(end.alias("end"))
@@ -154,7 +158,8 @@ def records(lines: DataFrame) -> DataFrame:
         "inside": F.col("before") != (F.col("before_depends") & F.col("begins")),
         "goes_on": F.col("open_after") != (F.col("depends") & F.col("begins")),
     }).withColumn("first", F.last(F.when(~F.col("inside"), F.col("line")), ignorenulls=True).over(upto))
-    placed = materialize(placed.select("path", "block", "line", "value", "nothing", "separated", "inside", "goes_on", "first"))
+    placed = placed.select("path", "block", "line", "value", "nothing", "separated", "inside", "goes_on", "first")
+    placed = materialize(placed, **ZSTD)
 
     # The record that a split goes on with began in an earlier one.
     starts = placed.groupBy("path", "block").agg(F.max("first").alias("latest"), F.max_by("goes_on", "line").alias("open"))
